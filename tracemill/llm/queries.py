@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tracemill.llm import line_dedup, source_mix, url_filter
+from tracemill.llm import decontaminate, line_dedup, source_mix, url_filter, winnow
 
 
 def queries() -> dict:
-    found = [url_filter.op1_url_filter, line_dedup.op7_line_dedup, source_mix.op8_source_mix]
+    found = [
+        url_filter.op1_url_filter,
+        winnow.op6_winnow,
+        line_dedup.op7_line_dedup,
+        source_mix.op8_source_mix,
+        decontaminate.op9_decontaminate,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -15,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": url_filter.OP1_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_source_mix": source_mix.OP8_SQL,
+        "op9_decontaminate": decontaminate.OP9_SQL,
     }
