@@ -43,7 +43,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, hashes: str) -> DataFra
         df = df.withColumn("__m", F.zip_with("__m", F.slice("__m", step + 1, F.greatest(F.size("__m"), F.lit(1))), lambda a, b: F.least(a, b)))
         step *= 2
     df = df.withColumn(out, F.array_distinct(F.slice("__m", F.lit(1), F.greatest(F.size("__m") - (WINDOW - 1), F.lit(1)))))
-    df = df.withColumn(hashes, F.array_distinct(F.transform(out, lambda m: F.shiftright(m, 31).cast("int"))))
+    df = df.withColumn(hashes, F.array_distinct(F.transform(out, lambda m: F.shiftright(m, 31))))
     return df.drop("__h", "__m")
 
 
