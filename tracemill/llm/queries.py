@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tracemill.llm import decontaminate, line_dedup, source_mix, url_filter, winnow
+from tracemill.llm import decontaminate, line_dedup, quality, simhash, source_mix, token_counts, url_filter, winnow
 
 
 def queries() -> dict:
     found = [
         url_filter.op1_url_filter,
+        quality.op2_quality,
+        simhash.op5_simhash,
         winnow.op6_winnow,
         line_dedup.op7_line_dedup,
         source_mix.op8_source_mix,
         decontaminate.op9_decontaminate,
+        token_counts.op10_token_counts,
     ]
     return {f.__name__: f for f in found}
 
