@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracemill.llm import decontaminate, line_dedup, quality, simhash, source_mix, token_counts, url_filter, winnow
+from tracemill.llm import chat_format, decontaminate, line_dedup, quality, simhash, source_mix, token_counts, url_filter, winnow
 
 
 def queries() -> dict:
     found = [
         url_filter.op1_url_filter,
         quality.op2_quality,
+        chat_format.op3_chat_format,
         simhash.op5_simhash,
         winnow.op6_winnow,
         line_dedup.op7_line_dedup,
@@ -22,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.OP1_SQL,
+        "op3_chat_format": chat_format.OP3_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_source_mix": source_mix.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
