@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import chat_format, decontaminate, line_dedup, quality, simhash, source_mix, token_counts, url_filter, winnow
+from tracemill.llm import chat_format, decontaminate, html_extract, line_dedup, quality, simhash, source_mix, token_counts, url_filter, winnow
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         url_filter.op1_url_filter,
         quality.op2_quality,
         chat_format.op3_chat_format,
+        html_extract.op4_html_extract,
         simhash.op5_simhash,
         winnow.op6_winnow,
         line_dedup.op7_line_dedup,
