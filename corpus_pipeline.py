@@ -40,7 +40,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontaminate.find(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(COLUMNS)
+    return decontaminate.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,11 @@ words of an item; an item of fewer words, but not none, is one window. A window
 three words with their positions. All shingles of a window must be in a document that contains it, so with the
 shingles ordered by rarity in the corpus the necessary prefix is the rarest one: only that one is joined. The
 positional bound (the match must leave room for the window's words before it) and the length bound (and after
-it) drop candidates; the rest are verified word by word in the document's text.
+it) drop candidates; the rest are verified word by word against the words around the match.
 
-Work: one pass over the texts finds the occurrences of any item shingle, which give the rarity; a shingle that
-occurs nowhere rules its windows out. A second pass counts words and verifies candidates. Both joins with the
-benchmark are broadcast only behind a count, else shuffled.
+Work: one pass over the texts finds the occurrences of any item shingle, with the words around them; they give
+the rarity, and a shingle that occurs nowhere rules its windows out. All that follows works on these occurrences,
+so texts are never shuffled. Joins with the benchmark are broadcast only behind a count, else shuffled.
 
 Defined cases: a null text has no words; a null item id counts as the empty string; rows of equal doc_id are
 verified each against its own text; equal items and repeated windows count each item once; empty tables give
@@ -23,12 +23,13 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, at_most, cut, small_side, table
+from tracemill.llm.common import BROADCAST_ROWS, cut, small_side, table
 
 WINDOW, SHINGLE = 10, 3
-#: Candidate windows that may be broadcast; a row takes about 100 bytes.
-BROADCAST_CANDIDATES = 50_000
+#: Shingles of the items that may be broadcast, eight bytes each.
+BROADCAST_KEYS = 2_000_000
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = _BREAK.replace("[", "[^", 1)
 
 
 def words(text: Column) -> Column:
@@ -58,46 +59,59 @@ def _positions(df: DataFrame, keep: list[str], n: int) -> DataFrame:
     return rows.select(*keep, "pos", F.xxhash64(F.lit(n), *[F.col(f"s.w{k}") for k in range(n)]).alias("h"))
 
 
-def find(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS, broadcast_candidates: int = BROADCAST_CANDIDATES) -> DataFrame:
-    """``docs`` with n_words, n_hit (words inside an occurrence of a window) and hit_items (sorted ids)."""
+def hits(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(doc, text_key, n_hit, hit_items) of the documents that hold a window; text_key tells rows of equal id apart."""
     wins = cut(windows(items, window=window))
-    lengths = [r[0] for r in wins.select(F.least(F.lit(SHINGLE), F.col("len")).alias("n")).distinct().collect()]  # of 1, 2, 3
-    parts = occurrences = None
-    for n in sorted(lengths):
+    lengths = sorted(r[0] for r in wins.select(F.least(F.lit(SHINGLE), F.col("len")).alias("n")).distinct().collect())  # of 1, 2, 3
+    parts = found = None
+    for n in lengths or [SHINGLE]:
         own = _positions(wins.where(F.least(F.lit(SHINGLE), F.col("len")) == n), ["win", "len", "items"], n)
         parts = own if parts is None else parts.union(own)
-    if parts is None:
-        none = F.array().cast("array<string>")
-        return docs.withColumns({"n_words": F.size(words(F.col(text))).cast("long"), "n_hit": F.lit(0).cast("long"), "hit_items": none})
     parts = cut(parts.withColumnRenamed("pos", "at"))
-    keys = small_side(parts.select("h").distinct(), broadcast_rows)
-    for n in sorted(lengths):
-        rows = docs.select(F.col(doc).alias("d"), words(F.col(text)).alias("ws")).withColumn("n_words", F.size("ws"))
-        own = _positions(rows, ["d", "n_words"], n).join(keys, "h")
-        occurrences = own if occurrences is None else occurrences.union(own)
-    occurrences = cut(occurrences)
-    rarity = occurrences.groupBy("h").agg(F.count("*").alias("seen"))
+    keys = small_side(parts.select("h").distinct(), broadcast_keys)
+    rows = docs.select(F.col(doc).alias("doc"), text_key(F.col(text)), words(F.col(text)).alias("ws"))
+    for n in lengths or [SHINGLE]:
+        # The words around a match go with it, so that it can be verified without going back to the text.
+        low = F.greatest(F.col("pos") - (window - n), F.lit(0))
+        own = _positions(rows, ["doc", "text_key", "ws"], n).join(keys, "h").select("doc", "text_key", "h", "pos", low.alias("low"), F.slice("ws", low + 1, F.lit(2 * window)).alias("near"))
+        found = own if found is None else found.union(own)
+    found = cut(found)
+    rarity = found.groupBy("h").agg(F.count("*").alias("seen"))
     # A window with a shingle that occurs nowhere has the left join's null first, and goes.
     first = Window.partitionBy("win").orderBy(F.col("seen").asc_nulls_first(), "h", "at")
     prefix = parts.join(rarity, "h", "left").withColumn("r", F.row_number().over(first)).where("r = 1 and seen is not null").select("h", "at", "win", "len", "items")
-    candidates = occurrences.join(small_side(prefix, broadcast_rows), "h").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0 and start + len <= n_words")
-    candidates = cut(candidates.select("d", F.struct("start", "len", "win", "items").alias("c")))
-    few = at_most(candidates, broadcast_candidates)
-    per_doc = candidates.groupBy("d").agg(F.collect_list("c").alias("cs"))
-    out = docs.join(F.broadcast(per_doc) if few else per_doc, docs[doc].eqNullSafe(F.col("d")), "left").withColumn("ws", words(F.col(text)))
-    true = F.filter("cs", lambda c: F.array_join(F.slice("ws", c["start"] + 1, c["len"]), " ") == c["win"])
-    out = out.withColumn("n_words", F.size("ws").cast("long")).withColumn("hits", F.when(F.col("cs").isNotNull(), true))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    out = out.withColumns({"n_hit": F.when(F.col("hits").isNull(), 0).otherwise(F.size(covered)).cast("long"), "hit_items": F.coalesce(found, F.array().cast("array<string>"))})
-    return out.drop("d", "cs", "ws", "hits")
+    start = F.col("pos") - F.col("at")
+    bounded = (start >= 0) & (start - F.col("low") + F.col("len") <= F.size("near"))
+    exact = F.array_join(F.slice("near", start - F.col("low") + 1, F.col("len")), " ") == F.col("win")
+    true = found.join(small_side(prefix, broadcast_keys // 10), "h").where(bounded).where(exact).select("doc", "text_key", start.alias("start"), "len", "items")
+    spans = F.transform(F.collect_set(F.struct("start", "len")), lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))
+    # Rows of equal id and text are found once each; sets make them one.
+    per_doc = true.groupBy("doc", "text_key").agg(spans.alias("spans"), F.flatten(F.collect_set("items")).alias("ids"))
+    return per_doc.select("doc", "text_key", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("ids")).alias("hit_items"))
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")
+
+
+def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item."""
+    held = cut(hits(docs, items, doc, text, window).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key")))
+    return docs.join(small_side(held, broadcast_rows), docs[doc].eqNullSafe(F.col("__doc")) & (text_key(docs[text]) == F.col("__key")), "left_anti")
+
+
+def report(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(doc, n_words, n_hit, hit_items) of every row of ``docs``; texts are not shuffled."""
+    narrow = docs.select(F.col(doc).alias("doc"), text_key(F.col(text)), F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    found = hits(docs, items, doc, text, window).withColumnsRenamed({"doc": "d", "text_key": "k"})
+    out = narrow.join(found, narrow["doc"].eqNullSafe(F.col("d")) & (narrow["text_key"] == F.col("k")), "left")
+    return out.select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"))
 
 
 def op9_decontaminate(spark, sf_dir) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 OP9_SQL = r"""
