@@ -44,12 +44,15 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes, numbered by ``copy`` from 1, with the document's columns."""
-    # The text stays with its row: sizes, ranks and copies are found on narrow rows and joined back by id.
-    rows = docs.select(COLUMNS)
-    narrow = source_mix.copies(cut(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"))))
-    taken = narrow.where("copies > 0 and doc_id is not null").select(F.col("doc_id").alias("__id"), "copies")
-    out = rows.join(taken, rows["doc_id"] == F.col("__id")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    """One row per copy that the mix takes, numbered by ``copy`` from 1, with the document's columns.
+
+    Rows equal in id and text share their copies evenly, rounded up.
+    """
+    # The text stays with its row: sizes, ranks and copies are found on narrow rows and joined back.
+    rows = docs.select(COLUMNS).withColumn("__key", F.xxhash64("text"))
+    copied = source_mix.copies(cut(rows.select("doc_id", "__key", "source", word_count(F.col("text")).alias("size"))))
+    taken = copied.groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__k")).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("n")).where("n > 0")
+    out = rows.join(taken, rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["__key"] == F.col("__k"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return out.select(*COLUMNS, "copy")
 
 

@@ -29,7 +29,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCEN
     """(source, source_size, target) from (source, source_size): shares by weight, capped, excess reshared.
 
     Capping and resharing until nothing is above its cap has one fixed point: target = min(cap, level * weight).
-    Sources are sorted by cap / weight and the level is read off the first that stays below its cap. This works
+    Sources are sorted by cap / weight and the level is that of the first whose cap holds it, the highest of those whose caps do. This works
     on one row per source.
     """
     n = len(weights)
@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCEN
         .withColumn("all_size", F.sum("source_size").over(everything))
         .withColumn("all_w", F.sum("w").over(everything))
         .withColumn("level", (F.col("all_size") * share_percent - F.col("full") * 100).cast("double") / ((F.col("all_w") - F.col("used_w")) * 100).cast("double"))
-        .withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("w"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("cap") >= F.col("level") * F.col("w"), F.col("level"))).over(everything))
     )
     return w.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double"))).alias("target"))
 
@@ -101,7 +101,7 @@ x AS (SELECT *,
   coalesce(sum(w) OVER (ORDER BY cap * (10 // w), source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_w,
   sum(source_size) OVER () AS all_size, sum(w) OVER () AS all_w FROM w),
 y AS (SELECT *, CAST(all_size * 150 - full_caps * 100 AS DOUBLE) / CAST((all_w - used_w) * 100 AS DOUBLE) AS lvl FROM x),
-z AS (SELECT *, min(CASE WHEN cap >= lvl * w THEN lvl END) OVER () AS water FROM y),
+z AS (SELECT *, max(CASE WHEN cap >= lvl * w THEN lvl END) OVER () AS water FROM y),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(water * w, CAST(cap AS DOUBLE))) AS target,
   CAST(CAST(concat('0x', substr(sha256(concat('mix', chr(10), coalesce(source, chr(10)))), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM z),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u,
