@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from tracemill.plans import evaluation, fixtures, profiles, registry, traces
+
 
 def queries() -> dict:
-    return {}
+    assert evaluation and fixtures and profiles and traces
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """For each assistant turn: its group's split, the role before it, and the history that fits its budget."""
+    return traces.turn_overview(spark, sf_dir)
