@@ -70,11 +70,10 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(grams)
 
 
-def presence_features(c: Column) -> Column:
-    """Distinct unigrams ('u=') and bigrams ('b=') of probe tokens."""
-    t = probe_tokens(c)
-    one = F.transform(t, lambda x: F.concat(F.lit("u="), x))
-    two = F.transform(ngrams(t, 2), lambda x: F.concat(F.lit("b="), F.replace(x, F.lit(" "), F.lit("_"))))
+def presence_features(tokens: Column) -> Column:
+    """Distinct unigrams ('u=') and bigrams ('b=') of a column of probe tokens."""
+    one = F.transform(tokens, lambda x: F.concat(F.lit("u="), x))
+    two = F.transform(ngrams(tokens, 2), lambda x: F.concat(F.lit("b="), F.replace(x, F.lit(" "), F.lit("_"))))
     return F.array_distinct(F.concat(one, two))
 
 

@@ -1 +1,157 @@
-"""Queries."""
+"""Models and their evaluation on the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tracemill.functions import text
+from tracemill.operators import metrics, models
+from tracemill.plans.registry import query, table
+
+_LABELS = list(range(10))
+#: Class probabilities of each embedding: the softmax of its first ten places, as doubles.
+_P = """v AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+e AS (SELECT vec_id, label, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM v),
+p AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"""
+
+
+def predictions(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("z"))
+    return v.withColumn("p", text.softmax(F.col("z"))).withColumn("pred", (text.argmax(F.col("p")) - 1).cast("int"))
+
+
+@query(f"WITH {_P}, k AS (SELECT unnest(range(10)) AS k), n AS (SELECT label, list_position(p, list_max(p)) - 1 AS pred, count(*) AS n FROM p GROUP BY ALL) SELECT CAST(a.k AS INTEGER) AS gold, CAST(b.k AS INTEGER) AS pred, coalesce(n, 0) AS n FROM k a CROSS JOIN k b LEFT JOIN n ON n.label = a.k AND n.pred = b.k")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(predictions(spark, sf_dir), "label", "pred", _LABELS)
+
+
+@query(f"""
+WITH {_P}, d AS (SELECT label, list_position(p, list_max(p)) - 1 AS pred FROM p),
+c AS (SELECT k.k AS label, (SELECT count(*) FROM d WHERE d.label = k.k) AS support, (SELECT count(*) FROM d WHERE d.pred = k.k) AS predicted, (SELECT count(*) FROM d WHERE d.label = k.k AND d.pred = k.k) AS tp FROM (SELECT unnest(range(10)) AS k) k),
+r AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0.0) AS pr, coalesce(tp / nullif(support, 0), 0.0) AS re FROM c)
+SELECT CAST(label AS INTEGER) AS label, support, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0.0), 6) AS f1 FROM r
+""")
+def class_f1(spark, sf_dir):
+    return metrics.class_scores(metrics.confusion(predictions(spark, sf_dir), "label", "pred", _LABELS))
+
+
+@query(f"""
+WITH {_P}, s AS (SELECT label, list_position(p, list_max(p)) - 1 = label AS ok, -ln(greatest(p[label + 1], 1e-12)) AS nll,
+  list_sum(list_transform(range(1, 11), lambda i: (p[i] - CASE WHEN i = label + 1 THEN 1.0 ELSE 0.0 END) ** 2)) AS brier, list_max(p) AS conf FROM p)
+SELECT count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(nll), 6) AS nll, round(avg(brier), 6) AS brier, round(avg(conf) FILTER (ok), 6) AS conf_right, round(avg(conf) FILTER (NOT ok), 6) AS conf_wrong FROM s
+""")
+def nll_brier(spark, sf_dir):
+    s = predictions(spark, sf_dir).select((F.col("pred") == F.col("label")).alias("ok"), metrics.nll(F.element_at("p", F.col("label") + 1), 1e-12).alias("nll"), metrics.brier(F.col("p"), F.col("label")).alias("brier"), F.array_max("p").alias("conf"))
+    return s.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 6).alias("accuracy"), F.round(F.avg("nll"), 6).alias("nll"), F.round(F.avg("brier"), 6).alias("brier"), F.round(F.avg(F.when(F.col("ok"), F.col("conf"))), 6).alias("conf_right"), F.round(F.avg(F.when(~F.col("ok"), F.col("conf"))), 6).alias("conf_wrong"))
+
+
+@query(f"WITH {_P} SELECT label, count(*) AS n, round(sum(-ln(greatest(p[label + 1], 1e-12))) / (SELECT count(*) FROM p), 6) AS nll_share, count(*) FILTER (list_position(p, list_max(p)) - 1 <> label) AS errors FROM p GROUP BY label")
+def class_breakdown(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    n = p.count()
+    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(metrics.nll(F.element_at("p", F.col("label") + 1), 1e-12)) / n, 6).alias("nll_share"), F.count_if(F.col("pred") != F.col("label")).alias("errors"))
+
+
+@query(f"WITH {_P}, s AS (SELECT vec_id, list_position(p, list_max(p)) - 1 AS pred, list_reverse_sort(p) AS q FROM p) SELECT vec_id, CAST(pred AS INTEGER) AS pred, round(q[1] - q[2], 6) AS margin, q[1] - q[2] <= 0.05 AS ambiguous FROM s")
+def argmax_margin(spark, sf_dir):
+    q = F.sort_array("p", asc=False)
+    margin = F.get(q, F.lit(0)) - F.get(q, F.lit(1))
+    return predictions(spark, sf_dir).select("vec_id", "pred", F.round(margin, 6).alias("margin"), (margin <= 0.05).alias("ambiguous"))
+
+
+@query(f"WITH {_P}, s AS (SELECT least(CAST(floor(list_max(p) * 10) AS BIGINT), 9) AS bin, list_max(p) AS conf, list_position(p, list_max(p)) - 1 = label AS ok FROM p) SELECT bin, count(*) AS n, round(avg(conf), 6) AS confidence, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM s GROUP BY bin")
+def reliability_bins(spark, sf_dir):
+    s = predictions(spark, sf_dir).select(F.array_max("p").alias("conf"), (F.col("pred") == F.col("label")).alias("ok")).withColumn("bin", F.least(F.floor(F.col("conf") * 10), F.lit(9).cast("long")))
+    return s.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("confidence"), F.round(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+
+
+@query(f"WITH {_P}, t AS (SELECT vec_id, label, list_transform(p, lambda x: exp(ln(x) / 2.5)) AS e FROM p) SELECT vec_id, round(e[label + 1] / list_sum(e), 6) AS p_gold, round(list_max(e) / list_sum(e), 6) AS confidence FROM t")
+def temperature_scaled(spark, sf_dir):
+    e = F.transform("p", lambda x: F.exp(F.ln(x) / 2.5))
+    t = predictions(spark, sf_dir).withColumn("e", e).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    return t.select("vec_id", F.round(F.element_at("e", F.col("label") + 1) / F.col("total"), 6).alias("p_gold"), F.round(F.array_max("e") / F.col("total"), 6).alias("confidence"))
+
+
+@query()
+def temperature_fit(spark, sf_dir):
+    """The fitted temperature and its loss; an iterative search, so rows only."""
+    p = predictions(spark, sf_dir).select(F.transform("p", lambda x: F.ln(x)).alias("logs"), "label").cache()
+    t, loss = metrics.temperature(p, "logs", "label", rounds=25)
+    p.unpersist()
+    return spark.createDataFrame([(round(t, 4), round(loss, 6))], "temperature double, nll double")
+
+
+@query(f"WITH {_P} SELECT vec_id, label, list_position(p, list_max(p)) - 1 AS pred, round(list_max(p), 6) AS confidence FROM p WHERE list_position(p, list_max(p)) - 1 <> label ORDER BY list_max(p) DESC, vec_id LIMIT 20".replace("list_position(p, list_max(p)) - 1 AS pred", "CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred"))
+def confident_mistakes(spark, sf_dir):
+    p = predictions(spark, sf_dir).where("pred <> label").withColumn("c", F.array_max("p"))
+    return p.orderBy(F.col("c").desc(), "vec_id").limit(20).select("vec_id", "label", "pred", F.round("c", 6).alias("confidence"))
+
+
+@query("""
+WITH g AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place, count(*) AS n, count(*) FILTER (value > 50) AS ok FROM events GROUP BY user_id),
+k AS (SELECT count(*) AS k FROM g), s AS (SELECT r.r AS rep, i.i AS slot FROM range(200) r(r), range((SELECT k FROM k)) i(i)),
+d AS (SELECT rep, CAST(concat('0x', substr(sha256(concat(rep, ':', slot)), 1, 8)) AS BIGINT) % k AS place FROM s, k),
+a AS (SELECT rep, sum(ok) / sum(n) AS accuracy FROM d JOIN g USING (place) GROUP BY rep),
+l AS (SELECT list_sort(list(accuracy)) AS l FROM a)
+SELECT round(l[CAST(floor(0.025 * 200) AS BIGINT) + 1], 6) AS low, round(l[CAST(ceil(0.975 * 200) AS BIGINT)], 6) AS high FROM l
+""")
+def cluster_bootstrap_hash(spark, sf_dir):
+    """A 95 % interval of accuracy over 200 replicates that draw whole users; counts are summed per user first."""
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("ok"))
+    d = metrics.draws(g, "user_id", 200)
+    a = d.join(g, "user_id").groupBy("rep").agg((F.sum(F.col("ok") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("a"))
+    r = a.withColumn("i", F.row_number().over(Window.orderBy("a")))
+    return r.agg(F.round(F.max(F.when(F.col("i") == 6, F.col("a"))), 6).alias("low"), F.round(F.max(F.when(F.col("i") == 195, F.col("a"))), 6).alias("high"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_./:-]+') AS t FROM documents),
+f AS (SELECT doc_id, list_distinct(list_concat(list_transform(t, lambda x: concat('u=', x)), list_transform(range(1, len(t)), lambda i: concat('b=', t[i], '_', t[i + 1])))) AS f FROM t),
+tr AS (SELECT f.doc_id, quality, f FROM f JOIN labels USING (doc_id) WHERE doc_id % 2 = 0),
+c AS (SELECT quality, x, count(*) AS c FROM (SELECT quality, unnest(f) AS x FROM tr) GROUP BY ALL),
+v AS (SELECT x FROM c GROUP BY x HAVING sum(c) >= 2), cv AS (SELECT c.* FROM c JOIN v USING (x)),
+base AS (SELECT quality, ln((count(*) + 1) / ((SELECT count(*) FROM tr) + (SELECT count(DISTINCT quality) FROM tr))) AS prior, -ln((SELECT sum(c) FROM cv WHERE cv.quality = tr.quality) + (SELECT count(*) FROM v)) AS unseen FROM tr GROUP BY quality),
+own AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(f) AS x FROM f WHERE doc_id % 2 = 1) JOIN v USING (x)),
+m AS (SELECT doc_id, count(*) AS m FROM own GROUP BY doc_id),
+gain AS (SELECT doc_id, quality, sum(ln(c + 1.0)) AS gain FROM own JOIN cv USING (x) GROUP BY ALL)
+SELECT f.doc_id, b.quality, round(prior + coalesce(m, 0) * unseen + coalesce(gain, 0), 4) AS score
+FROM f CROSS JOIN base b LEFT JOIN m USING (doc_id) LEFT JOIN gain g ON g.doc_id = f.doc_id AND g.quality = b.quality WHERE f.doc_id % 2 = 1
+""")
+def naive_bayes_scores(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", text.probe_tokens(F.col("text")).alias("t"))
+    f = t.select("doc_id", text.presence_features(F.col("t")).alias("f"))
+    train = f.where("doc_id % 2 = 0").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "f")
+    return models.naive_bayes(train, f.where("doc_id % 2 = 1"), "doc_id", "quality", "f").withColumn("score", F.round("score", 4))
+
+
+@query("SELECT quality AS label, count(*) AS n, round((count(*) + 1.0) / ((SELECT count(*) FROM labels) + 2), 6) AS p FROM labels GROUP BY quality")
+def majority_model(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    counts = labels.groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counts.withColumn("p", F.round((F.col("n") + 1) / (total + 2), 6))
+
+
+@query()
+def sgd_logistic(spark, sf_dir):
+    """Two candidate models on one bounded sample of labelled documents; sequential updates, so rows only."""
+    some = table(spark, sf_dir, "labels").orderBy(F.xxhash64("doc_id"), "doc_id").limit(1000)
+    d = table(spark, sf_dir, "documents").join(F.broadcast(some), "doc_id")
+    w = d.select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), F.explode(F.slice(text.word_tokens(F.col("text")), 1, 100_000)).alias("t"))
+    c = w.groupBy("id", "label", "t").agg((1 + F.ln(F.count("*"))).alias("v"))
+    n = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
+    v = c.withColumn("v", F.col("v") / n).groupBy("id", "label").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("features"))
+    return models.sgd_logistic(v, [("l2-0", 0.0, 2, 42), ("l2-1", 0.01, 2, 42)])
+
+
+@query("""
+WITH a AS (SELECT vec_id, label, embedding[1] > 0 AS stored FROM embeddings WHERE vec_id % 3 <> 0), b AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0)
+SELECT count(*) FILTER (a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL) AS matched, count(*) FILTER (a.vec_id IS NULL) AS missing, count(*) FILTER (b.vec_id IS NULL) AS extra FROM a FULL OUTER JOIN b USING (vec_id)
+""")
+def prediction_join(spark, sf_dir):
+    """Records against stored predictions: matched, missing and extra."""
+    e = table(spark, sf_dir, "embeddings")
+    a, b = e.where("vec_id % 3 <> 0").select("vec_id", F.lit(1).alias("a")), e.where("vec_id % 2 = 0").select("vec_id", F.lit(1).alias("b"))
+    j = a.join(b, "vec_id", "full_outer")
+    return j.agg(F.count_if(F.expr("a = 1 and b = 1")).alias("matched"), F.count_if(F.expr("a is null")).alias("missing"), F.count_if(F.expr("b is null")).alias("extra"))
