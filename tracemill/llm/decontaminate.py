@@ -55,7 +55,8 @@ def _shingles(ws: Column, n: int) -> Column:
 
 def _positions(df: DataFrame, keep: list[str], n: int) -> DataFrame:
     """One row for each position: keep, pos (from 0), h (hash of n words)."""
-    rows = df.select(*keep, F.posexplode(_shingles(F.col("ws"), n)).alias("pos", "s")).where(F.col(f"s.w{n - 1}").isNotNull())
+    # Outer, since for an inner one the optimiser adds a filter that finds the array a second time.
+    rows = df.select(*keep, F.posexplode_outer(_shingles(F.col("ws"), n)).alias("pos", "s")).where(F.col(f"s.w{n - 1}").isNotNull())
     return rows.select(*keep, "pos", F.xxhash64(F.lit(n), *[F.col(f"s.w{k}") for k in range(n)]).alias("h"))
 
 

@@ -31,7 +31,7 @@ def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio:
     seen = (
         pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
         .where(F.col("text").isNotNull())
-        .select("host", F.xxhash64("text").alias("page_key"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _trimmed(F.col("text"))))).alias("line"))
+        .select("host", F.xxhash64("text").alias("page_key"), F.explode_outer(F.array_distinct(F.concat(F.array(F.lit("")), _trimmed(F.col("text"))))).alias("line"))
         .select("host", "page_key", F.when(F.col("line") != "", F.xxhash64("line")).alias("line_key"))
     )
     counts = seen.groupBy("host", "line_key").agg(F.count_distinct("page_key").alias("n_pages")).where(F.col("n_pages") >= F.when(F.col("line_key").isNull(), 1).otherwise(min_pages))
