@@ -16,7 +16,8 @@ def naive_bayes(train: DataFrame, docs: DataFrame, key: str, label: str, feature
     A feature that a class has not seen still counts: its likelihood is 1 / (total + V). That is a class constant
     times the number of known features, so only seen (class, feature) pairs are joined.
     """
-    seen = train.select(key, label, F.explode(features).alias("f"))
+    # Outer, since for an inner one the optimiser adds a filter that finds the features a second time.
+    seen = train.select(key, label, F.explode_outer(features).alias("f")).where("f is not null")
     counts = seen.groupBy(label, "f").agg(F.count("*").alias("c"))
     vocabulary = counts.groupBy("f").agg(F.sum("c").alias("df")).where(F.col("df") >= min_df).select("f")
     counts = counts.join(vocabulary, "f")
@@ -27,7 +28,7 @@ def naive_bayes(train: DataFrame, docs: DataFrame, key: str, label: str, feature
     if not rows:
         return docs.select(key).join(prior.select(label, F.lit(0.0).alias("score")), F.lit(False))
     base = prior.join(total, label, "left").fillna(0, ["tot"]).select(label, F.ln((F.col("n") + 1) / F.lit(rows + classes)).alias("prior"), (-F.ln(F.col("tot") + size)).alias("unseen"))
-    own = docs.select(key, F.explode(features).alias("f")).join(vocabulary, "f")
+    own = docs.select(key, F.explode_outer(features).alias("f")).join(vocabulary, "f")
     known = own.groupBy(key).agg(F.count("*").alias("m"))
     gain = own.join(counts, "f").groupBy(key, label).agg(F.sum(F.ln(F.col("c") + 1.0)).alias("gain"))
     # Every document meets every class: the classes are few, one row each.

@@ -41,7 +41,7 @@ def contained(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     i = i.withColumn("h", F.when(F.size("w") >= 4, F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)))))
     d = docs.select("doc_id", "text", word(F.col("text")).alias("w"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda k: F.xxhash64(F.get("w", k), F.get("w", k + 1))))
-    hits = d.select("doc_id", F.explode(grams).alias("h")).join(i.where("h is not null").select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
+    hits = d.select("doc_id", F.explode_outer(grams).alias("h")).join(i.where("h is not null").select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
     long = hits.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("needle")), "item_id").where(F.contains("text", "needle")).select("doc_id", "item_id")
     # The few short items, if any, are tested one by one.
     short = i.where("h is null").select("item_id", "needle").collect()

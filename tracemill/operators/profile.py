@@ -53,7 +53,7 @@ def label_gap(df: DataFrame, labels: str, over: Column, options: DataFrame) -> D
     """
     flagged = df.select(F.array_distinct(labels).alias("l"), over.cast("int").alias("o"))
     total = flagged.agg(F.count("*").alias("n"), F.coalesce(F.sum("o"), F.lit(0)).alias("n_over")).first()
-    members = flagged.select(F.explode("l").alias("option"), "o").groupBy("option").agg(F.count("*").alias("m"), F.sum("o").alias("m_over"))
+    members = flagged.select(F.explode_outer("l").alias("option"), "o").where("option is not null").groupBy("option").agg(F.count("*").alias("m"), F.sum("o").alias("m_over"))
     out = options.join(members, "option", "left").fillna(0, ["m", "m_over"])
     rest, rest_over = F.lit(total["n"]) - F.col("m"), F.lit(total["n_over"]) - F.col("m_over")
     return out.select("option", F.col("m").alias("members"), F.col("m_over").cast("long").alias("members_over"), rest.alias("others"), rest_over.cast("long").alias("others_over"), F.round(F.try_divide("m_over", "m") - F.try_divide(rest_over, rest), 6).alias("gap"))

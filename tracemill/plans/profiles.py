@@ -116,7 +116,7 @@ def multi_grouping_accuracy(spark, sf_dir):
 
 @query("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_./:-]+')) AS token, doc_id FROM documents) SELECT token, count(*) AS n FROM w GROUP BY token ORDER BY n DESC, min(doc_id), token LIMIT 30")
 def most_common(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.probe_tokens(F.col("text"))).alias("token"))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(text.probe_tokens(F.col("text"))).alias("token")).where("token is not null")
     return w.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy(F.col("n").desc(), "first", "token").limit(30).select("token", "n")
 
 
@@ -183,7 +183,7 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}')"
 
 @query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS token FROM documents), d AS (SELECT token, count(*) AS df FROM w GROUP BY token HAVING count(*) >= 2) SELECT token, df, row_number() OVER (ORDER BY df DESC, token) AS rank FROM d ORDER BY df DESC, token LIMIT 4000")
 def token_vocabulary(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.word_tokens(F.col("text")))).alias("token"))
+    w = table(spark, sf_dir, "documents").select(F.explode_outer(F.array_distinct(text.word_tokens(F.col("text")))).alias("token")).where("token is not null")
     top = w.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2").orderBy(F.col("df").desc(), "token").limit(4000)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("df").desc(), "token")).cast("long"))
 
@@ -195,7 +195,7 @@ SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 20
 def ngram_counts(spark, sf_dir):
     # Tokens are a column first: inside the n-gram lambda they would be found again for every position.
     t = table(spark, sf_dir, "documents").select(text.word_tokens(F.col("text")).alias("t"))
-    g = t.select(F.explode(text.ngrams(F.col("t"), 2)).alias("gram"))
+    g = t.select(F.explode_outer(text.ngrams(F.col("t"), 2)).alias("gram")).where("gram is not null")
     return g.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 20")
 
 
@@ -207,7 +207,7 @@ SELECT doc_id, count(*) AS terms, round(sqrt(sum(w * w)), 6) AS norm, round(max(
 """)
 def tfidf_l2(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    c = d.select("doc_id", F.explode(text.word_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("c"))
+    c = d.select("doc_id", F.explode_outer(text.word_tokens(F.col("text"))).alias("token")).where("token is not null").groupBy("doc_id", "token").agg(F.count("*").alias("c"))
     n = d.count()
     idf = c.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2").select("token", (F.ln(F.lit(1 + n) / (F.col("df") + 1)) + 1).alias("idf"))
     x = c.join(idf, "token").select("doc_id", ((F.ln("c") + 1) * F.col("idf")).alias("w"))
