@@ -1,0 +1,75 @@
+"""State text under a token budget, with the tokenizer passed in.
+
+Token costs of a subword tokenizer don't add up over pieces, so the fill is a loop over whole texts: it runs in
+Arrow batches, one conversation prefix a row.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracemill import schemas as S
+
+#: Protected fields: first limit and floor; they shrink by STEP, in this order.
+FIELDS, STEP = (("system", 3000, 100), ("observation", 7000, 300), ("task", 6000, 300)), 400
+
+
+def count_words(text: str) -> int:
+    """The default tokenizer: words and single marks."""
+    return len(re.findall(r"\w+|[^\w\s]", text))
+
+
+def shorten(text: str, limit: int) -> str:
+    if len(text) <= limit:
+        return text
+    marker = f"\n...[TRUNCATED {len(text) - limit} CHARS]...\n"
+    room = max(0, limit - len(marker))
+    tail = room - room // 2
+    return text[: room // 2] + marker + (text[-tail:] if tail else "")
+
+
+def fill(task: str, system: str, messages: list[tuple[str, str]], room: int, count: Callable[[str], int] = count_words) -> tuple[str, int] | None:
+    """(state, history messages kept) of a prefix of (role, text); None if the protected fields cannot fit.
+
+    The latest tool message, else the latest other message, is the observation. History is added newest first while
+    the budget, checked on the text in that order, holds; the final text is chronological.
+    """
+    shown = [f"[{role.upper()}]\n{shorten(body, 3500) or '[EMPTY]'}" for role, body in messages]
+    tools = [i for i, (role, _) in enumerate(messages) if role == "tool"]
+    seen = tools[-1] if tools else len(messages) - 1
+    parts = {"task": task, "system": system, "observation": shown[seen] if messages else "[NO OBSERVATION]"}
+    limits = {name: limit for name, limit, _ in FIELDS}
+
+    def state(history: list[str]) -> str:
+        body = [shorten(parts["task"], limits["task"]), shorten(parts["system"], limits["system"]), ", ".join(S.ONTOLOGY), shorten(parts["observation"], limits["observation"]), "\n\n".join(history) or "[NO ADDITIONAL HISTORY]"]
+        return "\n\n".join(f"{head}\n{text}" for head, text in zip(S.SECTIONS, body, strict=True))
+
+    while count(state([])) > room:
+        name = next((n for n, _, floor in FIELDS if limits[n] > floor), None)
+        if name is None:
+            return None
+        limits[name] = max(dict((n, f) for n, _, f in FIELDS)[name], limits[name] - STEP)
+    kept: list[str] = []
+    for i in reversed(range(len(shown))):
+        if i == seen:
+            continue
+        if count(state([*kept, shown[i]])) > room:
+            break
+        kept.append(shown[i])
+    return state(kept[::-1]), len(kept)
+
+
+def token_budget_state(room: int, count: Callable[[str], int] = count_words):
+    """A UDF of (task, system, array of (role, text)) giving (state, kept)."""
+
+    @F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("kept", T.IntegerType())]))
+    def run(task: pd.Series, system: pd.Series, messages: pd.Series) -> pd.DataFrame:
+        rows = [fill(t or "", s or "", [(m["role"] or "", m["text"] or "") for m in ms], room, count) or (None, None) for t, s, ms in zip(task, system, messages, strict=True)]
+        return pd.DataFrame(rows, columns=["state", "kept"]).astype({"kept": "Int32"})
+
+    return run

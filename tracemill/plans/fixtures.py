@@ -1 +1,173 @@
-"""Queries."""
+"""Queries that need tool calls, tags or records, over rows given here or made from the tables."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tracemill import schemas as S
+from tracemill.functions import hashing, text
+from tracemill.operators import classify, records, tagged, token_state
+from tracemill.plans.registry import query, table
+
+_TOOL_NAMES = ["read", "Read-File", "read_notes", "ls", "deep_search", "find_all", "apply-patch", "rewrite", "bash", "my_shell", "terminal", "browser", " Execute_Code ", ""]
+
+
+def _action_sql(c: str) -> str:
+    n = f"replace(trim(lower({c}), ' '), '-', '_')"
+    quoted = lambda names: ", ".join(f"'{x}'" for x in names)
+    return (
+        f"CASE WHEN {n} IN ({quoted(S.READ_NAMES)}) OR starts_with({n}, 'read_') THEN 'read' WHEN {n} IN ({quoted(S.SEARCH_NAMES)}) OR regexp_matches({n}, 'search|grep|glob|find') THEN 'search' "
+        f"WHEN {n} IN ({quoted(S.EDIT_NAMES)}) OR regexp_matches({n}, 'edit|write|patch') THEN 'edit' WHEN {n} IN ({quoted(S.EXECUTE_NAMES)}) OR regexp_matches({n}, 'shell|terminal|execute') THEN 'execute' ELSE 'other_tool' END"
+    )
+
+
+@query(f"WITH n AS (SELECT unnest({_TOOL_NAMES}) AS name UNION SELECT event_type FROM events) SELECT name, {_action_sql('name')} AS action FROM n")
+def tool_action_map(spark, sf_dir):
+    names = spark.createDataFrame([(n,) for n in _TOOL_NAMES], "name string").union(table(spark, sf_dir, "events").select("event_type")).distinct()
+    return names.select("name", text.tool_action(F.col("name")).alias("action"))
+
+
+def _wrapped(role, body):
+    """Turns as tagged values: assistants think and some tags are broken, by the turn's number."""
+    return F.when(role == "assistant", F.concat(F.when(F.col("turn") % 7 == 3, "<think>a<think>b</think>").when(F.col("turn") % 2 == 1, "<think>plan</think>").otherwise(""), body)).otherwise(body)
+
+
+@query("""
+WITH v AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN concat(CASE WHEN turn % 7 = 3 THEN '<think>a<think>b</think>' WHEN turn % 2 = 1 THEN '<think>plan</think>' ELSE '' END, text) ELSE text END AS v FROM conversations),
+t AS (SELECT *, array_to_string(list_transform(regexp_extract_all(v, '(?i)<think\\b[^>]*>|</think\\s*>'), lambda x: CASE WHEN starts_with(x, '</') THEN 'C' ELSE 'O' END), '') AS tags FROM v)
+SELECT conv_id, turn, regexp_full_match(tags, '(OC)*') AS valid, CASE WHEN regexp_full_match(tags, '(OC)*') THEN sha256(regexp_replace(v, '(?is)<think\\b[^>]*>.*?</think\\s*>', '', 'g')) END AS digest FROM t
+""")
+def think_validity(spark, sf_dir):
+    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_reasoning(_wrapped(F.col("role"), F.col("text"))).alias("r"))
+    return r.select("conv_id", "turn", "r.valid", F.when(F.col("r.valid"), F.sha2("r.text", 256)).alias("digest"))
+
+
+def cumulative(spark, sf_dir):
+    """Cumulative trace rows made from conversations: each assistant turn calls tools picked by its place.
+
+    A row holds its whole prefix, as this kind of source does.
+    """
+    c = table(spark, sf_dir, "conversations").withColumn("k", F.expr("conv_id * 7 + turn * 3"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("read_file", "grep", "write_file", "bash", "browser")]), (F.col("k") % 5 + 1).cast("int"))
+    call = lambda i, n: F.struct(F.concat(F.lit("c"), F.col("turn").cast("string"), F.lit(i)).alias("id"), F.lit("function").alias("type"), F.struct(n.alias("name"), F.lit("{}").alias("arguments")).alias("function"))
+    second = F.when(F.col("k") % 4 == 0, F.lit("bash")).otherwise(name)
+    calls = F.when((F.col("role") == "assistant") & (F.col("k") % 6 != 0), F.array(call("a", name), call("b", second))).when(F.col("role") == "assistant", F.array().cast(f"array<{S.CALL}>"))
+    result = F.when((F.col("role") == "user") & (F.col("turn") > 0) & (F.col("k") % 11 != 0), True).otherwise(False)
+    # Both results of the assistant turn before stand in tool messages after it.
+    own = F.struct("role", F.col("text").alias("content"), F.lit(None).cast("string").alias("reasoning_content"), calls.alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"), F.lit(None).cast("string").alias("name"))
+    tool = lambda i: F.struct(F.lit("tool").alias("role"), F.lit("ok").alias("content"), F.lit(None).cast("string").alias("reasoning_content"), F.lit(None).cast(f"array<{S.CALL}>").alias("tool_calls"), F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"), F.lit(i)).alias("tool_call_id"), F.lit(None).cast("string").alias("name"))
+    c = c.withColumn("ms", F.when(result, F.array(tool("a"), tool("b"), own)).otherwise(F.array(own)))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"messages": F.flatten(F.collect_list("ms").over(w)), "assistant_step": F.sum((F.col("role") == "assistant").cast("int")).over(w).cast("int")}).where("role = 'assistant'")
+    n = F.size("messages")
+    return c.select(
+        "conv_id", "turn", F.sha2(F.col("conv_id").cast("string"), 256).alias("source_trajectory_sha256"), "assistant_step", F.max("assistant_step").over(Window.partitionBy("conv_id")).alias("assistant_steps"),
+        F.when(F.col("k") % 23 == 0, n).otherwise(n - 1).alias("target_message_index"), n.alias("n_messages"), "messages",
+    )
+
+
+_TRACE = f"""
+c AS (SELECT *, conv_id * 7 + turn * 3 AS k FROM conversations),
+m AS (SELECT *, ['read_file', 'grep', 'write_file', 'bash', 'browser'][k % 5 + 1] AS name FROM c),
+x AS (SELECT *, CASE WHEN role = 'assistant' AND k % 6 <> 0 THEN [name, CASE WHEN k % 4 = 0 THEN 'bash' ELSE name END] ELSE [] END AS names, role = 'user' AND turn > 0 AND k % 11 <> 0 AS answers FROM m),
+y AS (SELECT *, bool_or(role = 'assistant' AND len(names) > 0 AND NOT EXISTS (SELECT 1 FROM x r WHERE r.conv_id = x.conv_id AND r.turn = x.turn + 1 AND r.answers)) OVER b AS open_before,
+  first_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER b AS task FROM x WINDOW b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kinds AS (SELECT *, list_sort(list_distinct(list_transform(names, lambda n: {_action_sql('n')}))) AS cats FROM y WHERE role = 'assistant')"""
+
+
+@query(f"""
+WITH {_TRACE},
+r AS (SELECT *, CASE WHEN k % 23 = 0 THEN 'invalid_cumulative_target_boundary' WHEN len(names) = 0 THEN 'no_call_without_positive_completion' WHEN len(cats) <> 1 THEN 'mixed_target_categories'
+  WHEN coalesce(task, '') = '' THEN 'missing_initial_user_task' WHEN coalesce(open_before, false) THEN 'unresolved_prefix_tool_call' END AS reason FROM kinds)
+SELECT coalesce(reason, 'retained') AS outcome, CASE WHEN reason IS NULL THEN cats[1] END AS label, count(*) AS n FROM r GROUP BY 1, 2
+""")
+def whole_turn_ledger(spark, sf_dir):
+    d = classify.whole_turn(cumulative(spark, sf_dir))
+    return d.groupBy(F.coalesce("reason", F.lit("retained")).alias("outcome"), "label").agg(F.count("*").alias("n"))
+
+
+def _first_call_sql() -> str:
+    return f"""
+WITH {_TRACE},
+r AS (SELECT *, CASE WHEN len(names) = 0 THEN 'respond_or_finish' ELSE {_action_sql('names[1]')} END AS label, CASE WHEN k % 23 = 0 THEN 'malformed_row' WHEN coalesce(task, '') = '' THEN 'missing_initial_user_task' WHEN coalesce(open_before, false) THEN 'unresolved_prefix_tool_call' END AS reason FROM kinds)
+SELECT coalesce(reason, 'retained') AS outcome, label, count(*) AS n FROM r GROUP BY 1, 2"""
+
+
+@query(_first_call_sql())
+def first_call_v1(spark, sf_dir):
+    return classify.first_call(cumulative(spark, sf_dir), 1).groupBy(F.coalesce("reason", F.lit("retained")).alias("outcome"), "label").agg(F.count("*").alias("n"))
+
+
+@query(_first_call_sql())
+def first_call_v2(spark, sf_dir):
+    return classify.first_call(cumulative(spark, sf_dir), 2).groupBy(F.coalesce("reason", F.lit("retained")).alias("outcome"), "label").agg(F.count("*").alias("n"))
+
+
+@query()
+def trajectory_audit(spark, sf_dir):
+    """Per trajectory: kept and excluded rows with their counts by label and reason (maps, so rows only)."""
+    a = classify.trajectory_audit(classify.whole_turn(cumulative(spark, sf_dir)))
+    return a.withColumns({"by_label": F.to_json("by_label"), "by_reason": F.to_json("by_reason")})
+
+
+def tagged_rows(spark, sf_dir):
+    """Tagged conversations made from conversations: call and response wrappers round each exchange."""
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'").withColumn("k", F.expr("conv_id * 5 + turn"))
+    name = F.element_at(F.array(*[F.lit(t) for t in S.TOOLSET]), (F.col("conv_id") % 6 + 1).cast("int"))
+    wrong = F.when(F.col("k") % 13 == 0, F.lit("other")).otherwise(name)
+    value = F.when(F.col("role") == "assistant", F.concat(F.lit("<think>x</think><tool_call>{\"name\": \""), name, F.lit("\"}</tool_call>"))).otherwise(F.concat(F.lit("<tool_response>{\"name\": \""), wrong, F.lit("\"}</tool_response>")))
+    turn = F.struct("turn", F.struct(F.when(F.col("role") == "assistant", "gpt").otherwise("tool").alias("from"), value.alias("value")).alias("m"))
+    return c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("task"), F.transform(F.sort_array(F.collect_list(turn)), lambda t: t["m"]).alias("conversations")).withColumn("id", F.col("conv_id").cast("string"))
+
+
+@query("""
+WITH c AS (SELECT *, conv_id * 5 + turn AS k FROM conversations WHERE role <> 'system'), o AS (SELECT *, lag(role) OVER w AS r1, lag(role, 2) OVER w AS r2, lag(k) OVER w AS k1 FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT CASE WHEN k1 % 13 = 0 THEN 'linkage' ELSE 'kept' END AS outcome, count(*) AS n FROM o WHERE role = 'assistant' AND r1 <> 'assistant' AND r2 = 'assistant' GROUP BY 1
+""")
+def tagged_candidates(spark, sf_dir):
+    d = tagged.candidates(tagged_rows(spark, sf_dir), need_both=True)
+    return d.groupBy(F.coalesce("reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_RECORDS = {
+    "good": {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}, "gold": {"q": {"type": "choice", "label": "a", "probabilities": {"a": 0.25, "b": 0.75}}}},
+    "order": {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}, "gold": {"q": {"type": "choice", "label": "a", "probabilities": {"b": 0.75, "a": 0.25}}}},
+    "sum": {"state": {}, "questions": {"q": {"type": "noul", "instructions": "i", "criteria": None}}, "gold": {"q": {"type": "noul", "label": None, "probabilities": {"false": 0.5, "true": 0.4}}}},
+    "one level": {"state": [], "questions": {"q": {"type": "score", "instructions": "i", "criteria": ["only"]}}},
+    "no state": {"questions": {"q": {"type": "score", "instructions": " ", "criteria": ["a", "b"]}}},
+}
+
+
+@query()
+def record_validation(spark, sf_dir):
+    """Records and the rules that they break; untyped JSON with ordered keys, so rows only."""
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in _RECORDS.items()], "name string, record string")
+    return rows.select("name", F.array_join(records.record_reasons("record"), ",").alias("reasons"))
+
+
+@query()
+def canonical_digests(spark, sf_dir):
+    """The digest of each event's properties as canonical JSON; exact number texts need Python's writer, so rows only."""
+    return table(spark, sf_dir, "events").select("event_id", hashing.canonical_digest("props").alias("digest"))
+
+
+@query()
+def token_budget_states(spark, sf_dir):
+    """Each conversation's state under 512 tokens; the fill retokenizes whole texts, so rows only."""
+    c = table(spark, sf_dir, "conversations")
+    m = c.groupBy("conv_id").agg(
+        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("task"), F.min_by("text", F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
+        F.sort_array(F.collect_list(F.when(F.col("role") != "system", F.struct("turn", "role", "text")))).alias("ms"),
+    )
+    s = m.select("conv_id", token_state.token_budget_state(512)(F.col("task"), F.col("system"), F.transform("ms", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))).alias("s"))
+    return s.select("conv_id", "s.kept", F.sha2("s.state", 256).alias("digest"), (F.size(text.sections(F.col("s.state"))) == 5).alias("parses"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS reservations, round(sum(greatest(o_totalprice / 1000, CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 1000 ELSE o_totalprice / 900 END)), 6) AS charged FROM orders")
+def budget_charge(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    ledger = o.select(F.col("o_orderkey").alias("token"), (F.col("o_totalprice") / 1000).alias("reserved_seconds"), F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice") / 900).alias("actual_seconds"))
+    return records.ledger_charge(ledger)
