@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import cut, table
+from tracemill.llm.common import cut, small_side, table
 
 RADIUS, SHINGLE, SEED, BUCKET = 2, 3, 42, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -139,9 +139,9 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
     Rows of a component without any doc_id are kept.
     """
-    groups = cluster(docs, doc, text)
-    gone = groups.where("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs[doc].eqNullSafe(F.col("__gone")), "left_anti")
+    groups = cut(cluster(docs, doc, text))
+    gone = cut(groups.where("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct())
+    out = docs.join(small_side(gone), docs[doc].eqNullSafe(F.col("__gone")), "left_anti")
     return out.dropDuplicates([doc]) if groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() else out
 
 

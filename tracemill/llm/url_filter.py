@@ -13,7 +13,8 @@ not overlap, so a capture meets at most one per list and key. Equal (url, time)
 
 Defined cases: a null or unparsable URL, or a null time, matches nothing and is not blocked; two entries of one
 key at one time: an add beats a remove; an entry of null key or time is ignored; an allow beats a block;
-repeated captures keep their rows; extra columns pass through.
+repeated captures keep their rows; extra columns pass through, but for
+those named as the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -60,8 +61,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
     keyed = probes.withColumn("bucket", bucket("t")).withColumn("k", F.explode(url_keys(F.col("u")))).select("u", "t", "bucket", "k.kind", "k.key")
     hits = keyed.join(small_side(active, broadcast_rows), ["kind", "key", "bucket"]).where("valid_from <= t and (valid_to is null or t < valid_to)")
     rule = F.concat_ws(":", "list", "effect", "kind", "key")
-    verdict = hits.groupBy("u", "t").agg(F.array_join(F.array_sort(F.collect_set(rule)), "\n").alias("rules"), F.count_distinct(rule).alias("n_rules"), (F.max(F.col("effect") == "block") & ~F.max(F.col("effect") == "allow")).alias("blocked"))
-    out = captures.join(verdict, (captures[url] == F.col("u")) & (captures[at] == F.col("t")), "left").drop("u", "t")
+    verdict = hits.groupBy(F.col("u").alias("__u"), F.col("t").alias("__t")).agg(F.array_join(F.array_sort(F.collect_set(rule)), "\n").alias("rules"), F.count_distinct(rule).alias("n_rules"), (F.max(F.col("effect") == "block") & ~F.max(F.col("effect") == "allow")).alias("blocked"))
+    captures = captures.drop("rules", "n_rules", "blocked")
+    out = captures.join(verdict, (captures[url] == F.col("__u")) & (captures[at] == F.col("__t")), "left").drop("__u", "__t")
     return out.withColumns({"rules": F.coalesce("rules", F.lit("")), "n_rules": F.coalesce("n_rules", F.lit(0)).cast("long"), "blocked": F.coalesce("blocked", F.lit(False))})
 
 
