@@ -28,6 +28,7 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,22 +196,22 @@ class Page:
 _ROWS = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.LongType()), T.StructField("content", T.BooleanType()), T.StructField("feature", T.LongType())])
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, rows = [], []
-        for host, html in zip(batch["host"], batch["html"], strict=True):
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found = Page(html).features() if html else ()
             hosts += [host] * len(found)
             rows += found
             if len(rows) > 200_000:
-                yield _frame(hosts, rows)
+                yield _rows(hosts, rows)
                 hosts, rows = [], []
-        yield _frame(hosts, rows)
+        yield _rows(hosts, rows)
 
 
-def _frame(hosts: list, rows: list) -> pd.DataFrame:
-    signed = lambda k: np.array([r[k] for r in rows], np.uint64).view(np.int64)
-    return pd.DataFrame({"host": hosts, "path": signed(0), "content": [r[1] for r in rows], "feature": signed(2)})
+def _rows(hosts: list, rows: list) -> pa.RecordBatch:
+    signed = lambda k: pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), signed(0), pa.array([r[1] for r in rows], pa.bool_()), signed(2)], names=["host", "path", "content", "feature"])
 
 
 def host_of(url):
@@ -219,7 +220,7 @@ def host_of(url):
 
 def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, path, m, importance) of every node of every host's style tree."""
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInPandas(_emit, _ROWS)
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(_emit, _ROWS)
     counts = seen.groupBy("host", "path", "content", "feature").agg(F.count("*").alias("k"))
     k, content = F.col("k"), F.col("content")
     nodes = counts.groupBy("host", "path").agg(
