@@ -121,6 +121,16 @@ def test_simhash_masks_cover_and_cases(spark, odd):
     assert kept.where("doc_id = 1").count() == 1 and kept.columns == odd.columns
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b, c, e = ("alpha beta gamma delta", "one two three four five", "red green blue black white", "sun moon star sky rain")
+    rows = docs(spark, (1, a, "s"), (None, a, "s"), (None, b, "s"), (2, a, "s"), (2, c, "s"), (5, e, "s"), (5, e, "s"), (7, "x y z", "s"), (7, "p q r", "s"), (8, "", "s"), (8, None, "s"), (None, "u v w", "s"), (None, "u v w", "s"), (9, "Far Away", "s"), (9, "far away", "s"))
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(rows.repartition(3)).collect()), key=str)
+    empty = [x for x in got if x[0] == 8]
+    assert len(empty) == 1
+    want = [(1, a), (None, b), (2, c), (5, e), (7, "x y z"), (7, "p q r"), (None, "u v w"), (None, "u v w"), (9, "Far Away")]
+    assert [x for x in got if x[0] != 8] == sorted(want, key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

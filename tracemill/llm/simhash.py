@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm.common import cut, small_side, table
+from tracemill.llm.decontaminate import text_key
 
 RADIUS, SHINGLE, SEED, BUCKET = 2, 3, 42, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -124,14 +125,19 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def cluster(docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, f, component_id) of every row: signed fingerprint and the least doc_id that can be reached."""
-    prints = cut(docs.select(F.col(doc).alias("doc_id"), _fingerprints(F.col(text)).alias("f")))
+def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = BUCKET, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, f, root, component_id) of every row, then ``extra``; root tells components apart that share their least doc_id."""
+    prints = cut(docs.select(F.col(doc).alias("doc_id"), _fingerprints(F.col(text)).alias("f"), *extra))
     nodes = cut(prints.groupBy("f").agg(F.min("doc_id").alias("rep")))
     roots = components(links(nodes.select("f"), bucket))
     rooted = nodes.join(roots, nodes["f"] == roots["node"], "left").select("f", "rep", F.coalesce("root", "f").alias("root"))
     best = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints.join(rooted.join(best, "root").select("f", "component_id"), "f").select("doc_id", "f", "component_id")
+    return prints.join(rooted.join(best, "root").select("f", "root", "component_id"), "f").select("doc_id", "f", "root", "component_id", *prints.columns[2:])
+
+
+def cluster(docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, f, component_id) of every row: signed fingerprint and the least doc_id that can be reached."""
+    return grouped(docs, doc, text, bucket).select("doc_id", "f", "component_id")
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,10 +145,35 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
     Rows of a component without any doc_id are kept.
     """
-    groups = cut(cluster(docs, doc, text))
-    gone = cut(groups.where("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct())
-    out = docs.join(small_side(gone), docs[doc].eqNullSafe(F.col("__gone")), "left_anti")
-    return out.dropDuplicates([doc]) if groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() else out
+    return keep_least(docs, grouped(docs, doc, text, extra=(text_key(F.col(text)),)), doc, text)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the least (doc_id, text) of each root of ``groups`` (doc_id, text_key, root), and all rows of a root without ids.
+
+    Rows are told apart by id and text, so none goes for another of its id. Only narrow keys are joined.
+    """
+    rows = cut(groups.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    least = rows.where("doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
+    firsts = cut(rows.join(least, "root").where("doc_id = low").groupBy("root", "low").agg(F.min("text_key").alias("first"), F.count("*").alias("k")))
+    # Texts are read only where a component's least id comes with several.
+    tied = cut(firsts.where("k > 1").join(rows, "root").where("doc_id = low").select("root", F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")))
+    if tied.limit(1).count():
+        texts = docs.join(small_side(tied), _same_row(docs, doc, text)).groupBy("root").agg(F.min(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.col("__key").alias("k")))["k"].alias("named"))
+        firsts = firsts.join(texts, "root", "left").withColumn("first", F.coalesce("named", "first"))
+    firsts = firsts.select("root", "low", "first")
+    judged = cut(rows.join(firsts, "root").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "n", F.expr("doc_id <=> low and text_key = first").alias("kept")).where("not kept or n > 1"))
+    out = docs.join(small_side(judged.where("not kept").select("__doc", "__key")), _same_row(docs, doc, text), "left_anti")
+    equal = judged.where("kept").select("__doc", "__key")
+    if not equal.limit(1).count():
+        return out
+    equal = small_side(equal)
+    once = out.join(equal, _same_row(out, doc, text), "left_semi").withColumn("__key", text_key(F.col(text))).dropDuplicates([doc, "__key"]).drop("__key")
+    return out.join(equal, _same_row(out, doc, text), "left_anti").unionByName(once)
+
+
+def _same_row(docs: DataFrame, doc: str, text: str) -> Column:
+    return docs[doc].eqNullSafe(F.col("__doc")) & (text_key(docs[text]) == F.col("__key"))
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:
