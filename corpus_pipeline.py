@@ -1,7 +1,8 @@
 """A corpus pipeline over the training-text operators.
 
 Stages, in order: the quality classifier drops documents it rejects; line dedup drops boilerplate lines of each
-source; SimHash near-dedup keeps one document of each group; decontamination drops documents that hold a window of
+source; near-dedup keeps one document of each group, linked by shingles of 5 words with a Jaccard index of 0.8 or more or
+by SimHash; decontamination drops documents that hold a window of
 a benchmark item; mixing deals the rest out to target weights, one row per copy. Each stage takes
 (spark, docs, sf_dir) and works on all rows its predecessor kept; the cases its operator defines hold here too.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, line_dedup, quality, simhash, source_mix
+from tracemill.llm import decontaminate, line_dedup, near_copies, quality, source_mix
 from tracemill.llm.common import cut, table, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,8 +35,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs.select(COLUMNS)).select(COLUMNS)
+    """One document of each group of near copies, by shingles (Jaccard index 0.8 or more) or by SimHash."""
+    return near_copies.keep_one(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat_format, decontaminate, html_extract, line_dedup, quality, simhash, token_counts, url_filter, winnow
+from tracemill.llm import chat_format, decontaminate, html_extract, line_dedup, near_copies, quality, simhash, token_counts, url_filter, winnow
 from tracemill.llm.html_extract import Page
 
 DOCS = "doc_id long, text string, source string, n int, d string, h long, ws string, __keep string"
@@ -131,6 +131,56 @@ def test_keep_one_decides_by_row(spark):
     assert [x for x in got if x[0] != 8] == sorted(want, key=str)
 
 
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    bases, texts = [[word() for _ in range(rng.choice([3, 20, 60, 150, 250]))] for _ in range(12)], ["", None, "A b", "a  B"]
+    notice = [word() for _ in range(12)]  # common to unrelated texts
+    for b in bases:
+        for _ in range(12):
+            w = list(b)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w + (notice if rng.random() < 0.5 else [])))
+    rows = docs(spark, *[(i, t, "s") for i, t in enumerate(texts)])
+    grams = lambda w: frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    sets = [grams((t or "").lower().split()) for t in texts]
+    part = list(range(len(texts)))
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) > 0:
+                part[root(i)] = root(j)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(root(i), set()).add(i)
+    assert 20 < len(want) < len(texts) - 20
+    for common in (5, 10_000):  # the order bears on the work only
+        monkeypatch.setattr(near_copies, "COMMON", common)
+        got = {}
+        for r in near_copies.grouped(rows).collect():
+            got.setdefault(r["root"], set()).add(r["doc_id"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert near_copies.grouped(rows.limit(0)).count() == 0
+
+
+def test_near_dedup_stage_finds_edited_copies(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(180)]
+    edited = [*w[:60], "changed", *w[61:150], "added", *w[150:]]
+    assert (simhash.fingerprint(" ".join(w)) ^ simhash.fingerprint(" ".join(edited))).bit_count() > simhash.RADIUS
+    other = " ".join(rng.choice(w) for _ in range(100))
+    rows = spark.createDataFrame([(3, " ".join(w), "en", "s", 1), (2, " ".join(edited), "en", "s", 1), (None, other, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in p.near_dedup_stage(spark, rows, "").collect()} == {2, None}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
