@@ -138,7 +138,7 @@ def sgd_logistic(spark, sf_dir):
     """Two candidate models on one bounded sample of labelled documents; sequential updates, so rows only."""
     some = table(spark, sf_dir, "labels").orderBy(F.xxhash64("doc_id"), "doc_id").limit(1000)
     d = table(spark, sf_dir, "documents").join(F.broadcast(some), "doc_id")
-    w = d.select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), F.explode(F.slice(text.word_tokens(F.col("text")), 1, 100_000)).alias("t"))
+    w = d.select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), F.explode(text.word_tokens(F.col("text"))).alias("t"))
     c = w.groupBy("id", "label", "t").agg((1 + F.ln(F.count("*"))).alias("v"))
     n = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
     v = c.withColumn("v", F.col("v") / n).groupBy("id", "label").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("features"))
