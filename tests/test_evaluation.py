@@ -1,5 +1,6 @@
 """Queries of the evaluation plans that have no SQL."""
 
+from tracemill.operators import metrics
 from tracemill.plans import evaluation
 
 
@@ -7,3 +8,11 @@ def test_sgd_logistic_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "word " * 100_001 + "lastword"), (2, "other text")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert "lastword" in {r["feature"] for r in evaluation.sgd_logistic(spark, str(tmp_path)).collect()}
+
+
+def test_temperature_fit_makes_the_rounds_of_the_reference(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 0, [1.0] * 10)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = []
+    monkeypatch.setattr(metrics, "temperature", lambda *args, rounds=60: made.append(rounds) or (1.0, 0.0))
+    evaluation.temperature_fit(spark, str(tmp_path))
+    assert made == [100]

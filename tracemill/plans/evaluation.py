@@ -77,7 +77,7 @@ def temperature_scaled(spark, sf_dir):
 def temperature_fit(spark, sf_dir):
     """The fitted temperature and its loss; an iterative search, so rows only."""
     p = predictions(spark, sf_dir).select(F.transform("p", lambda x: F.ln(x)).alias("logs"), "label").cache()
-    t, loss = metrics.temperature(p, "logs", "label", rounds=25)
+    t, loss = metrics.temperature(p, "logs", "label", rounds=100)
     p.unpersist()
     return spark.createDataFrame([(round(t, 4), round(loss, 6))], "temperature double, nll double")
 
