@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, so that it is computed once and survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of ``spark.checkpoint.dir``, or the one set on the context.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    folder on the context exists (plain unit tests) is a temporary one made.
+    Where neither is set, a local session gets a temporary one; on a cluster, whose executors would each write to a
+    disk of their own, that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    wanted = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
+        if not wanted and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="tracemill-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, so that it is computed once and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a Parquet table: compressed, and later reads take only the columns that they need."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -164,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "do
     """A model of ``quality`` from at most ``sample`` labelled rows outside the held-out quarter."""
     rows = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and __id is not null").where(~held_out("__id"))
     some = rows.orderBy(F.xxhash64("__id"), "__id", "y").limit(sample)
-    seen = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).join(F.broadcast(some), F.col("d") == F.col("__id")).select("__id", "y", _features("t").alias("x")).collect()
-    seen = sorted(seen, key=lambda r: (r["__id"], r["y"], r["x"]))
+    found = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).join(F.broadcast(some), F.col("d") == F.col("__id")).select("__id", "y", _features("t").alias("x"))
+    # An id may stand on many rows, so the bound holds for what is collected, too.
+    seen = sorted(found.orderBy(F.xxhash64("__id"), "__id", "y", "x").limit(sample).collect(), key=lambda r: (r["__id"], r["y"], r["x"]))
     return Model(np.array([r["x"] for r in seen], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in seen], float))
 
 

@@ -110,8 +110,7 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for nodes that have edges; no node is its own row twice."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: each neighbour above a node is tied to the least of the node and its neighbours.
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -119,10 +118,13 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its lower neighbours are tied to the least of them.
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         edges = cut(big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge and no edge leads on from where another ends; then nothing is left to do."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").limit(1).count()
 
 
 def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = BUCKET, extra: tuple[Column, ...] = ()) -> DataFrame:
