@@ -64,13 +64,14 @@ def test_entry_imports_without_the_training_text_operators(tmp_path, gone):
     for name in ("tracemill", "tests"):
         shutil.copytree(here / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
     for name in ("__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
-        shutil.copy(here / name, tmp_path / name)
+        if (here / name).exists():
+            shutil.copy(here / name, tmp_path / name)
     for name in gone:
         target = tmp_path / name
-        shutil.rmtree(target) if target.is_dir() else target.unlink()
+        shutil.rmtree(target, ignore_errors=True) if target.is_dir() else target.unlink(missing_ok=True)
     code = "import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     ran = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert ran.returncode == 0, ran.stderr
     names = ran.stdout.split()
     assert set(OWN) <= set(names) and "pipeline" not in names
-    assert any(n.startswith("op1_") for n in names) == ("tracemill/llm" not in gone)
+    assert any(n.startswith("op1_") for n in names) == (tmp_path / "tracemill/llm").exists()
