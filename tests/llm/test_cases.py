@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -206,10 +207,36 @@ def test_token_counter_against_the_library():
     counter, library = token_counts.Counter(token_counts.load(path)), sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(7)
     letters = "ab thein  \n\t<s></s>é日本語あ🙂的一 ▁ \x00_--==##//**aeioust0123​\r"
-    texts = ["", " ", "</s>", "a" * 5000, "  " * 40, "=" * 77, "x" + " " * 33 + "y"] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    draw = lambda of, most: "".join(rng.choice(of) for _ in range(rng.randint(1, most)))
+    texts = ["", " ", "</s>", "a" * 5000, "  " * 40, "=" * 77, "x" + " " * 33 + "y"] + [draw("etha", 900) for _ in range(300)] + [draw("abcdefghijklmnopqrstuvwxyz", 900) for _ in range(200)]
+    texts += [(" " * rng.randint(0, 60)).join(draw("x=\n", 4) for _ in range(6)) for _ in range(300)]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
     assert counter.count(texts) == [len(t) for t in library.encode(texts, num_threads=1)]
 
 
+@pytest.mark.parametrize("piece", [" ", "the", "=", "eth", "inger", "a", "\n", "的", None])
+def test_token_counts_of_a_long_text_without_breaks_take_seconds(piece):
+    import public_tokenizers
+    import sentencepiece
+
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(3)
+    text = (piece * 1_000_000)[:1_000_000] if piece else "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    counter, began = token_counts.Counter(token_counts.load(path)), time.perf_counter()
+    found = counter.count([text])
+    took = time.perf_counter() - began
+    assert found == [len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))] and took < 20
+
+
+def test_token_count_cases(spark, odd):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = token_counts.add_counts(odd.repartition(16), path, out="n")
+    got = {(r["doc_id"], r["text"]): r["n"] for r in out.collect()}
+    assert out.count() == 7 and out.columns == odd.columns and got[None, None] == got[2, ""] == 0 and got[3, "long " * 30000] == 30001
+    assert token_counts.add_counts(odd.limit(0), path).count() == 0
+
+
 def test_chat_windows_round_trip(spark):
     rng = random.Random(8)
     bits = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "~", "~1", "[", "<", "/INST]", "é", "\n", "word ", "\\", "$1"]

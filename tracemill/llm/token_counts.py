@@ -2,20 +2,29 @@
 
 Texts are cut into pre-tokens at places no piece spans, and each distinct pre-token of a batch is counted once:
 all of them lie end to end in one numpy array of symbol ids. A round looks up the rank of every adjacent pair,
-takes each sequence's lowest, and merges all its occurrences in all sequences at once, until nothing merges.
+takes each sequence's lowest, and merges its occurrences in all sequences at once, until nothing merges.
 The surviving symbols are the tokens; a character outside the vocabulary counts as its UTF-8 bytes.
 
-Where merging all occurrences at once could differ from merging them left to right (pieces of equal score, and
-pieces that can grow into one of better rank) only the leftmost occurrence of a sequence is merged in a round.
+The library merges one pair at a time, the leftmost of the lowest rank. A round equals that as long as no merge makes
+a pair of better rank, since that one would come before the other occurrences; so a sequence takes its occurrences up
+to the first that does. Pieces of equal rank are runs of one character (spaces) of any length up to the longest such
+piece: the library then takes the longest from the left, and a run's count is how often that fits and its rest's count.
+
+A round costs the length of what is alive. Sequences of more than ``LONG`` symbols stay in rounds only while each takes
+a sixteenth of them away (the first ``ROUNDS`` are free); then a heap of (rank, place) goes on from where the rounds stopped, so long texts without
+a break take near-linear time.
 
 Defined cases: null and empty texts have no tokens; control strings inside texts are ordinary text; nothing is
-truncated; texts of any length are handled, memory is that of an Arrow batch plus a bounded cache of pre-tokens.
+truncated; texts of any length are handled, memory is that of an Arrow batch plus a bounded cache of pre-tokens;
+repeated rows are counted each; an empty table gives none; extra columns pass through, but for one named as ``out``,
+which is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -26,6 +35,8 @@ from tracemill.llm.common import table
 
 #: Pre-tokens whose counts a worker remembers, and the longest text that is remembered.
 CACHE, CACHE_CHARS = 400_000, 40
+#: Symbols of a sequence from which each round after the first ``ROUNDS`` must take a sixteenth of them, or the heap goes on.
+LONG, ROUNDS = 64, 16
 _SPACE = "▁"
 _NONE = np.iinfo(np.int32).max
 
@@ -55,17 +66,17 @@ def load(path: str) -> dict:
                 pairs[ids[p[:i]] * len(ids) + ids[p[i:]]] = ids[p]
     keys = np.array(sorted(pairs), np.int64)
     made = np.array([pairs[k] for k in keys.tolist()], np.int32)
-    alone = np.zeros(len(ids), bool)
-    ranks, n = np.bincount(rank[:real]), len(ids)
-    alone[:real] = ranks[rank[:real]] > 1
-    for part in (keys // n, keys % n):
-        better = rank[made] <= rank[part]
-        alone[part[better & (part < real)]] = True
+    # Pieces of equal rank: only multiples of one character.
+    level = np.bincount(rank[:real])[rank[:real]] > 1
+    tied = [p for p, x in zip(scores, level, strict=True) if x]
+    run, most = tied[0][0] if tied else "", max(map(len, tied), default=0)
+    if any(p.strip(run) for p in tied) or len({scores[p] for p in tied}) > 1 or any(run * 2 in p and p not in tied for p in scores if run):
+        raise ValueError("only runs of one character may share a score")
     chars = {ord(p): i for p, i in ids.items() if len(p) == 1}
     inner = sorted({(ord(a) << 21) | ord(b) for p in scores for a, b in zip(p, p[1:], strict=False)})
     spans = any(_SPACE in p.lstrip(_SPACE) for p in scores)
     return {
-        "n": n, "real": real, "rank": rank, "keys": keys, "made": made, "alone": alone, "inner": np.array(inner, np.int64),
+        "n": len(ids), "real": real, "rank": rank, "keys": keys, "made": made, "run": ids.get(run, -1), "most": most, "tied": int(rank[ids[tied[0]]]) if tied else -1, "inner": np.array(inner, np.int64),
         "points": np.array(list(chars), np.int64), "point_ids": np.array(list(chars.values()), np.int32), "prefix": bool(spec.add_dummy_prefix), "spans": spans, "breaks": not any("\n" in p for p in scores),
     }
 
@@ -84,8 +95,24 @@ class Counter:
         own = model["point_ids"] >= model["real"]
         self.weight[model["point_ids"][own]] = self.bytes_of[model["points"][own]]
         self.cache: dict[str, int] = {}
+        self.table: dict[int, int] | None = None  # of the heap, made when first needed
+        self.rest: np.ndarray | None = None  # tokens of the tied character's runs, by length
         self.split = (lambda t: [t]) if model["spans"] else re.compile(r" +[^ \n]*|[^ \n]+|\n" if model["breaks"] else r" +[^ ]*|[^ ]+").findall
 
+    def pieces(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols makes, or -1."""
+        keys = self.m["keys"]
+        key = left.astype(np.int64) * self.m["n"] + right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (left >= 0) & (right >= 0), self.m["made"][at], -1)
+
+    def ranks(self, pieces: np.ndarray) -> np.ndarray:
+        return np.where(pieces >= 0, self.m["rank"][np.maximum(pieces, 0)], _NONE)
+
+    def worth(self, symbols: np.ndarray) -> np.ndarray:
+        """Tokens that each surviving symbol stands for."""
+        return np.where(symbols < 0, -symbols.astype(np.int64), self.weight[np.maximum(symbols, 0)])
+
     def merged(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         m = self.m
@@ -98,49 +125,125 @@ class Counter:
         if len(s) > 1:
             pair = (points[:-1] << 21) | points[1:]
             begin[1:] = (word[1:] != word[:-1]) | (m["inner"][np.minimum(np.searchsorted(m["inner"], pair), len(m["inner"]) - 1)] != pair)
+        rounds = 0
         while len(s):
-            joined = np.flatnonzero(~begin[1:])  # left ends of pairs
-            left, right = s[joined].astype(np.int64), s[joined + 1].astype(np.int64)
-            key = left * m["n"] + right
-            at = np.minimum(np.searchsorted(m["keys"], key), len(m["keys"]) - 1)
-            into = np.where((m["keys"][at] == key) & (left >= 0) & (right >= 0), m["made"][at], -1)
-            rank = np.full(len(s), _NONE, np.int32)
-            rank[joined] = np.where(into >= 0, m["rank"][into], _NONE)
-            target = np.full(len(s), -1, np.int32)
-            target[joined] = into
+            rounds += 1
+            target = np.full(len(s), -1, np.int32)  # of each symbol with the next
+            target[:-1] = np.where(begin[1:], -1, self.pieces(s[:-1], s[1:]))
+            rank = self.ranks(target)
             starts = np.flatnonzero(begin)
-            lowest = np.minimum.reduceat(rank, starts)
             size = np.diff(np.append(starts, len(s)))
-            done = np.repeat(lowest == _NONE, size)
-            if done.any():
-                gone = s[done]
-                np.add.at(counts, word[done], np.where(gone < 0, -gone.astype(np.int64), self.weight[np.maximum(gone, 0)]))
-                live = ~done
-                s, word, begin, rank, target = s[live], word[live], begin[live], rank[live], target[live]
-                size, lowest = size[lowest != _NONE], lowest[lowest != _NONE]
+            lowest = np.minimum.reduceat(rank, starts)
+            over = lowest == _NONE
+            last = lowest == m["tied"]
+            if last.any():
+                counts += self._runs(s, word, begin, rank == m["tied"], np.repeat(last, size), len(words))
+            if over.any():
+                done = np.repeat(over, size)
+                np.add.at(counts, word[done], self.worth(s[done]))
+            live = ~(over | last)
+            if not live.all():
+                stay = np.repeat(live, size)
+                s, word, begin, rank, target = s[stay], word[stay], begin[stay], rank[stay], target[stay]
+                size, lowest = size[live], lowest[live]
                 if not len(s):
                     break
-            chosen = np.flatnonzero(rank == np.repeat(lowest, size))
-            seq = np.repeat(np.arange(len(size)), size)[chosen]
-            first = np.ones(len(chosen), bool)
-            first[1:] = seq[1:] != seq[:-1]
+            seq = np.repeat(np.arange(len(size)), size)
+            chosen = np.flatnonzero(rank == lowest[seq])
+            own = seq[chosen]
             # Of overlapping occurrences every second one is merged, from the left.
             apart = np.ones(len(chosen), bool)
             apart[1:] = chosen[1:] != chosen[:-1] + 1
-            run = np.maximum.accumulate(np.where(apart, np.arange(len(chosen)), 0))
-            take = (np.arange(len(chosen)) - run) % 2 == 0
-            take &= first | ~m["alone"][target[chosen]]
-            # A sequence with a piece that must go alone takes its leftmost only.
-            solo = np.zeros(len(size), bool)
-            np.logical_or.at(solo, seq, m["alone"][target[chosen]])
-            take &= first | ~solo[seq]
-            chosen = chosen[take]
-            s[chosen] = target[chosen]
+            first = np.maximum.accumulate(np.where(apart, np.arange(len(chosen)), 0))
+            chosen = chosen[(np.arange(len(chosen)) - first) % 2 == 0]
+            own, into = seq[chosen], target[chosen]
+            # What a merge would pair with: to the left as already merged, to the right as yet unmerged.
+            left = np.where(begin[chosen], -1, s[chosen - 1])
+            close = np.flatnonzero((chosen[1:] == chosen[:-1] + 2) & (own[1:] == own[:-1])) + 1
+            left[close] = into[close - 1]
+            after = np.minimum(chosen + 2, len(s) - 1)
+            right = np.where((chosen + 2 < len(s)) & ~begin[after], s[after], -1)
+            better = np.minimum(self.ranks(self.pieces(left, into)), self.ranks(self.pieces(into, right))) < lowest[own]
+            before = np.cumsum(better) - better
+            heads = np.ones(len(own), bool)
+            heads[1:] = own[1:] != own[:-1]
+            take = before == np.maximum.accumulate(np.where(heads, before, 0))
+            chosen, own, into = chosen[take], own[take], into[take]
+            slow = (size > LONG) & (rounds > ROUNDS) & (np.bincount(own, minlength=len(size)) * 16 < size)
+            s[chosen] = into
             stay = np.ones(len(s), bool)
             stay[chosen + 1] = False
+            if slow.any():
+                for k in np.flatnonzero(slow):
+                    lo, hi = np.searchsorted(seq, [k, k + 1])
+                    counts[word[lo]] += self._heaped(s[lo:hi][stay[lo:hi]])
+                    stay[lo:hi] = False
             s, word, begin = s[stay], word[stay], begin[stay]
         return counts
 
+    def _runs(self, s: np.ndarray, word: np.ndarray, begin: np.ndarray, tied: np.ndarray, mine: np.ndarray, n: int) -> np.ndarray:
+        """Tokens by word of the sequences of which only runs of the tied character are left to merge."""
+        out = np.zeros(n, np.int64)
+        tail = np.zeros(len(s), bool)  # second and later characters of a run
+        tail[1:] = tied[:-1] & mine[1:] & ~begin[1:]
+        head = mine & ~tail
+        head[:-1] &= tail[1:]
+        head[-1] = False
+        alone = mine & ~tail & ~head
+        np.add.at(out, word[alone], self.worth(s[alone]))
+        at = np.flatnonzero(head)
+        inside = np.flatnonzero(tail)
+        length = 1 + np.bincount(np.searchsorted(at, inside, side="right") - 1, minlength=len(at)) if len(at) else np.zeros(0, np.int64)
+        most = self.m["most"]
+        if self.rest is None:
+            self.rest = np.array([0, *(self._heaped(np.full(k, self.m["run"], np.int32)) for k in range(1, 2 * most))])
+            if (self.rest[most:] != self.rest[:most] + 1).any():
+                raise ValueError("a run is not its longest pieces and a rest")
+        np.add.at(out, word[at], length // most + self.rest[length % most])
+        return out
+
+    def _heaped(self, symbols: np.ndarray) -> int:
+        """Tokens of one sequence, merged in the library's order from a heap of rank and place."""
+        m, n = self.m, len(symbols)
+        if self.table is None:
+            self.table = dict(zip(m["keys"].tolist(), m["made"].tolist(), strict=True))
+            self.rank_of = m["rank"].tolist()
+        table, rank_of, base = self.table, self.rank_of, m["n"]
+        s = symbols.tolist()
+        into = self.pieces(symbols[:-1], symbols[1:])
+        rank = self.ranks(into).astype(np.int64)
+        found = np.flatnonzero(into >= 0)
+        heap = (rank[found] * (n + 1) + found).tolist()
+        heapify(heap)
+        # The piece that a symbol and the next would make now, or -1; neighbours by place, with ends at n and -1.
+        target = [*into.tolist(), -1]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            r, at = divmod(heappop(heap), n + 1)
+            piece = target[at]
+            if piece < 0 or rank_of[piece] != r:
+                continue
+            gone = after[at]
+            s[at] = piece
+            right = after[at] = after[gone]
+            target[gone] = target[at] = -1
+            s[gone] = None
+            if right < n:
+                before[right] = at
+                b = s[right]
+                made = table.get(piece * base + b, -1) if b >= 0 else -1
+                if made >= 0:
+                    target[at] = made
+                    heappush(heap, rank_of[made] * (n + 1) + at)
+            left = before[at]
+            if left >= 0:
+                a = s[left]
+                made = table.get(a * base + piece, -1) if a >= 0 else -1
+                target[left] = made
+                if made >= 0:
+                    heappush(heap, rank_of[made] * (n + 1) + left)
+        return int(self.worth(np.array([x for x in s if x is not None], np.int64)).sum())
+
     def count(self, texts: list) -> list[int]:
         lead = " " if self.m["prefix"] else ""
         cut = [self.split(lead + t.replace(_SPACE, " ")) if t else [] for t in texts]
