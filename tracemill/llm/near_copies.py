@@ -6,6 +6,9 @@ similar share one of their first n - ceil(t n) + 1 hashes, and the first that th
 they need; so only prefixes are joined, and candidates are verified on the whole sets. Hashes that are common in a
 sample of texts come last in the order: the sample bears on the work and not on the result.
 
+One pass over the texts finds each one's set's digest (its node), size, counts in cells, prefix and fingerprint; all that
+follows works on that table, and only the sets of likely pairs are found again, from one text each.
+
 Equal sets are one node. Only components are asked for, so all nodes of a shared hash are first tried against the
 least one and then pairs only across the components found: a large group of near copies costs its size, not all pairs.
 Nodes of one hash that stay apart after that are paired.
@@ -19,19 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm import simhash
-from tracemill.llm.common import cut, small_side
+from tracemill.llm.common import small_side, stored
 from tracemill.llm.decontaminate import text_key
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: Texts of the sample that orders the hashes, least count there of a common one, and most that are kept.
 SAMPLE, COMMON, COMMON_MOST = 5_000, 5, 50_000
-#: Bits of the map of hashes that may stand in two texts, and cells in which a set's hashes are counted.
-MARKS, CELLS = 1 << 25, 512
+#: Cells in which a set's hashes are counted, and rows that a worker turns into one batch.
+CELLS, ROWS = 512, 1_000
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -68,45 +72,39 @@ def _sets(k: int):
     return sets
 
 
-def _nodes(k: int):
-    @F.pandas_udf("node long, n int, cells binary")
-    def nodes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            sets = [shingles(t, k) for t in texts]
-            yield pd.DataFrame({"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "cells": [_counts(s) for s in sets]})
-
-    return nodes
-
-
-def _prefixes(k: int, percent: int, common: np.ndarray, marks: np.ndarray | None = None):
-    @F.pandas_udf("node long, n int, at array<int>, h array<long>")
-    def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                s = shingles(t, k)
-                n = len(s)
-                last = np.zeros(n, bool)
-                if n and len(common):
-                    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                h = np.concatenate([s[~last], s[last]])[: n - (n * percent + 99) // 100 + 1]
-                at = np.arange(len(h), dtype=np.int32)
-                if marks is not None:
-                    bit = h & (MARKS - 1)
-                    seen = (marks[bit >> 3] >> (bit & 7) & 1).astype(bool)
-                    h, at = h[seen], at[seen]
-                rows.append((_node(s), n, at, h))
-            yield pd.DataFrame(rows, columns=["node", "n", "at", "h"])
-
-    return prefixes
-
-
-@F.pandas_udf(T.BinaryType())
-def _chunk(bits: pd.Series) -> bytes:
-    """A chunk of the bitmap of 2^15 bits with these set."""
-    out = np.zeros(1 << 15, np.uint8)
-    out[bits.to_numpy(np.int64) & (1 << 15) - 1] = 1
-    return np.packbits(out, bitorder="little").tobytes()
+def _prefix(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The hashes of which two similar sets share one: the first few, those common in the sample last."""
+    n = len(s)
+    if n and len(common):
+        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        s = np.concatenate([s[~last], s[last]])
+    return s[: n - (n * percent + 99) // 100 + 1]
+
+
+def prints(docs: DataFrame, common: np.ndarray, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_key, f, node, n, cells, prefix) of every row, in one pass: f is its SimHash."""
+    rows = docs.select(F.col(doc).alias("doc_id"), text_key(F.col(text)), F.col(text).alias("t"))
+    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("f long, node long, n int, cells binary, prefix array<long>").fields])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column("t").to_pylist()
+                bits = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
+                nodes, sizes, cells, prefixes = [], [], [], []
+                for t in texts:
+                    s = shingles(t, k)
+                    nodes.append(_node(s))
+                    sizes.append(len(s))
+                    cells.append(_counts(s))
+                    prefixes.append(_prefix(s, percent, common))
+                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
+                columns = [pa.array(bits), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), flat]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *columns], names=schema.names)
+
+    return rows.mapInArrow(found, schema)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -123,61 +121,62 @@ def _common(docs: DataFrame, text: str, k: int, sample: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in seen.where("h is not null").orderBy(F.col("c").desc(), "h").limit(COMMON_MOST).select("h").collect()], np.int64))
 
 
-def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text_key, root) of every row: root is the same for the texts of one component."""
-    common = _common(docs, text, k, sample)
-    prints = cut(docs.select(F.col(doc).alias("doc_id"), text_key(F.col(text)), _nodes(k)(F.col(text)).alias("p")).select("doc_id", "text_key", "p.*"))
-    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells")))
-    # Texts are hashed again rather than prefixes kept: these are as large as a good part of the texts. Two passes:
-    # the first marks hashes that may stand in two texts, in a bitmap of fixed size; the second emits only these.
-    first = docs.select(F.explode_outer(_prefixes(k, percent, common)(F.col(text))["h"]).alias("h")).where("h is not null")
-    twice = first.groupBy(F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("half")).agg(F.count("*").alias("c")).where("c > 1").select(F.col("half").bitwiseAND(F.lit(MARKS - 1)).alias("bit"))
-    # Collected as a few chunks of bits, so that the driver holds no row for each.
-    chunks = twice.groupBy(F.shiftright("bit", 15).alias("chunk")).agg(_chunk(F.col("bit")).alias("bits"))
-    marks = np.zeros((MARKS >> 15, 1 << 12), np.uint8)
-    for r in chunks.collect():
-        marks[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    marks = marks.ravel()
-    p = docs.select(_prefixes(k, percent, common, marks)(F.col(text)).alias("p")).select("p.node", "p.n", F.explode_outer(F.arrays_zip("p.at", "p.h")).alias("x")).where("x is not null")
-    each = cut(p.select("node", "n", "x.at", "x.h").distinct())
-    sizes = each.groupBy("h").agg(F.max("node").alias("most"), F.min(F.struct("node", "n", "at")).alias("least")).where("least.node < most").drop("most")
-    shared = cut(each.join(sizes, "h"))
-
-    def room(x: str, y: str):
-        """Whether a hash at these places can be the first of two sets that are similar enough."""
-        left = F.least(F.col(f"{x}n") - F.col(f"{x}at"), F.col(f"{y}n") - F.col(f"{y}at"))
-        return left * (100 + percent) >= (F.col(f"{x}n") + F.col(f"{y}n")) * percent
+def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, sample: int = SAMPLE, bits: bool = False) -> DataFrame:
+    """(doc_id, text_key, root) of every row: root is the same for the texts of one component.
+
+    With ``bits``, texts whose fingerprints SimHash links are in one component, too.
+    """
+    rows = stored(prints(docs, _common(docs, text, k, sample), doc, text, k, percent))
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix")))
+    near = None
+    if bits:
+        near = stored(_by_bits(rows))
+    each = nodes.select("node", "n", F.posexplode_outer("prefix").alias("at", "h")).where("h is not null")
+    sizes = each.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("h", "least")
+    shared = stored(each.join(small_side(stored(sizes)), "h"))
 
     def enough(both, n):
         return both * 100 >= (n - both) * percent
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the candidate ``pairs`` of nodes that are similar: by counts in cells, then by their whole sets."""
+        """(a, b) of the candidate ``pairs`` of nodes that are similar: by sizes, counts in cells, then their whole sets."""
         a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in "ab")
-        likely = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), _bound("ca", "cb").alias("most"))
-        likely = cut(likely.where(F.col("most").isNull() | enough(F.col("most"), F.col("n"))).select("a", "b", "n"))
-
-        def side(x: str) -> DataFrame:
-            """The sets of one side, each from the text of one row."""
-            wanted = cut(likely.select(F.col(x).alias("node")).distinct().join(nodes, "node").select(F.col("node").alias(x), F.col("row.doc_id").alias("__doc"), F.col("row.text_key").alias("__key")))
-            rows = docs.select(F.col(doc).alias("i"), F.col(text).alias("t"), text_key(F.col(text)).alias("key"))
-            return rows.join(small_side(wanted), F.col("i").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select(x, _sets(k)("t").alias(f"s{x}"))
-
-        both = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", F.size(F.array_intersect("sa", "sb")).alias("i"))
-        return cut(both.where(enough(F.col("i"), F.col("n"))).select("a", "b").distinct())
-
-    stars = shared.select("*", *[F.col(f"least.{c}").alias(f"l_{c}") for c in ("node", "n", "at")]).where("node <> l_node").where(room("", "l_"))
-    stars = cut(stars.select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct())
-    near = verified(stars)
+        sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        likely = sized.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), _bound("ca", "cb").alias("most"))
+        likely = stored(likely.where(F.col("most").isNull() | enough(F.col("most"), F.col("n"))).select("a", "b", "n"))
+        # The set of each node, from the text of one row.
+        wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes, "node").select("node", F.col("row.doc_id").alias("__doc"), F.col("row.text_key").alias("__key"))
+        texts = docs.select(F.col(doc).alias("i"), F.col(text).alias("t"), text_key(F.col(text)).alias("key"))
+        sets = stored(texts.join(small_side(stored(wanted)), F.col("i").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("node", _sets(k)("t").alias("s")))
+        if sets.count() > sets.select("node").distinct().count():  # rows equal in id and text
+            sets = stored(sets.dropDuplicates(["node"]))
+        one, two = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        both = likely.join(one, "a").join(two, "b").select("a", "b", "n", F.size(F.array_intersect("sa", "sb")).alias("i"))
+        return stored(both.where(enough(F.col("i"), F.col("n"))).select("a", "b").distinct())
+
+    stars = stored(shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    near = verified(stars) if near is None else near.union(verified(stars))
     found = simhash.components(near).withColumnRenamed("node", "__node")
-    placed = cut(shared.drop("least").join(found, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"))
+    placed = stored(shared.drop("least").join(found, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    open_ = cut(placed.join(mixed, "h", "left_semi").select("h", "node", "n", "at", "root"))
+    open_ = stored(placed.join(mixed, "h", "left_semi").select("h", "node", "n", "at", "root"))
     a, b = (open_.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "root")]) for x in "ab")
-    across = a.join(b, "h").where("a_node < b_node and a_root <> b_root").where(room("a_", "b_"))
-    rest = verified(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    roots = simhash.components(near.union(rest)).withColumnRenamed("node", "__node")
-    return prints.join(roots, F.col("node") == F.col("__node"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    # A hash can be the first that two similar sets share only where enough stands behind it in both.
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    across = a.join(b, "h").where("a_node < b_node and a_root <> b_root").where(room)
+    rest = stored(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        found = simhash.components(near.union(verified(rest))).withColumnRenamed("node", "__node")
+    return rows.select("doc_id", "text_key", "node").join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+
+
+def _by_bits(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes of texts that SimHash links, each with the least of its component."""
+    texts = rows.select("node", "f").distinct()
+    roots = simhash.components(simhash.links(rows.select("f").distinct())).withColumnRenamed("node", "__f")
+    placed = stored(texts.join(roots, F.col("f") == F.col("__f"), "left").select("node", F.coalesce("root", "f").alias("bits")))
+    least = placed.groupBy("bits").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").drop("most")
+    return placed.join(least, "bits").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,10 +184,4 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
     Texts are near copies by their shingles, or by fingerprints within the radius of SimHash.
     """
-    near = cut(grouped(docs, doc, text))
-    bits = simhash.grouped(docs, doc, text, extra=(text_key(F.col(text)),)).select("text_key", F.col("root").alias("bits")).distinct()
-    both = cut(near.select("text_key", "root").distinct().join(bits, "text_key"))
-    several = both.groupBy("bits").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    merged = simhash.components(both.join(several, "bits").select(F.col("root").alias("a"), F.col("x").alias("b"))).withColumnRenamed("root", "whole")
-    groups = near.join(merged, F.col("root") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("whole", "root").alias("root"))
-    return simhash.keep_least(docs, groups, doc, text)
+    return simhash.keep_least(docs, stored(grouped(docs, doc, text, bits=True)), doc, text)
