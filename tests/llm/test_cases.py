@@ -50,7 +50,9 @@ def test_decontaminate_against_brute_force(spark):
     text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
     d = [(i, text(rng.randint(0, 80)), "s") for i in range(40)]
     b = [(f"i{k}", text(rng.choice([1, 2, 3, 9, 12, 15]))) for k in range(12)]
-    got = {r["doc"]: (r["n_words"], r["n_hit"], r["hit_items"]) for r in decontaminate.report(docs(spark, *d), spark.createDataFrame(b, "item_id string, text string")).collect()}
+    both = [{r["doc"]: (r["n_words"], r["n_hit"], r["hit_items"]) for r in decontaminate.report(docs(spark, *d), spark.createDataFrame(b, "item_id string, text string"), broadcast_keys=k).collect()} for k in (0, 1_000_000)]
+    got = both[0]
+    assert both[1] == got
     for i, t, _ in d:
         w, hit, items = t.split(), set(), set()
         for name, s in b:

@@ -7,36 +7,40 @@ shingles ordered by rarity in the corpus the necessary prefix is the rarest one:
 positional bound (the match must leave room for the window's words before it) and the length bound (and after
 it) drop candidates; the rest are verified word by word against the words around the match.
 
-Work: one pass over the texts finds the occurrences of any item shingle, with the words around them; they give
-the rarity, and a shingle that occurs nowhere rules its windows out. All that follows works on these occurrences,
-so texts are never shuffled. Joins with the benchmark are broadcast only behind a count, else shuffled.
+Two passes over the texts. The first counts how often each item shingle stands in them, on hashes alone, summed
+before they are shuffled; a shingle that stands nowhere rules its windows out. The second joins the prefixes, with
+the words around each match. Where the keys are too many to be broadcast, it is (row, position, hash) that is
+shuffled, and candidates go back to their texts for the words.
 
 Defined cases: a null text has no words; a null item id counts as the empty string; rows of equal doc_id are
 verified each against its own text; equal items and repeated windows count each item once; empty tables give
-empty results or no hits; extra columns pass through.
+empty results or no hits; extra columns, also ones named as those used here, pass through.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, cut, small_side, table
+from tracemill.llm.common import BROADCAST_ROWS, at_most, cut, small_side, table
 
 WINDOW, SHINGLE = 10, 3
 #: Shingles of the items that may be broadcast, eight bytes each.
 BROADCAST_KEYS = 2_000_000
-_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = _BREAK.replace("[", "[^", 1)
+#: Stands for the end of a document among the hashes.
+MARK = 0
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text; A-Z is lower-cased, other letters are left as they are."""
-    raw = F.array_remove(F.split(F.coalesce(text, F.lit("")), _BREAK, -1), "")
-    # lower() is fast on ASCII words and would change others.
-    return F.transform(raw, lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, ascii_uppercase, ascii_lowercase)))
+    text = F.coalesce(text, F.lit(""))
+    # lower() is fast on ASCII texts and would change others.
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
+    return F.array_remove(F.split(low, _BREAK, -1), "")
 
 
 def windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -47,65 +51,88 @@ def windows(items: DataFrame, item: str = "item_id", text: str = "text", window:
     return w.groupBy(F.array_join("ws", " ").alias("win"), "ws").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("len", F.size("ws"))
 
 
-def _shingles(ws: Column, n: int) -> Column:
-    """Array of (w0, .. w[n-1]) word hashes, one for each position; ends with incomplete ones."""
-    h = F.transform(ws, lambda w: F.xxhash64(w))
-    return F.arrays_zip(*[F.slice(h, k + 1, F.greatest(F.size(h), F.lit(1))).alias(f"w{k}") for k in range(n)])
-
-
-def _positions(df: DataFrame, keep: list[str], n: int) -> DataFrame:
-    """One row for each position: keep, pos (from 0), h (hash of n words)."""
+def _positions(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
+    """keep, ws and, for each whole shingle of ``ws``, its place pos (from 0) and hash h; last a row of pos = size(ws) and h = ``MARK``."""
+    df = df.select(*keep, "ws", F.concat(F.transform("ws", lambda w: F.xxhash64(w)), F.array(F.lit(0).cast("long"))).alias("hs"))
     # Outer, since for an inner one the optimiser adds a filter that finds the array a second time.
-    rows = df.select(*keep, F.posexplode_outer(_shingles(F.col("ws"), n)).alias("pos", "s")).where(F.col(f"s.w{n - 1}").isNotNull())
-    return rows.select(*keep, "pos", F.xxhash64(F.lit(n), *[F.col(f"s.w{k}") for k in range(n)]).alias("h"))
+    rows = df.select(*keep, "ws", "hs", F.posexplode_outer("hs").alias("pos", "w0"))
+    hashed = lambda n: F.when(F.col("pos") + n <= F.size("ws"), F.xxhash64(F.lit(n), "w0", *[F.get("hs", F.col("pos") + k) for k in range(1, n)]))
+    first = F.when(F.col("pos") == F.size("ws"), F.lit(MARK)).otherwise(hashed(lengths[0]))
+    if len(lengths) == 1:
+        rows = rows.withColumn("h", first)
+    else:
+        rows = rows.withColumn("h", F.explode_outer(F.array(first, *[hashed(n) for n in lengths[1:]])))
+    return rows.where("h is not null").select(*keep, "ws", "pos", "h")
+
+
+def _prefixes(wins: DataFrame, rows: DataFrame, lengths: list[int], broadcast_keys: int) -> DataFrame:
+    """(h, at, win, len, items): of each window that ``rows`` can hold, the rarest shingle and its place."""
+    parts = [_positions(wins.where(F.least(F.lit(SHINGLE), F.col("len")) == n), ["win", "len", "items"], [n]) for n in lengths]
+    own = cut(reduce(DataFrame.union, parts).where(F.col("h") != MARK).select("h", F.col("pos").alias("at"), "win", "len", "items"))
+    keys = small_side(own.select("h").distinct(), broadcast_keys)
+    rarity = cut(_positions(rows, [], lengths).select("h").join(keys, "h").groupBy("h").agg(F.count("*").alias("seen")))
+    # A window with a shingle that occurs nowhere has the left join's null first, and goes.
+    first = Window.partitionBy("win").orderBy(F.col("seen").asc_nulls_first(), "h", "at")
+    return cut(own.join(rarity, "h", "left").withColumn("r", F.row_number().over(first)).where("r = 1 and seen is not null").select("h", "at", "win", "len", "items"))
 
 
-def hits(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """(doc, text_key, n_hit, hit_items) of the documents that hold a window; text_key tells rows of equal id apart."""
+def occurrences(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS, every: bool = False) -> DataFrame:
+    """(doc, text_key, n_words, start, len, items) of each place where a window stands, n_words null.
+
+    With ``every``, there is also a row of doc, text_key and n_words for each row of ``docs``.
+    """
     wins = cut(windows(items, window=window))
-    lengths = sorted(r[0] for r in wins.select(F.least(F.lit(SHINGLE), F.col("len")).alias("n")).distinct().collect())  # of 1, 2, 3
-    parts = found = None
-    for n in lengths or [SHINGLE]:
-        own = _positions(wins.where(F.least(F.lit(SHINGLE), F.col("len")) == n), ["win", "len", "items"], n)
-        parts = own if parts is None else parts.union(own)
-    parts = cut(parts.withColumnRenamed("pos", "at"))
-    keys = small_side(parts.select("h").distinct(), broadcast_keys)
+    lengths = sorted(r[0] for r in wins.select(F.least(F.lit(SHINGLE), F.col("len")).alias("n")).distinct().collect()) or [SHINGLE]  # of 1, 2, 3
     rows = docs.select(F.col(doc).alias("doc"), text_key(F.col(text)), words(F.col(text)).alias("ws"))
-    for n in lengths or [SHINGLE]:
-        # The words around a match go with it, so that it can be verified without going back to the text.
-        low = F.greatest(F.col("pos") - (window - n), F.lit(0))
-        own = _positions(rows, ["doc", "text_key", "ws"], n).join(keys, "h").select("doc", "text_key", "h", "pos", low.alias("low"), F.slice("ws", low + 1, F.lit(2 * window)).alias("near"))
-        found = own if found is None else found.union(own)
-    found = cut(found)
-    rarity = found.groupBy("h").agg(F.count("*").alias("seen"))
-    # A window with a shingle that occurs nowhere has the left join's null first, and goes.
-    first = Window.partitionBy("win").orderBy(F.col("seen").asc_nulls_first(), "h", "at")
-    prefix = parts.join(rarity, "h", "left").withColumn("r", F.row_number().over(first)).where("r = 1 and seen is not null").select("h", "at", "win", "len", "items")
+    prefix = _prefixes(wins, rows.select("ws"), lengths, broadcast_keys)
     start = F.col("pos") - F.col("at")
-    bounded = (start >= 0) & (start - F.col("low") + F.col("len") <= F.size("near"))
-    exact = F.array_join(F.slice("near", start - F.col("low") + 1, F.col("len")), " ") == F.col("win")
-    true = found.join(small_side(prefix, broadcast_keys // 10), "h").where(bounded).where(exact).select("doc", "text_key", start.alias("start"), "len", "items")
+    fits = (start >= 0) & (start + F.col("len") <= F.size("ws"))
+    exact = lambda start: F.array_join(F.slice("ws", start + 1, F.col("len")), " ") == F.col("win")
+    if at_most(prefix, broadcast_keys // 10):
+        if every:  # the last row of each document meets this one
+            blank = {f.name: F.lit(MARK) if f.name == "h" else F.lit(None).cast(f.dataType) for f in prefix.schema}
+            prefix = prefix.union(docs.sparkSession.range(1).select(*[c.alias(n) for n, c in blank.items()]))
+        met = _positions(rows, ["doc", "text_key"], lengths).join(F.broadcast(prefix), "h")
+        ends = F.col("at").isNull() & (F.col("pos") == F.size("ws"))
+        return met.where(ends | fits & exact(F.greatest(start, F.lit(0)))).select("doc", "text_key", F.when(ends, F.size("ws")).cast("long").alias("n_words"), start.alias("start"), "len", "items")
+    # Hashes and places are shuffled; what meets a prefix goes back to its text for the words.
+    met = _positions(rows, ["doc", "text_key"], lengths).select("doc", "text_key", "pos", "h", F.size("ws").alias("n")).join(prefix, "h")
+    met = met.where((start >= 0) & (start + F.col("len") <= F.col("n"))).groupBy(F.col("doc").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct(start.alias("start"), "len", "win", "items")).alias("met"))
+    held = docs.select(F.col(doc).alias("doc"), text_key(F.col(text)), F.col(text).alias("t")).join(small_side(cut(met)), F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    true = held.select("doc", "text_key", words(F.col("t")).alias("ws"), "met").select("doc", "text_key", "ws", F.explode_outer("met").alias("m")).select("doc", "text_key", "ws", "m.*").where(exact(F.col("start")))
+    found = true.select("doc", "text_key", F.lit(None).cast("long").alias("n_words"), "start", "len", "items")
+    return found.unionByName(rows.select("doc", "text_key", F.size("ws").cast("long").alias("n_words")), allowMissingColumns=True) if every else found
+
+
+def _per_document(found: DataFrame) -> DataFrame:
+    """(doc, text_key, n_hit, hit_items) from occurrences."""
     spans = F.transform(F.collect_set(F.struct("start", "len")), lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))
     # Rows of equal id and text are found once each; sets make them one.
-    per_doc = true.groupBy("doc", "text_key").agg(spans.alias("spans"), F.flatten(F.collect_set("items")).alias("ids"))
+    per_doc = found.where("start is not null").groupBy("doc", "text_key").agg(spans.alias("spans"), F.flatten(F.collect_set("items")).alias("ids"))
     return per_doc.select("doc", "text_key", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("ids")).alias("hit_items"))
 
 
+def hits(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(doc, text_key, n_hit, hit_items) of the documents that hold a window; text_key tells rows of equal id apart."""
+    return _per_document(occurrences(docs, items, doc, text, window, broadcast_keys))
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")
 
 
 def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
-    held = cut(hits(docs, items, doc, text, window).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key")))
+    held = cut(occurrences(docs, items, doc, text, window).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key")).distinct())
     return docs.join(small_side(held, broadcast_rows), docs[doc].eqNullSafe(F.col("__doc")) & (text_key(docs[text]) == F.col("__key")), "left_anti")
 
 
-def report(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc, n_words, n_hit, hit_items) of every row of ``docs``; texts are not shuffled."""
-    narrow = docs.select(F.col(doc).alias("doc"), text_key(F.col(text)), F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    found = hits(docs, items, doc, text, window).withColumnsRenamed({"doc": "d", "text_key": "k"})
-    out = narrow.join(found, narrow["doc"].eqNullSafe(F.col("d")) & (narrow["text_key"] == F.col("k")), "left")
+    found = cut(occurrences(docs, items, doc, text, window, broadcast_keys, every=True))
+    narrow = found.where("n_words is not null").select("doc", "text_key", "n_words")
+    held = cut(_per_document(found)).withColumnsRenamed({"doc": "d", "text_key": "k"})
+    out = narrow.join(small_side(held), narrow["doc"].eqNullSafe(F.col("d")) & (narrow["text_key"] == F.col("k")), "left")
     return out.select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"))
 
 
