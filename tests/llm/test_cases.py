@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns; brute force where SQL has none."""
 
+import math
 import random
 import re
 import time
@@ -274,17 +275,99 @@ def test_url_filter_cases(spark):
     assert url_filter.evaluate(captures.limit(0), entries).count() == 0 and url_filter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
-def test_html_furniture_and_repairs(spark):
+def main_text(html):
+    return "\n".join(t for _, t in Page(html).kept())
+
+
+def test_html_meaning_and_repairs():
     html = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div id=menu>Menu</div><main><div class="cookie-notice">We use</div><article class=post><h1>T &amp; x</h1><p>a<b>b</b>c<br>d &nbsp; e<p>second
-    <div class="share-buttons">share</div><ul><li>one<li>two</ul><script>if(a<b){}</script><table><tr><td>x<td>y</table></article><section id="comments"><article class="comment">bad</article></section></main><aside>s</aside><form><input> q</form><footer>f</footer></body></html>"""
-    assert Page(html).text(set()) == "T & x\nabc d e\nsecond\none\ntwo\nx\ny"
-    assert Page("plain <i>text</i> &lt;x&gt; 3 < 4 <p class='").text(set()) == "plain text <x> 3 < 4 <p class='"
-    assert Page("<div>one<div>two</div>three</div><!-- no --><nav>n</nav>").text(set()) == "one\ntwo\nthree"
-    rng = random.Random(9)
+    <div role="search">find</div><ul><li>one<li>two</ul><script>if(a<b){}</script><table><tr><td>x<td>y</table><article class="comment">bad</article><div hidden>h</div></article></main><aside>s</aside><form><input> q</form><footer>f</footer></body></html>"""
+    assert main_text(html) == "T & x\nabc d e\nsecond\none\ntwo\nx\ny"
+    assert main_text("plain <i>text</i> &lt;x&gt; 3 < 4 <p class='") == "plain text <x> 3 < 4 <p class='"
+    assert main_text("<div>one<div>two</div>three</div><!-- no --><nav>n</nav>") == "one\ntwo\nthree"
+    assert main_text("<p title=don't>a</p><p title='x>y'>b</p>1 < 2 <!-- open <p>c") == "a\nb\n1 < 2"
+
+
+@pytest.mark.parametrize("start", ['h2 id="discussion"', 'section id="discussion"', 'h2 id="search-algorithms"', 'section class="related-work"', 'p class="share-price"', 'h2 id="reply-to-smith"', 'p id="rail-network"', 'div class="notice-of-works"', 'blockquote class="social"', 'div class="header-image-caption"'])
+def test_html_names_decide_nothing(start):
+    assert main_text(f"<article><{start}>kept</{start.split()[0]}><p>more</article>") == "kept\nmore"
+
+
+@pytest.mark.parametrize("part, end", [("<a ", ""), ("<a ", ">x"), ('<a "', ">x"), ('<a b="> ', ""), ("<div>x", ""), ("<b>x", ""), ("<!--", ""), ("<", ">"), ("</a ", ""), ("<ul><li>", "")])
+def test_html_of_any_shape_takes_linear_time(part, end):
+    began = time.perf_counter()
+    page = Page(part * (1_000_000 // len(part)) + end)
+    page.branches(page.kept())
+    assert time.perf_counter() - began < 20
+
+
+def hosts(rng):
+    """Pages of hosts with a repeated strip, a list with a few entries and stories of their own; some are copies."""
     word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
-    pages = [(i, "http://site.com/p", f"<div class=top>Same strip <a href=/>home</a></div><div class=story><p>{word()} {word()}</p><p>{word()}</p></div><div class=bottom>Same end</div>") for i in range(12)]
-    pages += [(100, None, None), (101, "x", ""), (102, "http://one.org", "<p>alone</p>")]
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("h"))).collect()}
-    for i, _, h in pages[:12]:
-        assert got[i] == "\n".join(re.findall(r"<p>(.*?)</p>", h))
-    assert (got[100], got[101], got[102]) == ("", "", "alone")
+    pages = []
+    for host, n in (("a.com", 12), ("b.org", 7), ("c.net", 4), ("d.net", 6)):
+        strip, entries = word(), [word() for _ in range(3)]
+        for i in range(n):
+            story = "".join(f"<p>{word()} {word()} {word() * 8}</p>" for _ in range(rng.randint(1, 3)))
+            extra = f"<ul class=more><li>{rng.choice(entries)}<li>{rng.choice(entries)}</ul>" if rng.random() < 0.8 else ""
+            core = ("<main>", "</main>") if host == "d.net" else ("", "")
+            pages.append((f"http://{host}/{i}", f"<div class=top>{strip} <a href=/>home</a></div>{core[0]}<div class=tag{i}>{strip}</div><div class=story>{story}</div>{extra}{core[1]}"))
+    return pages + pages[:3] + [("http://a.com/x", None), (None, "<p>alone</p>"), ("http://copies.org/1", "<div class=s><p>the same on all</p></div>")] + [(f"http://copies.org/{i}", "<div class=s><p>the same on all</p></div>") for i in range(9)]
+
+
+def brute_importance(pages):
+    """{(host, path): (m, importance)} and the low paths of each host, from the definition."""
+    by_host = {}
+    for url, html in pages:
+        page = Page(html or "")
+        kept = page.kept()
+        by_host.setdefault(re.sub("^http://([^/]*).*", r"\1", url or ""), {}).setdefault("\n".join(t for _, t in kept), page.branches(kept))
+    found, low = {}, {}
+    for host, distinct in by_host.items():
+        styles, features, chains, chars = {}, {}, {}, {}
+        for paths, _, seen in distinct.values():
+            for path, style, n, chain in paths:
+                styles.setdefault(path, []).append(style)
+                chains[path] = chain
+                chars[path] = chars.get(path, 0) + n
+            for p, f in seen:
+                features.setdefault((paths[p][0], f), []).append(1)
+        whole = sum(n for p, n in chars.items() if len(chains[p]) == 1)
+        for path, seen in styles.items():
+            m = len(seen)
+            if m < 2:
+                found[host, path] = (m, 1.0)
+                continue
+            share = [seen.count(s) / m for s in set(seen)]
+            presentation = -sum(x * math.log(x, m) for x in share)
+            worth = [1 - math.log(len(k), max(2, len(styles[at]))) for (at, _), k in features.items() if path in chains[at]]
+            content = sum(worth) / len(worth) if worth else 0.0
+            damp = 0.9 ** (len(share) - 1)
+            found[host, path] = (m, (1 - damp) * presentation + damp * content)
+            if found[host, path][1] < 0.2 and m >= 5 and chars[path] * 2 <= whole:
+                low.setdefault(host, set()).add(path)
+    return found, low
+
+
+def test_html_style_tree_against_its_definition(spark):
+    pages = hosts(random.Random(9))
+    want, low = brute_importance(pages)
+    df = spark.createDataFrame([(i, u, h, "kept", "low") for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, row string, text string")
+    sites = {r["s"]: r["h"] for r in df.select(html_extract.host_of(F.col("url")).alias("h"), F.xxhash64(html_extract.host_of(F.col("url"))).alias("s")).distinct().collect()}
+    got = {(sites[r["site"]], r["path"] % (1 << 64)): (r["m"], r["importance"]) for r in html_extract.importance(html_extract.parsed(df).cache()).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == m and got[k][1] == pytest.approx(x, abs=1e-9) for k, (m, x) in want.items())
+    assert set(low) >= {"a.com", "b.org"} and "copies.org" not in low and "c.net" not in low
+    changed = 0
+    for most in (0, 1000):  # shuffled and broadcast
+        out = html_extract.extract(df, broadcast_rows=most)
+        assert out.columns == ["page_id", "url", "row", "text"]
+        for r in out.collect():
+            url, html = pages[r["page_id"]]
+            page = Page(html or "")
+            kept = page.kept()
+            paths, ranges, _ = page.branches(kept)
+            gone = {i for p, a, b in ranges if paths[p][0] in low.get(re.sub("^http://([^/]*).*", r"\1", url or ""), ()) for i in range(a, b)}
+            assert r["text"] == "\n".join(t for i, (_, t) in enumerate(kept) if i not in gone) and r["row"] == "kept"
+            changed += bool(gone)
+    assert changed > 20  # the tree decides
+    assert html_extract.extract(df.limit(0)).count() == 0

@@ -84,7 +84,7 @@ def _prefix(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
 def prints(docs: DataFrame, common: np.ndarray, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, f, node, n, cells, prefix) of every row, in one pass: f is its SimHash."""
     rows = docs.select(F.col(doc).alias("doc_id"), text_key(F.col(text)), F.col(text).alias("t"))
-    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("f long, node long, n int, cells binary, prefix array<long>").fields])
+    schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL("f long, node long, n int, cells binary, prefix array<long>").fields])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
