@@ -6,8 +6,9 @@ text count once, so a document copied a thousand times does not turn its own lin
 
 Defined cases: a null host is a host of its own; a null text stays null and has no lines; lines that are
 empty after trimming spaces are never counted or dropped; hosts where a line is on fewer than
-``min_pages`` distinct pages keep it (a host of one page would otherwise lose everything); extra columns
-pass through unchanged; an empty table gives an empty table. Line keys are 64-bit hashes of the trimmed line.
+``min_pages`` distinct pages keep it (a host of one page would otherwise lose everything); repeated rows stay
+repeated; extra columns pass through unchanged, but for ones named n_lines or n_dropped, which are replaced; an empty
+table gives an empty table. Line keys are 64-bit hashes of the trimmed line.
 """
 
 from __future__ import annotations
@@ -52,13 +53,15 @@ def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", r
     few = at_most(sets, broadcast_rows) and (sets.agg(F.sum("__n")).first()[0] or 0) <= broadcast_rows
     sets = sets.select(F.col("host").alias("__host"), "__drop")
     joined = pages.join(F.broadcast(sets) if few else sets, pages[host].eqNullSafe(F.col("__host")), "left").withColumn("__lines", F.split(F.col(text), "\n", -1))
-    kept = F.filter("__lines", lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__drop"), F.xxhash64(F.trim(line))))
-    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept))
+    # The page's own lines among the host's, found by a hash set; few, so that each line is held against few.
+    joined = joined.withColumn("__hit", F.array_intersect(F.transform("__lines", lambda line: F.xxhash64(F.trim(line))), F.col("__drop")))
+    kept = F.filter("__lines", lambda line: (F.trim(line) == "") | ~F.array_contains("__hit", F.xxhash64(F.trim(line))))
+    joined = joined.withColumn("__kept", F.when(F.coalesce(F.size("__hit"), F.lit(0)) == 0, F.col("__lines")).otherwise(kept))
     return (
         joined.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long"))
         .withColumn(text, F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join("__kept", "\n")))
-        .drop("__host", "__drop", "__lines", "__kept")
+        .drop("__host", "__drop", "__lines", "__hit", "__kept")
     )
 
 
