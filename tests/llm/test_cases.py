@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns; brute force where SQL has none."""
 
+import hashlib
 import math
 import random
 import re
@@ -82,6 +83,30 @@ def test_winnow_cases(spark, odd):
     assert got == {2**50: 701, 701: 700, 700: 3, 3: 0, 0: -5, -5: -(2**40), -(2**40): None}
 
 
+@pytest.mark.parametrize("ids", ["dense", "sparse", "null", "repeated", "mixed"])
+def test_winnow_neighbours_in_any_order_of_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(winnow, "HEAVY", 6)
+    monkeypatch.setattr(winnow, "CHAIN_ROWS", 3)
+    rng = random.Random(21)
+    pick = {"dense": lambda i: i, "sparse": lambda i: i * 2**40 - 2**44, "null": lambda i: None, "repeated": lambda i: 7, "mixed": lambda i: rng.choice([None, 5, 600, i, -i * 1000])}[ids]
+    rows = [(pick(i), rng.choice([None, "", f"text {i} " + "word " * rng.randint(0, 9), "a copy of one"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = {r["text"]: r["h"] for r in df.select(F.coalesce("text", F.lit("")).alias("text"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1).alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed[r[1]], r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        half, other = len(t) // 2, order[(k + 1) % len(order)][1]
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + other[:half]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in winnow.with_edited(df.repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_winnow_of_empty_and_single_tables(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert winnow.with_edited(df.limit(0)).count() == 0
+    assert [r["near_next"] for r in winnow.with_edited(df).collect()] == [1.0]
+
+
 def test_simhash_buckets_of_any_size_lose_no_link(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(6)]

@@ -8,7 +8,9 @@ A chosen k-gram is one positive long: 32 bits of hash above 31 bits that fall as
 least long is the least hash, rightmost on ties. Window minima come from three rounds of doubling.
 
 Defined cases: a null text is empty; a text without words has an empty fingerprint; one of fewer than K words
-has one gram, all its words; fewer than WINDOW grams make one window; two empty fingerprints have likeness 1.
+has one gram, all its words; fewer than WINDOW grams make one window; two empty fingerprints have likeness 1. Documents
+stand by descending id, null ids last, equal ids by a hash of the text and then the text; after the last comes the
+first, and a single one follows itself. Equal rows are rows each; an empty table gives none; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import at_most, table
+from tracemill.llm.common import at_most, small_side, table
 
 K, WINDOW = 5, 8
 _MAXPOS = (1 << 31) - 1
-#: Documents are dealt by runs of so many ids (a power of two), to find each one's neighbour in id order.
+#: Documents are dealt by runs of ids that hold about so many rows (a power of two), to find each one's neighbour in order.
 ID_BITS = 9
+#: A run of more rows than this, of null or repeated ids, is dealt further by its texts' hashes.
+HEAVY = 4 << ID_BITS
 #: Chains of at most so many keys are ordered in one task.
 CHAIN_ROWS = 50_000
 
@@ -72,27 +76,47 @@ def following(keys: DataFrame) -> DataFrame:
     return runs.withColumn("inside", inside).join(after, "run").select("k", F.coalesce("inside", "next_head").alias("next"))
 
 
+def _width(docs: DataFrame) -> int:
+    """Bits of the ids in a run, so that runs of sparse ids hold as many rows as runs of dense ones."""
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    return min(52, ID_BITS + max(0, ((high - low) // n).bit_length() - 1)) if n else ID_BITS
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, bucket, closing): the documents and, in each run of ids, a closing row with the text that follows it.
+    """(doc_id, text, h, run, part, closing): the documents and, in each (run, part), a closing row with the text that follows it.
 
-    The order is descending id (null ids last, equal ids by text); after the last comes the first.
+    The order is descending id (null ids last), then h, a hash of the text, then text; after the last comes the first.
     """
-    lowest = F.lit(-(1 << (63 - ID_BITS)) - 1)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", F.coalesce(F.shiftright("doc_id", ID_BITS), lowest))
-    heads = rows.groupBy("bucket").agg(F.min_by("text", F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "text")).alias("text"))
-    keys = heads.select(F.col("bucket").alias("k"))
-    chain = following(keys)
-    top = keys.agg(F.max("k")).first()[0]
-    ends = chain.withColumn("next", F.coalesce("next", F.lit(top).cast("long")))
-    closing = ends.join(heads, ends["next"] == heads["bucket"]).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("k").alias("bucket"), F.lit(True).alias("closing"))
+    bits = _width(docs)
+    lowest = F.lit(-(1 << (63 - bits)) - 1)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"h": F.shiftrightunsigned(F.xxhash64("text"), 1), "run": F.coalesce(F.shiftright("doc_id", bits), lowest)})
+    # Parts of a heavy run: by id, and by as many bits of the hash as leave about a run's rows in each.
+    heavy = rows.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
+    heavy = heavy.select(F.col("run").alias("heavy_run"), F.least(F.ceil(F.log2(F.col("n") * 4 / HEAVY)).cast("int"), F.lit(62 - bits)).alias("b"))
+    mask = (1 << bits) - 1
+    placed = F.expr(f"shiftleft({mask}L - coalesce(doc_id & {mask}L, {mask}L), b) | shiftright(h, 63 - b)")
+    rows = rows.join(small_side(heavy), F.col("run") == F.col("heavy_run"), "left").withColumn("part", F.when(F.col("b").isNull(), F.lit(0).cast("long")).otherwise(placed)).drop("heavy_run", "b")
+    heads = rows.groupBy("run", "part").agg(F.min_by("text", F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "h", "text")).alias("text"))
+    parts = heads.select("run", "part").withColumn("inside", F.lead("part").over(Window.partitionBy("run").orderBy("part")))
+    firsts = parts.groupBy("run").agg(F.min("part").alias("first"))
+    chain = following(firsts.select(F.col("run").alias("k")))
+    top = firsts.agg(F.max("run")).first()[0]
+    after = chain.select(F.col("k").alias("run"), F.coalesce("next", F.lit(top).cast("long")).alias("next_run")).join(firsts.select(F.col("run").alias("next_run"), "first"), "next_run")
+    ends = parts.join(after, "run").select("run", "part", F.when(F.col("inside").isNull(), F.col("next_run")).otherwise(F.col("run")).alias("r"), F.coalesce("inside", "first").alias("p"))
+    closing = ends.join(heads.select(F.col("run").alias("r"), F.col("part").alias("p"), "text"), ["r", "p"]).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), "run", "part", F.lit(True).alias("closing"))
     return rows.withColumn("closing", F.lit(False)).unionByName(closing)
 
 
 def op6_winnow(spark, sf_dir) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_fingerprint(with_next(docs).repartition("bucket"), "text", "fp", "hs")
-    w = Window.partitionBy("bucket").orderBy("closing", F.col("doc_id").desc_nulls_last(), "text")
+    return with_edited(table(spark, sf_dir, "documents"))
+
+
+def with_edited(docs: DataFrame) -> DataFrame:
+    """Of each row: doc_id, n_chars, digest of the edited text, both fingerprints, and their likeness to each other and the next row's."""
+    docs = docs.select("doc_id", "text")
+    rows = with_fingerprint(with_next(docs).repartition("run", "part"), "text", "fp", "hs")
+    w = Window.partitionBy("run", "part").orderBy("closing", F.col("doc_id").desc_nulls_last(), "h", "text")
     rows = rows.withColumns({"next_text": F.lead("text").over(w), "next_hs": F.lead("hs").over(w)}).where("not closing")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.expr("int(n_chars div 2)"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars) - half)"), F.expr("substring(next_text, 1, half)"))).drop("next_text", "text", "half")
