@@ -30,6 +30,12 @@ def cross_split_pairs(df: DataFrame, key: str, split: str, tokens: str, percent:
     return links.join(left, "x").join(right, "y").where("ls <> rs and left_id < right_id").select("left_id", "right_id", F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
 
 
+def comparisons(df: DataFrame, split: str) -> DataFrame:
+    """How many pairs of rows stand in different splits: half of the square of all less the squares of each."""
+    n = df.groupBy(split).agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    return n.agg(F.coalesce((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2, F.lit(0)).cast("long").alias("comparisons"))
+
+
 def contained(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     """(doc_id, item_id) where a document's text holds an item's whole text of ``least`` or more code points.
 

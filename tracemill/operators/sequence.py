@@ -54,3 +54,49 @@ def multiset_links(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     b = right.groupBy(*keys).agg(F.count("*").alias("results"))
     out = a.join(b, keys, "left").fillna(0, ["results"])
     return out.withColumn("linked", F.least("calls", "results")).withColumn("missing", F.col("calls") - F.col("linked"))
+
+
+def shared_ids(a: Column, b: Column) -> Column:
+    """The distinct ids in both arrays; an empty id is none."""
+    return F.array_remove(F.array_intersect(a, b), "")
+
+
+def covered_spans(df: DataFrame, key: str, order: str, calls: str, results: str) -> DataFrame:
+    """Adds matched_next, how many of a span's call ids the next span of its key answers, and covered, whether there are any and it answers all.
+
+    Both are null for a last span.
+    """
+    after = F.lead(results).over(Window.partitionBy(key).orderBy(order))
+    df = df.withColumn("__next", after).withColumn("matched_next", F.when(F.col("__next").isNotNull(), F.size(shared_ids(F.col(calls), F.col("__next")))))
+    own = F.array_remove(F.array_distinct(calls), "")
+    return df.withColumn("covered", F.when(F.col("__next").isNotNull(), (F.size(own) > 0) & (F.size(F.array_except(own, F.col("__next"))) == 0))).drop("__next")
+
+
+def smoothed(df: DataFrame, previous: str, state: str, states: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(previous, state, p): add-alpha probabilities of every state after each previous one that is seen; ``states`` has one row each."""
+    counts = df.groupBy(previous, state).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(previous).agg(F.sum("n").alias("total"))
+    k = states.agg(F.count("*").alias("k"))
+    every = totals.crossJoin(states.select(state)).crossJoin(k)  # of known states, few
+    return every.join(counts, [previous, state], "left").select(previous, state, ((F.coalesce("n", F.lit(0)) + alpha) / (F.col("total") + alpha * F.col("k"))).alias("p"))
+
+
+def looked_up(df: DataFrame, model: DataFrame, fallback: DataFrame, previous: str, state: str) -> DataFrame:
+    """Adds ``p``: the model's for (previous, state), or the fallback's where the model does not know the previous."""
+    known = df.join(F.broadcast(model), [previous, state], "left")
+    return known.join(F.broadcast(fallback.withColumnRenamed("p", "__p")), state, "left").withColumn("p", F.coalesce("p", "__p")).drop("__p")
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``, each row's place from 1 in a total order over all rows.
+
+    Rows are sorted into ranges, counted by range, and numbered inside it, so that no task sees them all. The ranges are
+    persisted, since both readings must see the same ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("__order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    keyed = keyed.repartitionByRange(parts, "__order").withColumn("__range", F.spark_partition_id()).persist()
+    sizes = keyed.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__at"))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__order"))
+    return keyed.withColumn("__i", inside).join(F.broadcast(before), "__range").withColumn(out, (F.col("__at") + F.col("__i")).cast("long")).drop("__order", "__range", "__i", "__at")

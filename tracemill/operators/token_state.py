@@ -6,6 +6,7 @@ Arrow batches, one conversation prefix a row.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 from tracemill import schemas as S
 
 #: Protected fields: first limit and floor; they shrink by STEP, in this order.
-FIELDS, STEP = (("system", 3000, 100), ("observation", 7000, 300), ("task", 6000, 300)), 400
+FIELDS, STEP = {"system": (3000, 100), "observation": (7000, 300), "task": (6000, 300)}, 400
+#: Room for the state: what the smallest budget leaves beside the empty envelope.
+ROOM = S.BUDGETS[0] - S.ENVELOPE_TOKENS
 
 
 def count_words(text: str) -> int:
@@ -33,43 +36,58 @@ def shorten(text: str, limit: int) -> str:
     return text[: room // 2] + marker + (text[-tail:] if tail else "")
 
 
-def fill(task: str, system: str, messages: list[tuple[str, str]], room: int, count: Callable[[str], int] = count_words) -> tuple[str, int] | None:
-    """(state, history messages kept) of a prefix of (role, text); None if the protected fields cannot fit.
+def shown(m: dict) -> str:
+    """A message as ``render.message`` of policy 2 gives it."""
+    lines = [f"TOOL_RESULT id={m['tool_call_id']}"] if m["tool_call_id"] else []
+    if m["name"]:
+        lines.append(f"name={m['name']}")
+    if m["content"]:
+        lines.append(shorten(m["content"], S.MAX_RENDERED_CHARS))
+    for c in [] if m["tool_calls"] is None else m["tool_calls"]:
+        call = {"id": c["id"] or "", **{k: (c["function"] or {}).get(k) or "" for k in ("name", "arguments")}}
+        lines.append("TOOL_CALL " + json.dumps(call, sort_keys=True, separators=(",", ":")))
+    return f"[{(m['role'] or 'unknown').upper()}]\n" + ("\n".join(lines) or "[EMPTY]")
 
-    The latest tool message, else the latest other message, is the observation. History is added newest first while
-    the budget, checked on the text in that order, holds; the final text is chronological.
+
+def fill(messages: list[dict], room: int = ROOM, count: Callable[[str], int] = count_words) -> tuple[str, list[int], int] | None:
+    """(state, places of the history kept, place of the observation or -1) of a prefix; None if what is protected cannot fit.
+
+    Task and system text are the first user and first system message. The observation is the latest tool message, or
+    without one the latest message that is neither the task nor of the system. History is the rest but system messages: it is
+    added newest first while the budget, checked on the text in that order, holds; the final text is chronological.
     """
-    shown = [f"[{role.upper()}]\n{shorten(body, 3500) or '[EMPTY]'}" for role, body in messages]
-    tools = [i for i, (role, _) in enumerate(messages) if role == "tool"]
-    seen = tools[-1] if tools else len(messages) - 1
-    parts = {"task": task, "system": system, "observation": shown[seen] if messages else "[NO OBSERVATION]"}
-    limits = {name: limit for name, limit, _ in FIELDS}
+    place = {role: next((i for i, m in enumerate(messages) if m["role"] == role), -1) for role in ("user", "system")}
+    tools = [i for i, m in enumerate(messages) if m["role"] == "tool"]
+    others = [i for i, m in enumerate(messages) if i != place["user"] and m["role"] != "system"]
+    seen = (tools or others or [-1])[-1]
+    text = {"task": messages[place["user"]]["content"] or "" if place["user"] >= 0 else "", "system": messages[place["system"]]["content"] or "" if place["system"] >= 0 else ""}
+    text["observation"] = shown(messages[seen]) if seen >= 0 else "[NO OBSERVATION]"
+    limits = {name: first for name, (first, _) in FIELDS.items()}
 
     def state(history: list[str]) -> str:
-        body = [shorten(parts["task"], limits["task"]), shorten(parts["system"], limits["system"]), ", ".join(S.ONTOLOGY), shorten(parts["observation"], limits["observation"]), "\n\n".join(history) or "[NO ADDITIONAL HISTORY]"]
-        return "\n\n".join(f"{head}\n{text}" for head, text in zip(S.SECTIONS, body, strict=True))
+        cut = {name: shorten(text[name], limits[name]) for name in FIELDS}
+        body = [cut["task"], cut["system"], ", ".join(S.ONTOLOGY), cut["observation"], "\n\n".join(history) or "[NO ADDITIONAL HISTORY]"]
+        return "\n\n".join(f"{head}\n{part}" for head, part in zip(S.SECTIONS, body, strict=True))
 
     while count(state([])) > room:
-        name = next((n for n, _, floor in FIELDS if limits[n] > floor), None)
+        name = next((n for n, (_, floor) in FIELDS.items() if limits[n] > floor), None)
         if name is None:
             return None
-        limits[name] = max(dict((n, f) for n, _, f in FIELDS)[name], limits[name] - STEP)
-    kept: list[str] = []
-    for i in reversed(range(len(shown))):
-        if i == seen:
-            continue
-        if count(state([*kept, shown[i]])) > room:
+        limits[name] = max(FIELDS[name][1], limits[name] - STEP)
+    kept: list[int] = []
+    for i in reversed([i for i in others if i != seen]):
+        if count(state([shown(messages[k]) for k in [*kept, i]])) > room:
             break
-        kept.append(shown[i])
-    return state(kept[::-1]), len(kept)
+        kept.append(i)
+    return state([shown(messages[k]) for k in kept[::-1]]), kept[::-1], seen
 
 
-def token_budget_state(room: int, count: Callable[[str], int] = count_words):
-    """A UDF of (task, system, array of (role, text)) giving (state, kept)."""
+def token_budget_state(room: int = ROOM, count: Callable[[str], int] = count_words):
+    """A UDF of an array of messages giving (state, kept, observation); nulls where it cannot fit."""
 
-    @F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("kept", T.IntegerType())]))
-    def run(task: pd.Series, system: pd.Series, messages: pd.Series) -> pd.DataFrame:
-        rows = [fill(t or "", s or "", [(m["role"] or "", m["text"] or "") for m in ms], room, count) or (None, None) for t, s, ms in zip(task, system, messages, strict=True)]
-        return pd.DataFrame(rows, columns=["state", "kept"]).astype({"kept": "Int32"})
+    @F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("kept", T.ArrayType(T.IntegerType())), T.StructField("observation", T.IntegerType())]))
+    def run(messages: pd.Series) -> pd.DataFrame:
+        rows = [fill([] if ms is None else list(ms), room, count) or (None, None, None) for ms in messages]
+        return pd.DataFrame(rows, columns=["state", "kept", "observation"]).astype({"observation": "Int32"})
 
     return run

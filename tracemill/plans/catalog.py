@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracemill.plans import evaluation, fixtures, governance_queries, profiles, registry, sweeps, traces
+from tracemill.plans import evaluation, fixtures, governance_queries, profiles, registry, sweeps, traces, verification
 
 
 def queries() -> dict:
-    assert evaluation and fixtures and governance_queries and profiles and sweeps and traces
+    assert evaluation and fixtures and governance_queries and profiles and sweeps and traces and verification
     return dict(registry.QUERIES)
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracemill import schemas as S
 from tracemill.functions import hashing, text
-from tracemill.operators import classify, records, tagged, token_state
+from tracemill.operators import classify, records, render, tagged, token_state
 from tracemill.plans.registry import query, table
+from tracemill.plans.traces import bounded_sql
 
 _TOOL_NAMES = ["read", "Read-File", "read_notes", "ls", "deep_search", "find_all", "apply-patch", "rewrite", "bash", "my_shell", "terminal", "browser", " Execute_Code ", ""]
 
@@ -45,11 +46,9 @@ def think_validity(spark, sf_dir):
     return r.select("conv_id", "turn", "r.valid", F.when(F.col("r.valid"), F.sha2("r.text", 256)).alias("digest"))
 
 
-def cumulative(spark, sf_dir):
-    """Cumulative trace rows made from conversations: each assistant turn calls tools picked by its place.
-
-    A row holds its whole prefix, as this kind of source does.
-    """
+def exchanges(spark, sf_dir):
+    """Conversations with ``ms``, the messages of each turn: assistant turns call tools picked by their place, and results of
+    those calls stand before the next user text."""
     c = table(spark, sf_dir, "conversations").withColumn("k", F.expr("conv_id * 7 + turn * 3"))
     name = F.element_at(F.array(*[F.lit(x) for x in ("read_file", "grep", "write_file", "bash", "browser")]), (F.col("k") % 5 + 1).cast("int"))
     call = lambda i, n: F.struct(F.concat(F.lit("c"), F.col("turn").cast("string"), F.lit(i)).alias("id"), F.lit("function").alias("type"), F.struct(n.alias("name"), F.lit("{}").alias("arguments")).alias("function"))
@@ -58,8 +57,13 @@ def cumulative(spark, sf_dir):
     result = F.when((F.col("role") == "user") & (F.col("turn") > 0) & (F.col("k") % 11 != 0), True).otherwise(False)
     # Both results of the assistant turn before stand in tool messages after it.
     own = F.struct("role", F.col("text").alias("content"), F.lit(None).cast("string").alias("reasoning_content"), calls.alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"), F.lit(None).cast("string").alias("name"))
-    tool = lambda i: F.struct(F.lit("tool").alias("role"), F.lit("ok").alias("content"), F.lit(None).cast("string").alias("reasoning_content"), F.lit(None).cast(f"array<{S.CALL}>").alias("tool_calls"), F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"), F.lit(i)).alias("tool_call_id"), F.lit(None).cast("string").alias("name"))
-    c = c.withColumn("ms", F.when(result, F.array(tool("a"), tool("b"), own)).otherwise(F.array(own)))
+    tool = lambda i: F.struct(F.lit("tool").alias("role"), F.lit("ok").alias("content"), F.lit(None).cast("string").alias("reasoning_content"), F.lit(None).cast(f"array<{S.CALL}>").alias("tool_calls"), F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"), F.lit(i)).alias("tool_call_id"), F.lit("grep" if i == "a" else None).cast("string").alias("name"))
+    return c.withColumn("ms", F.when(result, F.array(tool("a"), tool("b"), own)).otherwise(F.array(own)))
+
+
+def cumulative(spark, sf_dir):
+    """Cumulative trace rows: each assistant turn's row holds its whole prefix, as this kind of source does."""
+    c = exchanges(spark, sf_dir)
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"messages": F.flatten(F.collect_list("ms").over(w)), "assistant_step": F.sum((F.col("role") == "assistant").cast("int")).over(w).cast("int")}).where("role = 'assistant'")
     n = F.size("messages")
@@ -154,16 +158,30 @@ def canonical_digests(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", hashing.canonical_digest("props").alias("digest"))
 
 
+def _rendered_sql(policy: int) -> str:
+    """The messages of a turn, rendered and joined, from conversations with k and names as in ``_TRACE``."""
+    limit = S.MAX_MESSAGE_CHARS if policy == 1 else S.MAX_RENDERED_CHARS
+    call = "concat('TOOL_CALL {\"arguments\":\"{}\",\"id\":\"c', turn, i, '\",\"name\":\"', n, '\"}')"
+    calls = f"list_transform(list_zip(names, ['a', 'b'][1:len(names)]), lambda p: {call.replace(', i,', ', p[2],').replace(', n,', ', p[1],')})"
+    own = f"concat('[', upper(role), ']', chr(10), coalesce(nullif(array_to_string(list_concat(CASE WHEN coalesce(text, '') = '' THEN [] ELSE [{bounded_sql('text', limit)}] END, {calls}), chr(10)), ''), '[EMPTY]'))"
+    first = "concat('[TOOL]', chr(10), 'name=grep', chr(10), 'TOOL_RESULT id=c', turn - 1, 'a', chr(10), 'ok')" if policy == 1 else "concat('[TOOL]', chr(10), 'TOOL_RESULT id=c', turn - 1, 'a', chr(10), 'name=grep', chr(10), 'ok')"
+    second = "concat('[TOOL]', chr(10), 'TOOL_RESULT id=c', turn - 1, 'b', chr(10), 'ok')"
+    return f"concat(CASE WHEN answers THEN concat({first}, chr(10), chr(10), {second}, chr(10), chr(10)) ELSE '' END, {own})"
+
+
+@query(f"WITH {_TRACE.split('y AS')[0].rstrip().rstrip(',')} SELECT conv_id, turn, sha256({_rendered_sql(1)}) AS first_policy, sha256({_rendered_sql(2)}) AS second_policy FROM x")
+def render_full(spark, sf_dir):
+    """Each turn's messages with names, results, content and calls, in the orders of both policies."""
+    joined = lambda policy: F.sha2(F.array_join(F.transform("ms", lambda m: render.message(m, policy)), "\n\n"), 256)
+    return exchanges(spark, sf_dir).select("conv_id", "turn", joined(1).alias("first_policy"), joined(2).alias("second_policy"))
+
+
 @query()
 def token_budget_states(spark, sf_dir):
-    """Each conversation's state under 512 tokens; the fill retokenizes whole texts, so rows only."""
-    c = table(spark, sf_dir, "conversations")
-    m = c.groupBy("conv_id").agg(
-        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("task"), F.min_by("text", F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
-        F.sort_array(F.collect_list(F.when(F.col("role") != "system", F.struct("turn", "role", "text")))).alias("ms"),
-    )
-    s = m.select("conv_id", token_state.token_budget_state(512)(F.col("task"), F.col("system"), F.transform("ms", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))).alias("s"))
-    return s.select("conv_id", "s.kept", F.sha2("s.state", 256).alias("digest"), (F.size(text.sections(F.col("s.state"))) == 5).alias("parses"))
+    """The state of each conversation's last target under the smallest budget; the fill retokenizes whole texts, so rows only."""
+    last = cumulative(spark, sf_dir).where("assistant_step = assistant_steps").select("conv_id", F.slice("messages", F.lit(1), F.size("messages") - 1).alias("prefix"))
+    s = last.select("conv_id", token_state.token_budget_state()("prefix").alias("s"))
+    return s.select("conv_id", F.size("s.kept").alias("kept"), "s.observation", F.sha2("s.state", 256).alias("digest"), (F.size(text.sections(F.col("s.state"))) == 5).alias("parses"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS reservations, round(sum(greatest(o_totalprice / 1000, CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 1000 ELSE o_totalprice / 900 END)), 6) AS charged FROM orders")

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tracemill import schemas as S
 from tracemill.functions import hashing, text
-from tracemill.operators import classify, sweep
+from tracemill.operators import gates, sweep
 from tracemill.plans import traces
 from tracemill.plans.evaluation import predictions
-from tracemill.plans.fixtures import cumulative
 from tracemill.plans.registry import query, table
 
 _WORDS = r"len(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}'))"
@@ -83,21 +82,7 @@ def dataset_checks(spark, sf_dir):
         "task_missing": c.select("conv_id").distinct().join(x, "conv_id", "left_anti"),
         "target_in_prefix": c.withColumn("r", F.row_number().over(w)).where("role = 'assistant' and char_length(text) >= 24 and r > 1"),
     }
-    out = None
-    for name, bad in found.items():
-        row = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), (F.col("n") == 0).alias("passed"), "n")
-        out = row if out is None else out.union(row)
-    return out
-
-
-@query("SELECT conv_id, turn, 'kept' AS state FROM conversations WHERE false")
-def split_immutability(spark, sf_dir):
-    """Rows whose split under one policy differs from that under another; must be empty."""
-    d = cumulative(spark, sf_dir)
-    old = classify.first_call(d, 2).where("reason is null").select("source_trajectory_sha256", "assistant_step", "row_split")
-    new = classify.whole_turn(d).where("reason is null")
-    changed = classify.changed_assignments(new, old).join(new.select("source_trajectory_sha256", "assistant_step", "conv_id", "turn"), ["source_trajectory_sha256", "assistant_step"])
-    return changed.select("conv_id", "turn", F.lit("kept").alias("state"))
+    return gates.checks(found)
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label, coalesce(CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'good' ELSE 'bad' END, 'good') = CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS agrees FROM labels")

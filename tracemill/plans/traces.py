@@ -184,20 +184,20 @@ def greedy_history_fit(spark, sf_dir):
     return f.groupBy("conv_id").agg(F.count("*").alias("candidates"), F.count_if(F.expr("fits")).alias("retained"), F.count_if(F.expr("not fits")).alias("omitted"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("cost"))), F.lit(0)).alias("chars"))
 
 
-def _bounded_sql(c: str, limit: int) -> str:
+def bounded_sql(c: str, limit: int) -> str:
     marker = f"concat(chr(10), '...[TRUNCATED ', length({c}) - {limit}, ' CHARS]...', chr(10))"
     room = f"({limit} - length({marker}))"
     return f"CASE WHEN length({c}) <= {limit} THEN {c} ELSE concat(substr({c}, 1, {room} // 2), {marker}, substr({c}, length({c}) - ({room} - {room} // 2) + 1)) END"
 
 
-@query(f"SELECT doc_id, sha256({_bounded_sql('text', 400)}) AS digest, CAST(length({_bounded_sql('text', 400)}) AS INTEGER) AS n FROM documents")
+@query(f"SELECT doc_id, sha256({bounded_sql('text', 400)}) AS digest, CAST(length({bounded_sql('text', 400)}) AS INTEGER) AS n FROM documents")
 def bounded_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.bounded(F.col("text"), 400).alias("t"))
     return d.select("doc_id", F.sha2("t", 256).alias("digest"), F.char_length("t").alias("n"))
 
 
 @query(f"""
-SELECT conv_id, turn, concat('[', upper(role), ']', chr(10), CASE WHEN coalesce(text, '') = '' THEN '[EMPTY]' ELSE {_bounded_sql('text', 300)} END) AS rendered FROM conversations
+SELECT conv_id, turn, concat('[', upper(role), ']', chr(10), CASE WHEN coalesce(text, '') = '' THEN '[EMPTY]' ELSE {bounded_sql('text', 300)} END) AS rendered FROM conversations
 """)
 def render_messages(spark, sf_dir):
     body = F.when(F.coalesce("text", F.lit("")) == "", "[EMPTY]").otherwise(text.bounded(F.col("text"), 300))
@@ -208,14 +208,14 @@ _STATE = f"""
 r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 task AS (SELECT conv_id, min_by(text, turn) AS task, min(turn) AS tt FROM r WHERE role = 'user' GROUP BY 1),
 sys AS (SELECT conv_id, min_by(text, turn) AS sys FROM r WHERE role = 'system' GROUP BY 1),
-h AS (SELECT r.conv_id, r.turn, concat('[', upper(role), ']', chr(10), CASE WHEN coalesce(text, '') = '' THEN '[EMPTY]' ELSE {_bounded_sql('text', 4000)} END) AS m FROM r JOIN task USING (conv_id) WHERE role <> 'system' AND turn <> tt),
+h AS (SELECT r.conv_id, r.turn, concat('[', upper(role), ']', chr(10), CASE WHEN coalesce(text, '') = '' THEN '[EMPTY]' ELSE {bounded_sql('text', 4000)} END) AS m FROM r JOIN task USING (conv_id) WHERE role <> 'system' AND turn <> tt),
 f AS (SELECT *, sum(length(m) + 2) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) - 2 <= 14000 AS fits FROM h),
 hist AS (SELECT conv_id, count(*) FILTER (NOT fits) AS omitted, string_agg(m, chr(10) || chr(10) ORDER BY turn) FILTER (fits) AS history FROM f GROUP BY 1)"""
 
 
 @query(f"""
 WITH {_STATE}
-SELECT t.conv_id, CAST(coalesce(omitted, 0) AS BIGINT) AS omitted, sha256(concat('TASK', chr(10), {_bounded_sql('task', 6000)}, chr(10), chr(10), 'SYSTEM CONSTRAINTS', chr(10), {_bounded_sql("coalesce(sys, '')", 2500)},
+SELECT t.conv_id, CAST(coalesce(omitted, 0) AS BIGINT) AS omitted, sha256(concat('TASK', chr(10), {bounded_sql('task', 6000)}, chr(10), chr(10), 'SYSTEM CONSTRAINTS', chr(10), {bounded_sql("coalesce(sys, '')", 2500)},
   chr(10), chr(10), 'AVAILABLE NEXT-ACTION TYPES', chr(10), 'read, search, edit, execute, other_tool, respond_or_finish', chr(10), chr(10), 'OBSERVABLE HISTORY BEFORE TARGET', chr(10),
   CASE WHEN omitted > 0 THEN concat('[OMITTED ', omitted, ' OLDER MESSAGES]', chr(10), chr(10)) ELSE '' END, coalesce(history, '[NO PRIOR ACTION HISTORY]'))) AS state_sha256
 FROM task t LEFT JOIN sys USING (conv_id) LEFT JOIN hist USING (conv_id)
