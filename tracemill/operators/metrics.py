@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.sequence import numbered
+
 
 def confusion(df: DataFrame, gold: str, pred: str, labels: list) -> DataFrame:
     """(gold, pred, n) for every pair of labels, zero where nothing falls."""
@@ -37,14 +39,75 @@ def brier(probabilities: Column, gold_place: Column) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda a, x: a + x)
 
 
-def draws(groups: DataFrame, group: str, replicates: int) -> DataFrame:
-    """(rep, group, times): each replicate draws as many groups as there are, with replacement, by hash."""
-    g = groups.select(group).distinct().withColumn("place", F.row_number().over(Window.orderBy(group)) - 1)
+def draws(groups: DataFrame, group: str, replicates: int, broadcast_rows: int = 200_000) -> DataFrame:
+    """(rep, group, times): each replicate draws as many groups as there are, with replacement, by hash.
+
+    The table has a row for each replicate and group drawn, as any bootstrap over groups has; groups are numbered in ranges, so
+    that no task sees them all, and broadcast only where a count allows.
+    """
+    g = numbered(groups.select(group).distinct(), [F.col(group)], "place").withColumn("place", F.col("place") - 1)
     n = g.count()
     slots = g.sparkSession.range(replicates * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("slot"))
     digest = F.sha2(F.concat_ws(":", F.col("rep").cast("string"), F.col("slot").cast("string")), 256)
-    hit = slots.select("rep", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n).cast("int").alias("place"))
-    return hit.groupBy("rep", "place").agg(F.count("*").alias("times")).join(F.broadcast(g), "place").select("rep", group, "times")
+    hit = slots.select("rep", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n).alias("place"))
+    side = F.broadcast(g) if n <= broadcast_rows else g
+    return hit.groupBy("rep", "place").agg(F.count("*").alias("times")).join(side, "place").select("rep", group, "times")
+
+
+#: Where the two ends of a 95 % interval stand among R sorted values, from 0, by three rules.
+INTERVALS = {
+    "floor_ceil": lambda r: (max(0, math.floor(0.025 * r)), min(r - 1, math.ceil(0.975 * r) - 1)),
+    "probe": lambda r: (r * 25 // 1000 - 1, r * 975 // 1000 - 1),
+    "inner": lambda r: (int(0.025 * (r - 1)), int(0.975 * (r - 1))),
+}
+
+
+def macro_f1(counts: DataFrame, keys: list[str], gold: str, pred: str, n: str, labels: list) -> DataFrame:
+    """(keys, macro_f1, accuracy) from counted (gold, pred): the mean over all labels, 0 for one that is neither."""
+    # Each counted pair is seen from its gold and from its predicted label; tp counts once.
+    zero, kind = F.lit(0).cast("long"), counts.schema[gold].dataType
+    seen = lambda label, support, predicted, tp: F.struct(F.col(label).cast(kind).alias("label"), support.alias("support"), predicted.alias("predicted"), tp.alias("tp"))
+    right = F.when(F.col(gold) == F.col(pred), F.col(n)).otherwise(zero)
+    side = F.explode(F.array(seen(gold, F.col(n), zero, right), seen(pred, zero, F.col(n), zero)))
+    by = counts.select(*keys, side.alias("s")).groupBy(*keys, "s.label").agg(*[F.sum(f"s.{c}").alias(c) for c in ("support", "predicted", "tp")])
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0))
+    return by.groupBy(*keys).agg((F.sum(F.when(F.col("label").isin(labels), f1)) / len(labels)).alias("macro_f1"), F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("accuracy"))
+
+
+def paired_bootstrap(rows: DataFrame, group: str, gold: str, a: str, b: str, labels: list, replicates: int) -> DataFrame:
+    """(metric, rep, difference): macro-F1 and accuracy of a less those of b, in replicates that draw whole groups; rep -1 is the whole.
+
+    Rows are counted by group, gold and both predictions first; replicates weight these counts.
+    """
+    counts = rows.groupBy(group, gold, a, b).agg(F.count("*").alias("n"))
+    drawn = draws(counts, group, replicates).join(counts, group).withColumn("n", F.col("n") * F.col("times")).drop("times", group)
+    every = drawn.unionByName(counts.drop(group).withColumn("rep", F.lit(-1).cast("long"))).groupBy("rep", gold, a, b).agg(F.sum("n").alias("n"))
+    one, two = (macro_f1(every, ["rep"], gold, p, "n", labels).select("rep", *[F.col(m).alias(f"{m}_{x}") for m in ("macro_f1", "accuracy")]) for p, x in ((a, "a"), (b, "b")))
+    both = one.join(two, "rep")
+    return both.select("rep", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"{m}_a") - F.col(f"{m}_b")).alias("difference")) for m in ("macro_f1", "accuracy")])).alias("x")).select("x.metric", "rep", "x.difference")
+
+
+def intervals(replicated: DataFrame, keys: list[str], value: str, replicates: int, rule: str) -> DataFrame:
+    """(keys, low, high): the ends of a 95 % interval over one row per replicate."""
+    low, high = INTERVALS[rule](replicates)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
+    r = replicated.withColumn("__i", place).groupBy(*keys)
+    return r.agg(F.max(F.when(F.col("__i") == low, F.col(value))).alias("low"), F.max(F.when(F.col("__i") == high, F.col(value))).alias("high"))
+
+
+def log_score(probability: Column, floor: float = -9.21) -> Column:
+    return F.greatest(F.ln(F.greatest(probability, F.lit(1e-12))), F.lit(floor))
+
+
+def spherical_score(probability: Column, probabilities: Column) -> Column:
+    return probability / F.greatest(F.sqrt(F.aggregate(probabilities, F.lit(0.0), lambda t, x: t + x * x)), F.lit(1e-9))
+
+
+def ranked_score(probabilities: Column, gold_place: Column) -> Column:
+    """The ranked probability score of ordered classes: squared differences of cumulative sums over the number of steps; ``gold_place`` is 0-based."""
+    sums = F.transform(probabilities, lambda _, i: F.aggregate(F.slice(probabilities, F.lit(1), i + 1), F.lit(0.0), lambda t, x: t + x))
+    squares = F.transform(sums, lambda c, i: F.pow(c - F.when(i >= gold_place, 1.0).otherwise(0.0), F.lit(2.0)))
+    return F.aggregate(squares, F.lit(0.0), lambda t, x: t + x) / (F.size(probabilities) - 1)
 
 
 def temperature(df: DataFrame, logs: str, gold_place: str, rounds: int = 60) -> tuple[float, float]:
@@ -75,7 +138,7 @@ def temperature(df: DataFrame, logs: str, gold_place: str, rounds: int = 60) ->
     return math.exp((a + b) / 2), loss((a + b) / 2)
 
 
-def grouped_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
+def grouped_folds(sizes: list[tuple], k: int) -> dict:
     """Groups, largest first and by name, to the fold that holds least; works on one entry per group."""
     load, out = [0] * k, {}
     for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
@@ -83,3 +146,17 @@ def grouped_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
         out[name] = f
         load[f] += n
     return out
+
+
+def fold_table(sizes: DataFrame, group: str, n: str, k: int, most: int = 1_000_000) -> DataFrame:
+    """(group, fold) by ``grouped_folds``, which is sequential: one entry per group, on the driver; more than ``most`` groups are an error."""
+    rows = sizes.select(group, n).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many groups to deal one after another")
+    folds = grouped_folds([(r[0], r[1]) for r in rows], k)
+    return sizes.sparkSession.createDataFrame(list(folds.items()) or [], f"{group} {sizes.schema[group].dataType.simpleString()}, fold int")
+
+
+def same(a: Column, b: Column, tolerance: float = 1e-10) -> Column:
+    """Whether two reported numbers are the same within an absolute tolerance."""
+    return F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))

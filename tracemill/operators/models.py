@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,11 +19,11 @@ def naive_bayes(train: DataFrame, docs: DataFrame, key: str, label: str, feature
     """
     # Outer, since for an inner one the optimiser adds a filter that finds the features a second time.
     seen = train.select(key, label, F.explode_outer(features).alias("f")).where("f is not null")
-    counts = seen.groupBy(label, "f").agg(F.count("*").alias("c"))
-    vocabulary = counts.groupBy("f").agg(F.sum("c").alias("df")).where(F.col("df") >= min_df).select("f")
-    counts = counts.join(vocabulary, "f")
+    # Counted once and kept: vocabulary, its size and the class totals come from this table.
+    counts = seen.groupBy(label, "f").agg(F.count("*").alias("c")).withColumn("df", F.sum("c").over(Window.partitionBy("f"))).where(F.col("df") >= min_df).drop("df").persist()
+    vocabulary = counts.select("f").distinct()
     size = vocabulary.count()
-    prior = train.groupBy(label).agg(F.count("*").alias("n"))
+    prior = train.groupBy(label).agg(F.count("*").alias("n")).persist()
     total = counts.groupBy(label).agg(F.sum("c").alias("tot"))
     rows, classes = prior.agg(F.sum("n"), F.count("*")).first()
     if not rows:
@@ -43,7 +44,7 @@ def sgd_logistic(vectors: DataFrame, candidates: list[tuple[str, float, int, int
 
     ``vectors`` has id, label and features (map of term to weight) and is one training sample of bounded size: the
     updates are sequential, so each candidate (name, l2, epochs, seed) is one task and the candidates run beside
-    each other. Rows are shuffled anew in each epoch, the step is 0.5 / sqrt(epoch + 1), weights shrink once an epoch
+    each other. Rows are shuffled anew in each epoch, the step is 0.5 / sqrt(epoch + 1), weights shrink once before each epoch
     and the bias, kept as feature '', does not.
     """
     spark = vectors.sparkSession
@@ -61,6 +62,9 @@ def sgd_logistic(vectors: DataFrame, candidates: list[tuple[str, float, int, int
             order = list(range(len(data)))
             rng.shuffle(order)
             rate = 0.5 / math.sqrt(epoch + 1)
+            for w in weights:
+                for f in w:
+                    w[f] *= max(0.0, 1 - rate * l2)
             for i in order:
                 y, fs = data[i]
                 z = [b + sum(w.get(k, 0.0) * v for k, v in fs) for b, w in zip(bias, weights, strict=True)]
@@ -70,10 +74,39 @@ def sgd_logistic(vectors: DataFrame, candidates: list[tuple[str, float, int, int
                     bias[k] += g
                     for f, v in fs:
                         w[f] = w.get(f, 0.0) + g * v
-            for w in weights:
-                for f in w:
-                    w[f] *= 1 - rate * l2
         found = [(labels[k], f, x) for k, w in enumerate(weights) for f, x in [("", bias[k]), *sorted(w.items())]]
         return pd.DataFrame(found, columns=["label", "feature", "weight"]).assign(candidate=pdf["candidate"].iloc[0])[["candidate", "label", "feature", "weight"]]
 
     return rows.groupBy("candidate").applyInPandas(fit, "candidate string, label string, feature string, weight double")
+
+
+#: The tag of a saved model, without which none is read.
+FORMAT = "tracemill-linear-1"
+
+
+def saved(model: DataFrame) -> str:
+    """A fitted model as one JSON text: its tag and its rows in order. Models are small: a row per class and feature of a bounded sample."""
+    rows = [list(r) for r in model.select("candidate", "label", "feature", "weight").orderBy("candidate", "label", "feature").collect()]
+    return json.dumps({"format": FORMAT, "rows": rows}, sort_keys=True)
+
+
+def read_saved(spark, text: str) -> DataFrame:
+    """The table of a saved model; another format is an error."""
+    found = json.loads(text)
+    if found.get("format") != FORMAT:
+        raise ValueError("not a saved linear model")
+    return spark.createDataFrame([tuple(r) for r in found["rows"]], "candidate string, label string, feature string, weight double")
+
+
+def linear_scores(model: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, candidate, label, p): softmax over a candidate's labels of bias plus weights; ``vectors`` has key, feature, value.
+
+    A row without known features gets the softmax of the biases.
+    """
+    bias = model.where("feature = ''").select("candidate", "label", F.col("weight").alias("bias"))
+    sums = vectors.join(model.where("feature <> ''"), "feature").groupBy(key, "candidate", "label").agg(F.sum(F.col("weight") * F.col("value")).alias("z"))
+    every = vectors.select(key).distinct().crossJoin(F.broadcast(bias))  # few classes
+    z = every.join(sums, [key, "candidate", "label"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)) + F.col("bias"))
+    w = Window.partitionBy(key, "candidate")
+    e = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))
+    return e.select(key, "candidate", "label", (F.col("e") / F.sum("e").over(w)).alias("p"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracemill import schemas as S
 from tracemill.functions import text
 from tracemill.operators import metrics, models
 from tracemill.plans.registry import query, table
@@ -155,3 +156,101 @@ def prediction_join(spark, sf_dir):
     a, b = e.where("vec_id % 3 <> 0").select("vec_id", F.lit(1).alias("a")), e.where("vec_id % 2 = 0").select("vec_id", F.lit(1).alias("b"))
     j = a.join(b, "vec_id", "full_outer")
     return j.agg(F.count_if(F.expr("a = 1 and b = 1")).alias("matched"), F.count_if(F.expr("a is null")).alias("missing"), F.count_if(F.expr("b is null")).alias("extra"))
+
+
+_SECOND = "CASE WHEN vec_id % 4 = 0 THEN label ELSE (list_position(p, list_max(p)) + 2) % 10 END"
+
+
+@query(f"""
+WITH {_P}, d AS (SELECT vec_id % 50 AS grp, label AS gold, list_position(p, list_max(p)) - 1 AS a, {_SECOND} AS b FROM p),
+g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS place FROM (SELECT DISTINCT grp FROM d)), k AS (SELECT count(*) AS k FROM g),
+t AS (SELECT rep, place, count(*) AS times FROM (SELECT r.r AS rep, CAST(concat('0x', substr(sha256(concat(r.r, ':', i.i)), 1, 8)) AS BIGINT) % (SELECT k FROM k) AS place FROM range(100) r(r), range((SELECT k FROM k)) i(i)) GROUP BY ALL),
+w AS (SELECT rep, gold, a, b, sum(times) AS n FROM t JOIN g USING (place) JOIN d USING (grp) GROUP BY ALL UNION ALL SELECT -1, gold, a, b, count(*) FROM d GROUP BY ALL),
+m AS (SELECT rep, 'a' AS model, gold, a AS pred, n FROM w UNION ALL SELECT rep, 'b', gold, b, n FROM w),
+l AS (SELECT rep, model, label, sum(s) AS s, sum(q) AS q, sum(tp) AS tp FROM (SELECT rep, model, gold AS label, n AS s, 0 AS q, CASE WHEN gold = pred THEN n ELSE 0 END AS tp FROM m UNION ALL SELECT rep, model, pred, 0, n, 0 FROM m) GROUP BY ALL),
+sc AS (SELECT rep, model, sum(coalesce(2.0 * tp / nullif(s + q, 0), 0)) / 10 AS macro_f1, CAST(sum(tp) AS DOUBLE) / sum(s) AS accuracy FROM l GROUP BY ALL),
+x AS (SELECT rep, 'macro_f1' AS metric, max(macro_f1) FILTER (model = 'a') - max(macro_f1) FILTER (model = 'b') AS difference FROM sc GROUP BY rep UNION ALL SELECT rep, 'accuracy', max(accuracy) FILTER (model = 'a') - max(accuracy) FILTER (model = 'b') FROM sc GROUP BY rep),
+o AS (SELECT metric, list_sort(list(difference) FILTER (rep >= 0)) AS s, max(difference) FILTER (rep = -1) AS observed FROM x GROUP BY metric)
+SELECT metric, rule, round(observed, 6) AS observed, round(s[low + 1], 6) AS low, round(s[high + 1], 6) AS high FROM o CROSS JOIN (VALUES ('floor_ceil', 2, 97), ('probe', 1, 96), ('inner', 2, 96)) r(rule, low, high)
+""")
+def paired_bootstrap(spark, sf_dir):
+    """Differences of two models' macro-F1 and accuracy, with the ends of a 95 % interval by each of three rules."""
+    second = F.when(F.col("vec_id") % 4 == 0, F.col("label")).otherwise(((F.col("pred") + 3) % 10).cast("int"))
+    p = predictions(spark, sf_dir).select((F.col("vec_id") % 50).alias("grp"), F.col("label").alias("gold"), F.col("pred").alias("a"), second.alias("b"))
+    found = metrics.paired_bootstrap(p, "grp", "gold", "a", "b", _LABELS, 100).persist()
+    whole = found.where("rep = -1").select("metric", F.round("difference", 6).alias("observed"))
+    out = None
+    for rule in metrics.INTERVALS:
+        r = metrics.intervals(found.where("rep >= 0"), ["metric"], "difference", 100, rule).select("metric", F.lit(rule).alias("rule"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+        out = r if out is None else out.union(r)
+    return out.join(whole, "metric")
+
+
+@query(f"""
+WITH {_P}, g AS (SELECT vec_id, label, p, p[label + 1] AS q FROM p)
+SELECT vec_id, round(greatest(ln(greatest(q, 1e-12)), -9.21), 6) AS log_score, round(q / greatest(sqrt(list_sum(list_transform(p, lambda x: x * x))), 1e-9), 6) AS spherical,
+  round(list_sum(list_transform(range(1, 11), lambda i: (list_sum(p[1:i]) - CASE WHEN i - 1 >= label THEN 1.0 ELSE 0.0 END) ** 2)) / 9, 6) AS ranked FROM g
+""")
+def proper_scores(spark, sf_dir):
+    """Log, spherical and ranked probability scores of each prediction."""
+    q = F.element_at("p", F.col("label") + 1)
+    p = predictions(spark, sf_dir)
+    return p.select("vec_id", F.round(metrics.log_score(q), 6).alias("log_score"), F.round(metrics.spherical_score(q, F.col("p")), 6).alias("spherical"), F.round(metrics.ranked_score(F.col("p"), F.col("label")), 6).alias("ranked"))
+
+
+@query("SELECT label, n, round(n / sum(n) OVER (), 6) AS p FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in S.REPLAY_COUNTS.items()) + ") t(label, n)")
+def replay_majority(spark, sf_dir):
+    """The rule that a replay compares with: shares of fixed counts."""
+    total = sum(S.REPLAY_COUNTS.values())
+    return spark.createDataFrame([(k, v, round(v / total, 6)) for k, v in S.REPLAY_COUNTS.items()], "label string, n int, p double")
+
+
+@query()
+def sgd_scores(spark, sf_dir):
+    """Class probabilities of documents under the fitted models, which are saved and read again; rows only, as the fit is."""
+    fitted = models.read_saved(spark, models.saved(sgd_logistic(spark, sf_dir)))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(text.word_tokens(F.col("text"))).alias("t")).where("t is not null")
+    c = d.groupBy("doc_id", "t").agg((1 + F.ln(F.count("*"))).alias("v"))
+    norm = c.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    vectors = c.join(norm, "doc_id").select("doc_id", F.col("t").alias("feature"), (F.col("v") / F.col("norm")).alias("value"))
+    return models.linear_scores(fitted, vectors, "doc_id")
+
+
+@query()
+def grouped_cross_validation(spark, sf_dir):
+    """Per fold of users: events held out and the accuracy of the type that is most frequent in the other folds; folds are dealt greedily."""
+    e = table(spark, sf_dir, "events")
+    sizes = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    folds = metrics.fold_table(sizes, "user_id", "n", 5)
+    counts = e.join(folds, "user_id").groupBy("fold", "event_type").agg(F.count("*").alias("n")).persist()
+    total = counts.groupBy("event_type").agg(F.sum("n").alias("all_n"))
+    rest = counts.select("fold").distinct().crossJoin(total).join(counts, ["fold", "event_type"], "left").fillna(0)  # folds by types
+    best = rest.groupBy("fold").agg(F.max_by("event_type", F.struct(F.col("all_n") - F.col("n"), F.col("event_type"))).alias("guess"), F.sum("n").alias("held_out"))
+    hit = best.join(counts, (best["fold"] == counts["fold"]) & (best["guess"] == counts["event_type"]), "left")
+    return hit.select(best["fold"], "held_out", "guess", F.round(F.coalesce("n", F.lit(0)) / F.col("held_out"), 6).alias("accuracy"))
+
+
+@query(f"""
+WITH {_P}, r AS (SELECT vec_id, list_position(p, list_max(p)) - 1 AS pred, CASE WHEN vec_id % 5 <> 0 THEN label END AS label, list_transform(range(1, 11), lambda i: p[11 - i]) AS gold FROM p)
+SELECT vec_id, CAST(coalesce(label, list_position(gold, list_max(gold)) - 1) AS INTEGER) AS reference, coalesce(label, list_position(gold, list_max(gold)) - 1) = pred AS agrees FROM r
+""")
+def reference_agreement(spark, sf_dir):
+    """Predictions against the gold label or, where it is null, the likeliest option of the gold distribution (here the reversed one)."""
+    p = predictions(spark, sf_dir).select("vec_id", "pred", F.when(F.col("vec_id") % 5 != 0, F.col("label")).alias("label"), F.reverse("p").alias("gold"))
+    reference = F.coalesce("label", (text.argmax(F.col("gold")) - 1).cast("int"))
+    return p.select("vec_id", reference.alias("reference"), (reference == F.col("pred")).alias("agrees"))
+
+
+@query(f"""
+WITH {_P}, m AS (SELECT label, list_position(p, list_max(p)) - 1 = label AS ok, -ln(greatest(p[label + 1], 1e-12)) AS nll FROM p),
+r AS (SELECT avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS accuracy, avg(nll) AS nll, count(*) FILTER (ok) / count(*) AS a FROM m), c AS (SELECT sum(l) / sum(n) AS b FROM (SELECT sum(nll) AS l, count(*) AS n FROM m GROUP BY label))
+SELECT 'accuracy' AS metric, abs(accuracy - a) <= 1e-10 AS same FROM r, c UNION ALL SELECT 'nll', abs(nll - b) <= 1e-10 FROM r, c UNION ALL SELECT 'spoilt', abs(nll - a) <= 1e-10 FROM r, c
+""")
+def reported_metrics(spark, sf_dir):
+    """Metrics as reported against the same recomputed from counts, within 1e-10; one report is spoilt."""
+    p = predictions(spark, sf_dir)
+    loss = metrics.nll(F.element_at("p", F.col("label") + 1), 1e-12)
+    reported = p.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.avg(loss).alias("nll"))
+    counted = metrics.confusion(p, "label", "pred", _LABELS).agg((F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n"))) / F.sum("n")).alias("a")).crossJoin(p.groupBy("label").agg(F.sum(loss).alias("l"), F.count("*").alias("c")).agg((F.sum("l") / F.sum("c")).alias("b")))  # one row each
+    pairs = {"accuracy": ("accuracy", "a"), "nll": ("nll", "b"), "spoilt": ("nll", "a")}
+    return reported.crossJoin(counted).select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), metrics.same(F.col(x), F.col(y)).alias("same")) for n, (x, y) in pairs.items()])).alias("x")).select("x.*")

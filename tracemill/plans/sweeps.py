@@ -85,16 +85,6 @@ def dataset_checks(spark, sf_dir):
     return gates.checks(found)
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label, coalesce(CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'good' ELSE 'bad' END, 'good') = CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS agrees FROM labels")
-def reference_agreement(spark, sf_dir):
-    """A gold label, or where it is null the likeliest option of its distribution, against a prediction."""
-    q = F.when(F.col("quality") == 1, "good").otherwise("bad")
-    options = F.array(F.lit("good"), F.lit("bad"))
-    fallback = F.element_at(options, text.argmax(F.array(F.lit(0.6), F.lit(0.4))).cast("int"))
-    gold = F.coalesce(F.when(F.col("toxic") != 1, q), fallback)
-    return table(spark, sf_dir, "labels").select("doc_id", q.alias("label"), (gold == q).alias("agrees"))
-
-
 @query(f"SELECT doc_id, concat('t2d-i3-', substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(10), source)), 1, 32)) AS id, {traces._bucket(S.SPLIT_SEED_3WAY, 'sha256(text)')} AS bucket FROM documents")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hashing.stable_id("t2d-i3-", F.col("doc_id").cast("string"), F.col("source")).alias("id"), hashing.bucket(S.SPLIT_SEED_3WAY, F.sha2("text", 256)).alias("bucket"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.records import record_reasons
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of every line, blank ones included, numbered from 1 within its file.
@@ -32,6 +34,32 @@ def strict(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
     return rows.withColumn("row", F.when(F.col("reason").isNull(), F.col("row")).otherwise(F.raise_error(F.concat(F.lit("invalid JSON at line "), F.col("line").cast("string"))).cast(rows.schema["row"].dataType)))
 
 
+def validated(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(file, line, value) of records that all are valid; else, or if there is none, an error that names places and reasons."""
+    rows = lines.where(F.trim(value) != "")
+    bad = rows.withColumn("reasons", record_reasons(value)).where("size(reasons) > 0").orderBy("file", "line").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['file']}:{r['line']}: {','.join(r['reasons'])}" for r in bad))
+    if not rows.limit(1).count():
+        raise ValueError("no records")
+    return rows.select("file", "line", value)
+
+
+def decoded(df: DataFrame, state: str = "state", others: tuple[str, ...] = ("questions", "gold")) -> DataFrame:
+    """The columns as variants: a state that is no JSON is a string; another column that is none is null, and named in ``reason``."""
+    plain = F.expr(f"variant_get(parse_json(to_json(struct({state} AS s))), '$.s', 'variant')")
+    kept = {state: F.coalesce(F.try_parse_json(state), plain)}
+    bad = F.array_join(F.filter(F.array(*[F.when(F.col(c).isNotNull() & F.try_parse_json(c).isNull(), c) for c in others]), lambda x: x.isNotNull()), ",")
+    return df.withColumn("reason", F.nullif(bad, F.lit(""))).withColumns(kept | {c: F.try_parse_json(c) for c in others})
+
+
+def objects(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The lines, each of which must be a JSON object; any other fails the job when it is read."""
+    kind = F.coalesce(F.schema_of_variant(F.try_parse_json(value)), F.lit(""))
+    where = F.concat_ws(":", "file", F.col("line").cast("string"))
+    return lines.where(F.trim(value) != "").withColumn(value, F.when(kind.startswith("OBJECT"), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("no JSON object at "), where))))
+
+
 def source_line(lines: DataFrame, number: int) -> DataFrame:
     """One line and the digest of its bytes with the newline."""
     return lines.where(F.col("line") == number).select("line", "value", F.sha2(F.concat("value", F.lit("\n")), 256).alias("sha256"))
