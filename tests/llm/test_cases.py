@@ -265,7 +265,21 @@ def test_token_count_cases(spark, odd):
     assert token_counts.add_counts(odd.limit(0), path).count() == 0
 
 
-def test_chat_windows_round_trip(spark):
+def chat_format_plain(role, text):
+    """A turn in its marks, by the template."""
+
+    def escaped(t):
+        t = t.replace("~", "~0")
+        for mark in ("[INST]", "[/INST]"):
+            t = t.replace(mark, "~1" + mark[1:])
+        return re.sub(r"<(?=/?s>|</?SYS>>)", "~2", t)
+
+    left, right = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}.get(role, (f"[INST]<<SYS>>{escaped(role)}<</SYS>>", "[/INST]"))
+    return left + escaped(text) + right
+
+
+@pytest.mark.parametrize("block", [512, 8, 1])
+def test_chat_windows_round_trip(spark, block):
     rng = random.Random(8)
     bits = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "~", "~1", "[", "<", "/INST]", "é", "\n", "word ", "\\", "$1"]
     rows = []
@@ -273,7 +287,7 @@ def test_chat_windows_round_trip(spark):
         for t in range(rng.randint(1, 25)):
             rows.append((c, t, rng.choice(["system", "user", "assistant", "tool", "<s>x", None]), rng.choice([None, "", "".join(rng.choice(bits) for _ in range(rng.randint(1, 60))), "word " * rng.randint(1, 300)])))
     rows += [(3, 1, "user", "again"), (None, 0, "user", "x"), (3, None, "assistant", "first")]
-    w = chat_format.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    w = chat_format.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=block).cache()
     back = chat_format.read_back(w).orderBy("conv_id", "window").collect()
     got, targets = {}, {}
     for r in back:
@@ -283,7 +297,20 @@ def test_chat_windows_round_trip(spark):
     for c in {r[0] for r in rows}:
         want = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: (none_first(r[1]), r[2] or "", r[3] or ""))]
         assert got[c] == want and targets[c] == [t for role, t in want if role == "assistant"]
-    assert w.where("window > 0 and n_context > 0").count() > 0
+    assert w.where("window > 1 and n_context > 0").count() > 0
+    # The repeats are the turns that stand before, and the latest system turn if it isn't among them.
+    frames = {c: [(chat_format_plain(role, t), role, -(-len(t) // 4) + 4) for role, t in got[c]] for c in got}
+    for r in back:
+        at = r["window"] - 1
+        own, near, cost = frames[r["conv_id"]], [], 0
+        for k in range(at - 1, max(-1, at - 4), -1):
+            cost += own[k][2]
+            if cost > 128:
+                break
+            near.insert(0, k)
+        system = [k for k in range(at) if own[k][1] == "system"][-1:]
+        context = [k for k in system if k < at - len(near)] + near
+        assert r["n_context"] == len(context) and r["formatted"].startswith("".join(own[k][0] for k in context))
     assert chat_format.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 

@@ -6,16 +6,19 @@ most ``SPILL`` tokens stays, else it is a window of its own. So the new turns of
 CELL + SPILL tokens, unless one turn alone is longer; turns are never cut. Each window but the first also gets,
 before its new turns, the latest system turn before it and up to ``HISTORY`` turns of at most ``HISTORY_TOKENS``
 tokens that stand directly before it. Those repeats are context: only new assistant turns are in the loss mask,
-so every assistant text is a target exactly once.
+so every assistant text is a target exactly once. So a window's budget is CELL + SPILL + HISTORY_TOKENS and its
+system turn, which is kept whole. Each ``BLOCK`` turn numbers begin a new window: tokens are summed inside blocks and from
+block to block, and a block brings along the turns that its first windows repeat, so a long conversation is many tasks.
 
 Template: ``<<SYS>>text<</SYS>>`` for system, ``[INST]text[/INST]`` for user, ``<s>text</s>`` for assistant, and
 ``[INST]<<SYS>>role<</SYS>>text[/INST]`` for any other role. Inside texts and roles '~' is written '~0', and a
 bracket that begins one of the six control strings '~1' ('[') or '~2' ('<'); undone in reverse, this is exact.
 
 Defined cases: null text is empty, a null role is the role ''; turns stand by turn, role, text, null turns first;
-repeated rows are repeated turns; a null conv_id is one conversation; an empty table gives no windows. A row of
-the output holds one window, so memory goes with the budget and the longest turn. Only the digests of
-``op3_chat_format`` need a whole conversation in one row; the windows do not.
+repeated rows are repeated turns; a null conv_id is one conversation; an empty table gives no windows; other columns
+are not carried. A row of the output holds one window, so memory goes with the budget and the longest turn. Rows of one turn
+number, or of none, of one conversation are ordered in one task. Only the digests of ``op3_chat_format`` need a whole
+conversation in one row; the windows do not.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import table
+from tracemill.llm.common import cut, small_side, table
 
 CELL, SPILL, HISTORY, HISTORY_TOKENS = 256, 64, 3, 128
+#: Turn numbers of a block, a power of two.
+BLOCK = 512
 _PARTS = r"(?s)<<SYS>>.*?<</SYS>>|\[INST\].*?\[/INST\]|<s>.*?</s>"
 
 
@@ -56,21 +61,59 @@ def framed(role: Column, body: Column) -> Column:
     )
 
 
-def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", cell: int = CELL, spill: int = SPILL, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """One row per window: conv_id, window (from 0), first (number of its first new turn), formatted, n_context (turns repeated) and loss, an array of (start, len) in code points."""
-    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("body", escape(F.col("text"))).withColumn("framed", framed(F.col("role"), F.col("body"))).withColumn("cost", tokens(F.col("text")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+def _brought(rows: DataFrame, history: int) -> tuple[DataFrame, DataFrame]:
+    """Of blocks that are not their conversation's first: (conv_id, block, i0, at0), what stands before them, and their brought turns.
+
+    These are the ``history`` turns before the block and the latest system turn, with i and at in the whole conversation.
+    """
+    sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.max((F.col("role") == "system").cast("int")).alias("has"))
+    order = Window.partitionBy("conv_id").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"i": F.row_number().over(order).cast("long"), "at": F.coalesce(F.sum("cost").over(before), F.lit(0)).cast("long")})
+    blocks = sizes.withColumns(
+        {
+            "i0": F.coalesce(F.sum("n").over(before), F.lit(0)), "at0": F.coalesce(F.sum("cost").over(before), F.lit(0)), "blocks": F.count("*").over(Window.partitionBy("conv_id")),
+            "from": F.concat(F.array(*[F.lag(F.struct("block"), k).over(order) for k in range(1, history + 1)]), F.array(F.last(F.when(F.col("has") == 1, F.struct("block")), ignorenulls=True).over(before))),
+        }
+    )
+    blocks = cut(blocks.where("blocks > 1").select("conv_id", "block", "i0", "at0", "from"))
+    some = small_side(blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "i0", "at0"))
+    long = rows.join(some, rows["conv_id"].eqNullSafe(F.col("c")) & rows["block"].eqNullSafe(F.col("b"))).drop("c", "b")
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    back = Window.partitionBy("conv_id", "block").orderBy(F.desc("i"))
+    long = long.withColumns({"i": F.row_number().over(inside) + F.col("i0"), "at": F.col("at0") + F.sum("cost").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cost")})
+    later = F.sum((F.col("role") == "system").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    tails = long.withColumns({"k": F.row_number().over(back), "last_system": (F.col("role") == "system") & (F.coalesce(later, F.lit(0)) == 0)}).where((F.col("k") <= history) | F.col("last_system"))
+    tails = tails.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "role", "framed", "i", "at", "last_system")
+    wanted = blocks.where("i0 > 0").select("conv_id", "block", "i0", F.posexplode("from").alias("k", "f")).where("f is not null")
+    brought = wanted.join(tails, wanted["conv_id"].eqNullSafe(F.col("c")) & wanted["f.block"].eqNullSafe(F.col("b"))).where(F.when(F.col("k") == history, F.col("last_system")).otherwise(F.col("i") > F.col("i0") - history))
+    return blocks.where("i0 > 0").drop("from"), brought.select("conv_id", "block", "role", "framed", "i", "at").distinct()
+
+
+def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", cell: int = CELL, spill: int = SPILL, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS, block: int = BLOCK) -> DataFrame:
+    """One row per window: conv_id, window (the number of its first new turn, from 1), formatted, n_context (turns repeated) and loss, an array of (start, len) in code points."""
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumns({"cost": tokens(F.col("text")), "block": F.shiftright("turn", block.bit_length() - 1)})
+    rows = rows.withColumn("body", escape(F.col("text"))).withColumn("framed", framed(F.col("role"), F.col("body")))
+    before, brought = _brought(rows, history)
+    before = small_side(cut(before.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "i0", "at0")))
+    rows = rows.join(before, rows["conv_id"].eqNullSafe(F.col("c")) & rows["block"].eqNullSafe(F.col("b")), "left").drop("c", "b").fillna(0, ["i0", "at0"])
+    rows = rows.withColumn("lead", F.lit(False)).unionByName(cut(brought).withColumn("lead", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy("conv_id", "block").orderBy(F.desc("lead"), F.col("i"), "turn", "role", "text")
+    prior = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda x: F.when(F.col("lead"), 0).otherwise(x)
+    # Brought turns have their numbers; the others count on from what stands before the block.
+    rows = rows.withColumns({"n_before": F.coalesce(F.sum(own(1)).over(prior), F.lit(0)), "cost_before": F.coalesce(F.sum(own(F.col("cost"))).over(prior), F.lit(0))})
+    rows = rows.withColumns({"i": F.coalesce("i", F.col("i0") + F.col("n_before") + 1).cast("long"), "at": F.coalesce("at", F.col("at0") + F.col("cost_before")).cast("long")}).drop("n_before", "cost_before", "i0", "at0")
+    order = Window.partitionBy("conv_id", "block").orderBy("i")
+    prior = order.rowsBetween(Window.unboundedPreceding, -1)
     part = F.expr(f"at div {cell}")
     alone = F.col("at") + F.col("cost") > (part + 1) * cell + spill
     rows = rows.withColumn("w", part * 2 + F.when(alone, 1).otherwise(0))
     # What stands before each turn: the last few turns, newest first, and the latest system turn.
     rows = rows.withColumn("past", F.array(*[F.lag(F.struct("i", "at", "framed"), k).over(order) for k in range(1, history + 1)]))
-    rows = rows.withColumn("system", F.last(F.when(F.col("role") == "system", F.struct("i", "framed")), ignorenulls=True).over(before))
+    rows = rows.withColumn("system", F.last(F.when(F.col("role") == "system", F.struct("i", "framed")), ignorenulls=True).over(prior)).where(~F.col("lead"))
     piece = F.struct("i", "role", "framed", F.char_length("body").alias("len"))
-    found = rows.groupBy("conv_id", "w").agg(
+    found = rows.groupBy("conv_id", "block", "w").agg(
         F.sort_array(F.collect_list(piece)).alias("new"),
         F.min_by(F.struct("i", "at", "past", "system"), "i").alias("head"),
     )
@@ -88,8 +131,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     spans = F.zip_with("new", F.slice("starts", F.lit(1), F.size("new")), lambda t, s: F.when(t["role"] == "assistant", F.struct((s + 3).cast("long").alias("start"), t["len"].cast("long").alias("len"))))
     return found.select(
         "conv_id",
-        (F.row_number().over(Window.partitionBy("conv_id").orderBy("w")) - 1).cast("long").alias("window"),
-        F.col("head.i").alias("first"),
+        F.col("head.i").alias("window"),
         F.concat("prefix", F.array_join(F.transform("new", lambda t: t["framed"]), "")).alias("formatted"),
         F.size("context").cast("long").alias("n_context"),
         F.filter(spans, lambda s: s.isNotNull()).alias("loss"),
@@ -148,7 +190,7 @@ g AS (SELECT *, pos // 256 * 2 + CASE WHEN pos + cost > (pos // 256 + 1) * 256 +
   lag(chars, 1) OVER o AS c1, lag(chars, 2) OVER o AS c2, lag(chars, 3) OVER o AS c3,
   max(CASE WHEN role = 'system' THEN i END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sys
   FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
-h AS (SELECT *, row_number() OVER (PARTITION BY conv_id, w ORDER BY i) AS r,
+h AS (SELECT *, turn // 512 AS blk, row_number() OVER (PARTITION BY conv_id, turn // 512, w ORDER BY i) AS r,
   coalesce(CAST(pos - p1 <= 128 AS INTEGER), 0) + coalesce(CAST(pos - p2 <= 128 AS INTEGER), 0) + coalesce(CAST(pos - p3 <= 128 AS INTEGER), 0) AS n_near FROM g),
 ctx AS (SELECT h.conv_id, h.w,
   CASE WHEN n_near >= 1 THEN c1 ELSE 0 END + CASE WHEN n_near >= 2 THEN c2 ELSE 0 END + CASE WHEN n_near >= 3 THEN c3 ELSE 0 END
