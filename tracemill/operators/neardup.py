@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Word pairs that may be broadcast, and short items that are looked for in one pass.
+KEYS, NEEDLES = 200_000, 500
+
 
 def cross_split_pairs(df: DataFrame, key: str, split: str, tokens: str, percent: int) -> DataFrame:
     """(left_id, right_id, jaccard) of rows in different splits whose token sets have a Jaccard index of ``percent``/100 or more.
@@ -13,13 +16,16 @@ def cross_split_pairs(df: DataFrame, key: str, split: str, tokens: str, percent:
     that similar share one of their first n - ceil(t n) + 1 tokens, and their sizes are within the ratio.
     """
     rows = df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(tokens).alias("s")).where("size(s) > 0").withColumn("node", F.sha2(F.array_join("s", " "), 256))
-    nodes = rows.groupBy("node").agg(F.first("s").alias("s"))
+    nodes = rows.groupBy("node").agg(F.first("s").alias("s")).persist()
     each = nodes.select("node", F.size("s").alias("n"), F.explode("s").alias("t"))
     rank = each.groupBy("t").agg(F.count("*").alias("df"))
     order = Window.partitionBy("node").orderBy("df", "t")
-    prefix = each.join(rank, "t").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("node", "n", "t")
+    prefix = each.join(rank, "t").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("node", "n", "t", "r").persist()
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.node") < F.col("b.node")) & (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+    # The first token that two sets share leaves room for the overlap that they need: what stands from it on in the shorter rest.
+    room = F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + 1
+    near = near & (room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
     pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & near).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
     full = pairs.join(nodes.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(nodes.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
     both, every = F.size(F.array_intersect("sx", "sy")), F.size(F.array_union("sx", "sy"))
@@ -39,18 +45,24 @@ def comparisons(df: DataFrame, split: str) -> DataFrame:
 def contained(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     """(doc_id, item_id) where a document's text holds an item's whole text of ``least`` or more code points.
 
-    Both sides meet on the item's first white-space separated words that are whole in any text that contains the
-    item (its second and third), then containment is verified. Items of fewer than four words meet on length one.
+    Both sides meet on two of the item's words, in a row, that are whole in any text that contains it (its second and third), then
+    containment is verified. Items of fewer than four words have no such pair; they are looked for ``NEEDLES`` at a time, in one pass
+    over the texts for each such block.
     """
     word = lambda c: F.split(c, r"\s+")
     i = items.where(F.char_length("text") >= least).select("item_id", F.col("text").alias("needle"), word(F.col("text")).alias("w"))
-    i = i.withColumn("h", F.when(F.size("w") >= 4, F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)))))
+    i = i.withColumn("h", F.when(F.size("w") >= 4, F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2))))).persist()
+    keys = i.where("h is not null").select("h").distinct()
+    if keys.limit(KEYS + 1).count() <= KEYS:
+        keys = F.broadcast(keys)
     d = docs.select("doc_id", "text", word(F.col("text")).alias("w"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda k: F.xxhash64(F.get("w", k), F.get("w", k + 1))))
-    hits = d.select("doc_id", F.explode_outer(grams).alias("h")).join(i.where("h is not null").select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
-    long = hits.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("needle")), "item_id").where(F.contains("text", "needle")).select("doc_id", "item_id")
-    # The few short items, if any, are tested one by one.
-    short = i.where("h is null").select("item_id", "needle").collect()
-    for row in short:
-        long = long.union(docs.where(F.contains("text", F.lit(row["needle"]))).select("doc_id", F.lit(row["item_id"]).alias("item_id")))
-    return long
+    met = d.select("doc_id", F.explode_outer(grams).alias("h")).join(keys, "h")
+    hits = met.join(i.where("h is not null").select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
+    found = hits.join(docs.select("doc_id", "text"), "doc_id").join(i.select("item_id", "needle"), "item_id").where(F.contains("text", "needle")).select("doc_id", "item_id")
+    short = [(r["item_id"], r["needle"]) for r in i.where("h is null").select("item_id", "needle").toLocalIterator()]
+    for at in range(0, len(short), NEEDLES):
+        needles = F.array(*[F.struct(F.lit(k).alias("item_id"), F.lit(v).alias("needle")) for k, v in short[at : at + NEEDLES]])
+        held = F.filter(needles, lambda x: F.contains("text", x["needle"]))
+        found = found.union(docs.select("doc_id", F.explode(held).alias("x")).select("doc_id", "x.item_id"))
+    return found

@@ -1,11 +1,13 @@
 """Profiling aggregates: exact order statistics, duplicates, rates and overlaps.
 
-Order statistics come from a histogram (one row per distinct value and key) and its running count, so that no
-task ever holds a key's values, however many rows it has.
+Order statistics come from a histogram (one row per distinct value and key) and its running count. That is summed inside bins
+of 1,024 values and from bin to bin, so no task holds a key's rows, and only sparse values let one hold its distinct values.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,13 @@ RULES = {
 def distribution(df: DataFrame, value: str, keys: list[str], fractions: dict[str, float], rule: str, digits: int = 2) -> DataFrame:
     """Per key: n, min, the named fractions, max and the rounded mean of a whole-number column; nulls are left out."""
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    hist = hist.withColumn("__b", F.shiftright(F.col("__v").cast("long"), 10))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    cum = hist.withColumns({"__upto": F.sum("__c").over(w.orderBy("__v")), "__n": F.sum("__c").over(w)})
+    bins = hist.groupBy(*keys, "__b").agg(F.sum("__c").alias("__s"))
+    bins = bins.withColumns({"__at": F.sum("__s").over(w.orderBy("__b")) - F.col("__s"), "__n": F.sum("__s").over(w)}).drop("__s").withColumnsRenamed({k: f"__{k}" for k in [*keys, "__b"]})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "__b"]])
+    inside = Window.partitionBy(*keys, "__b").orderBy("__v")
+    cum = hist.join(bins, same).withColumn("__upto", F.col("__at") + F.sum("__c").over(inside))
     at = {name: F.min(F.when(F.col("__upto") > RULES[rule](F.col("__n"), p), F.col("__v"))).alias(name) for name, p in fractions.items()}
     mean = F.round(F.sum(F.col("__v") * F.col("__c")) / F.sum("__c"), digits).alias("mean")
     return cum.groupBy(*keys).agg(F.sum("__c").cast("long").alias("n"), F.min("__v").alias("min_v"), *at.values(), F.max("__v").alias("max_v"), mean)
