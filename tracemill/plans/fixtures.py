@@ -11,7 +11,7 @@ from tracemill import schemas as S
 from tracemill.functions import hashing, text
 from tracemill.operators import classify, records, render, tagged, token_state
 from tracemill.plans.registry import query, table
-from tracemill.plans.traces import bounded_sql
+from tracemill.plans.traces import bounded_sql, template_sql
 
 _TOOL_NAMES = ["read", "Read-File", "read_notes", "ls", "deep_search", "find_all", "apply-patch", "rewrite", "bash", "my_shell", "terminal", "browser", " Execute_Code ", ""]
 
@@ -69,7 +69,7 @@ def cumulative(spark, sf_dir):
     n = F.size("messages")
     return c.select(
         "conv_id", "turn", F.sha2(F.col("conv_id").cast("string"), 256).alias("source_trajectory_sha256"), "assistant_step", F.max("assistant_step").over(Window.partitionBy("conv_id")).alias("assistant_steps"),
-        F.when(F.col("k") % 23 == 0, n).otherwise(n - 1).alias("target_message_index"), n.alias("n_messages"), "messages",
+        F.when(F.col("k") % 23 == 0, n).otherwise(n - 1).alias("target_message_index"), (n + F.when(F.col("k") % 31 == 0, 1).otherwise(0)).alias("n_messages"), "messages",
     )
 
 
@@ -93,19 +93,20 @@ def whole_turn_ledger(spark, sf_dir):
     return d.groupBy(F.coalesce("reason", F.lit("retained")).alias("outcome"), "label").agg(F.count("*").alias("n"))
 
 
-def _first_call_sql() -> str:
+def _first_call_sql(policy: int) -> str:
+    malformed = "k % 23 = 0 OR k % 31 = 0" if policy == 1 else "k % 23 = 0"  # only the first policy looks at the number of messages
     return f"""
 WITH {_TRACE},
-r AS (SELECT *, CASE WHEN len(names) = 0 THEN 'respond_or_finish' ELSE {_action_sql('names[1]')} END AS label, CASE WHEN k % 23 = 0 THEN 'malformed_row' WHEN coalesce(task, '') = '' THEN 'missing_initial_user_task' WHEN coalesce(open_before, false) THEN 'unresolved_prefix_tool_call' END AS reason FROM kinds)
+r AS (SELECT *, CASE WHEN len(names) = 0 THEN 'respond_or_finish' ELSE {_action_sql('names[1]')} END AS label, CASE WHEN {malformed} THEN 'malformed_row' WHEN coalesce(task, '') = '' THEN 'missing_initial_user_task' WHEN coalesce(open_before, false) THEN 'unresolved_prefix_tool_call' END AS reason FROM kinds)
 SELECT coalesce(reason, 'retained') AS outcome, label, count(*) AS n FROM r GROUP BY 1, 2"""
 
 
-@query(_first_call_sql())
+@query(_first_call_sql(1))
 def first_call_v1(spark, sf_dir):
     return classify.first_call(cumulative(spark, sf_dir), 1).groupBy(F.coalesce("reason", F.lit("retained")).alias("outcome"), "label").agg(F.count("*").alias("n"))
 
 
-@query(_first_call_sql())
+@query(_first_call_sql(2))
 def first_call_v2(spark, sf_dir):
     return classify.first_call(cumulative(spark, sf_dir), 2).groupBy(F.coalesce("reason", F.lit("retained")).alias("outcome"), "label").agg(F.count("*").alias("n"))
 
@@ -136,6 +137,45 @@ def tagged_candidates(spark, sf_dir):
     return d.groupBy(F.coalesce("reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+_TAGGED = """
+c AS (SELECT *, conv_id * 5 + turn AS k, [{tools}][conv_id % 6 + 1] AS name FROM conversations WHERE role <> 'system'),
+o AS (SELECT conv_id, turn, role, name, k, lag(role) OVER w AS r1, lag(role, 2) OVER w AS r2, lag(k) OVER w AS k1, row_number() OVER w - 1 AS i, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS task FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, CAST(CAST(concat('0x', substr(sha256(concat('{seed}', chr(10), {task})), 1, 16)) AS UBIGINT) % 10000 AS INTEGER) AS b FROM o)""".format(tools=", ".join(f"'{t}'" for t in S.TOOLSET), seed=S.SPLIT_SEED_4WAY, task=template_sql("task"))
+
+
+@query(f"""
+WITH {_TAGGED}, k AS (SELECT *, concat('<tool_call>{{"name": "', name, '"}}</tool_call>') AS call, concat('<tool_response>{{"name": "', CASE WHEN k1 % 13 = 0 THEN 'other' ELSE name END, '"}}</tool_response>') AS answer FROM b WHERE b < 8000 AND role = 'assistant' AND r1 <> 'assistant' AND r2 = 'assistant')
+SELECT CAST(conv_id AS VARCHAR) AS id, CAST(i AS INTEGER) AS i, CASE WHEN b < 7000 THEN 'train' ELSE 'development' END AS split, sha256(concat('Task:', chr(10), task, chr(10), 'Available tools: {", ".join(S.TOOLSET)}', chr(10), 'Previous assistant call:', chr(10), call, chr(10), 'Latest tool response:', chr(10), answer)) AS digest FROM k
+""")
+def tagged_states(spark, sf_dir):
+    """State texts of the candidates of two splits; the others are dropped before their values are parsed."""
+    d = tagged.candidates(tagged_rows(spark, sf_dir), need_both=False, splits=["train", "development"])
+    return d.select("id", "i", "split", F.sha2("state", 256).alias("digest"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 1")
+def exact_toolset(spark, sf_dir):
+    """Rows whose tool definitions, in either of two shapes and any order, name exactly the six tools; some lack one or have one more."""
+    plain = [json.dumps([{"name": t} for t in S.TOOLSET]), json.dumps([{"function": {"name": t}} for t in reversed(S.TOOLSET)])]
+    wrong = json.dumps([{"name": t} for t in [*S.TOOLSET, "other"]])
+    missing = json.dumps([{"name": t} for t in S.TOOLSET[1:]])
+    by = F.col("doc_id")
+    tools = F.when(by % 4 == 1, wrong).when(by % 3 != 0, missing).when(by % 2 == 0, plain[0]).otherwise(plain[1])
+    return tagged.exact_toolset(table(spark, sf_dir, "documents").select("doc_id", tools.alias("tools"))).select("doc_id")
+
+
+_ODD_NAMES = ["Bash", "run_command", "read_file", "Glob", "web_fetch", "browser", "mystery", ""]
+_ARGUMENTS = ["", "  ", "{}", "[]", "null", "None", "{ }", "x"]
+
+
+@query(f"SELECT name, argument, CASE WHEN regexp_matches(name, '(?i)bash|shell|terminal|exec|command') THEN 'shell' WHEN regexp_matches(name, '(?i)read|write|edit|file|glob|grep|search') THEN 'file' WHEN regexp_matches(name, '(?i)web|browser|fetch|http') THEN 'web' ELSE 'other' END AS family, argument IS NULL OR trim(argument, ' ') IN ('', '{{}}', '[]', 'null', 'None') AS empty FROM (SELECT unnest({_ODD_NAMES}) AS name) CROSS JOIN (SELECT unnest({_ARGUMENTS} || [NULL]) AS argument) UNION ALL SELECT DISTINCT event_type, '{{}}', 'other', true FROM events")
+def call_shapes(spark, sf_dir):
+    """Families of tool names, and whether arguments are empty."""
+    rows = spark.createDataFrame([(n, a) for n in _ODD_NAMES for a in [*_ARGUMENTS, None]], "name string, argument string")
+    rows = rows.union(table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", F.lit("{}")))
+    return rows.select("name", "argument", text.tool_family(F.col("name")).alias("family"), text.empty_argument(F.col("argument")).alias("empty"))
+
+
 _RECORDS = {
     "good": {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}, "gold": {"q": {"type": "choice", "label": "a", "probabilities": {"a": 0.25, "b": 0.75}}}},
     "order": {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}, "gold": {"q": {"type": "choice", "label": "a", "probabilities": {"b": 0.75, "a": 0.25}}}},

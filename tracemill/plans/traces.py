@@ -81,8 +81,13 @@ def first_user_group_split(spark, sf_dir):
     return g.withColumn("id", hashing.stable_id("t2d-", F.col("conv_id").cast("string"), F.lit("1"), F.col("task_group")))
 
 
+def template_sql(c: str) -> str:
+    """The normalised template of a task column."""
+    return rf"""regexp_replace(regexp_replace({_NORMAL.replace("text", c)}, '\b\d+(?:\.\d+)*\b', '<num>', 'g'), '`[^`]+`|''[^'']+''|"[^"]+"', '<quoted>', 'g')"""
+
+
 @query(f"""
-WITH g AS (SELECT doc_id, regexp_replace(regexp_replace({_NORMAL}, '\\b\\d+(?:\\.\\d+)*\\b', '<num>', 'g'), '`[^`]+`|''[^'']+''|"[^"]+"', '<quoted>', 'g') AS g FROM documents),
+WITH g AS (SELECT doc_id, {template_sql("text")} AS g FROM documents),
 s AS (SELECT doc_id, {_bucket(S.SPLIT_SEED_4WAY, "g")} AS b FROM g)
 SELECT CASE WHEN b < 7000 THEN 'train' WHEN b < 8000 THEN 'development' WHEN b < 9000 THEN 'calibration' ELSE 'test' END AS split, count(*) AS n, CAST(sum(b) AS BIGINT) AS bucket_sum FROM s GROUP BY 1
 """)
