@@ -52,6 +52,12 @@ def rate_by(df: DataFrame, over: Column, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count_if(over).alias("over")).withColumn("rate", F.round(F.try_divide("over", "candidates"), 6))
 
 
+def required_rate(df: DataFrame, over: Column) -> DataFrame:
+    """One row: rows, rows over, and their rate to six digits; fails when read if there are no rows."""
+    counted = df.agg(F.count("*").alias("candidates"), F.count_if(over).alias("over"))
+    return counted.withColumn("rate", F.when(F.col("candidates") == 0, F.raise_error(F.lit("no rows to take a rate of")).cast("double")).otherwise(F.round(F.try_divide("over", "candidates"), 6)))
+
+
 def label_gap(df: DataFrame, labels: str, over: Column, options: DataFrame) -> DataFrame:
     """Per option: the rate of ``over`` among rows whose label set has it and among the others.
 

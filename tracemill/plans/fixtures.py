@@ -185,9 +185,23 @@ _RECORDS = {
 }
 
 
-@query()
+@query("""
+SELECT doc_id, array_to_string(CASE WHEN doc_id % 11 = 0 THEN ['q:instructions'] ELSE list_filter([CASE WHEN doc_id % 5 = 0 THEN 'q:probability_keys' WHEN doc_id % 7 = 0 THEN 'q:probability_sum' END, CASE WHEN doc_id % 13 = 0 THEN 'q:label' END], lambda x: x IS NOT NULL) END, ',') AS reasons FROM documents
+""")
 def record_validation(spark, sf_dir):
-    """Records and the rules that they break; untyped JSON with ordered keys, so rows only."""
+    """A record for each document and the rules that it breaks; key order matters, so they are texts."""
+    by = lambda m, yes, no: F.when(F.col("doc_id") % m == 0, yes).otherwise(no)
+    question = F.concat(F.lit('{"q": {"type": "choice", "instructions": "'), by(11, " ", "i"), F.lit('", "criteria": {"a": "x", "b": "y"}}}'))
+    shares = by(5, '{"b": 0.75, "a": 0.25}', by(7, '{"a": 0.25, "b": 0.65}', F.lit('{"a": 0.25, "b": 0.75}')))
+    gold = F.concat(F.lit('{"q": {"type": "choice", "label": '), by(13, '"z"', "null"), F.lit(', "probabilities": '), shares, F.lit("}}"))
+    record = F.concat(F.lit('{"state": '), F.to_json(F.array("source")), F.lit(', "questions": '), question, F.lit(', "gold": '), gold, F.lit("}"))
+    d = table(spark, sf_dir, "documents").select("doc_id", record.alias("record"))
+    return d.select("doc_id", F.array_join(records.record_reasons("record"), ",").alias("reasons"))
+
+
+@query("SELECT name, reasons FROM (VALUES ('good', ''), ('order', 'q:probability_keys'), ('sum', 'q:probability_sum'), ('one level', 'q:criteria'), ('no state', 'state,q:instructions')) t(name, reasons)")
+def record_cases(spark, sf_dir):
+    """Records of each kind and the rules that they break."""
     rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in _RECORDS.items()], "name string, record string")
     return rows.select("name", F.array_join(records.record_reasons("record"), ",").alias("reasons"))
 

@@ -14,9 +14,9 @@ def _places(rule: str, p: float) -> str:
     return {"round": f"round_even((n - 1) * {p}, 0)", "floor": f"floor((n - 1) * {p})", "median_low": f"floor((n - 1) * {p})", "ceil": f"ceil(n * {p}) - 1"}[rule]
 
 
-def _distribution_sql(source: str, value: str, key: str, rule: str, fractions: dict[str, float]) -> str:
+def _distribution_sql(source: str, value: str, key: str, rule: str, fractions: dict[str, float], digits: int = 2) -> str:
     at = ", ".join(f"s[CAST({_places(rule, p)} AS BIGINT) + 1] AS {k}" for k, p in fractions.items())
-    return f"WITH l AS (SELECT {key}, list_sort(list({value})) AS s, count({value}) AS n, round(avg({value}), 2) AS mean FROM {source} GROUP BY 1) SELECT {key}, n, s[1] AS min_v, {at}, s[-1] AS max_v, mean FROM l"
+    return f"WITH l AS (SELECT {key}, list_sort(list({value})) AS s, count({value}) AS n, round(avg({value}), {digits}) AS mean FROM {source} GROUP BY 1) SELECT {key}, n, s[1] AS min_v, {at}, s[-1] AS max_v, mean FROM l"
 
 
 @query(_distribution_sql("documents", "n_chars", "source", "round", {"p50": 0.5, "p95": 0.95}))
@@ -29,6 +29,12 @@ def quantiles_round(spark, sf_dir):
     return profile.distribution(table(spark, sf_dir, "documents"), "n_chars", ["lang"], {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "round")
 
 
+@query(_distribution_sql("documents", "n_chars", "lang", "round", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, 3).replace("documents", "(SELECT * FROM documents WHERE source IS NOT NULL)"))
+def quantiles_fine(spark, sf_dir):
+    """As ``quantiles_round``, of rows with a source, with the mean to three digits."""
+    return profile.distribution(table(spark, sf_dir, "documents").where("source is not null"), "n_chars", ["lang"], {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "round", digits=3)
+
+
 @query(_distribution_sql("documents", "n_chars", "lang", "floor", {"p50": 0.5, "p95": 0.95}))
 def nearest_rank_floor(spark, sf_dir):
     return profile.distribution(table(spark, sf_dir, "documents"), "n_chars", ["lang"], {"p50": 0.5, "p95": 0.95}, "floor")
@@ -65,6 +71,12 @@ def over_budget_by_key(spark, sf_dir):
     return profile.rate_by(table(spark, sf_dir, "documents"), F.col("n_chars") > 1024, "source", "lang")
 
 
+@query("SELECT count(*) AS candidates, count(*) FILTER (n_chars > 1024) AS over, round(count(*) FILTER (n_chars > 1024) / count(*), 6) AS rate FROM documents")
+def required_rate(spark, sf_dir):
+    """The rate over all rows; without any, the job fails rather than giving one."""
+    return profile.required_rate(table(spark, sf_dir, "documents"), F.col("n_chars") > 1024)
+
+
 _OPTIONS = ["the", "of", "der", "que", "les", "xyzzy"]
 
 

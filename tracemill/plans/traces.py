@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill import schemas as S
 from tracemill.functions import hashing, text
-from tracemill.operators import profile, sequence
+from tracemill.operators import contracts, profile, sequence
 from tracemill.plans.registry import query, table
 
 _NORMAL = r"trim(regexp_replace(lower(text), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+', ' ', 'g'))"
@@ -311,6 +311,23 @@ def keep_latest(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"), F.max_by(F.char_length("text"), "turn").alias("n"))
 
 
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 2 DESC, turn) AS r FROM conversations) SELECT conv_id, turn, role FROM r WHERE r = 1")
+def keep_latest_first_of_ties(spark, sf_dir):
+    """The row of the highest step; of equal steps (two turns make one) the first."""
+    best = F.max_by(F.struct("turn", "role"), F.struct(F.expr("turn div 2"), -F.col("turn")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(best.alias("b")).select("conv_id", "b.turn", "b.role")
+
+
+@query("WITH w AS (SELECT conv_id, turn, role, first_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS task, lag(text, 2) OVER o AS call, lag(text) OVER o AS response FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, sha256(concat(coalesce(task, ''), chr(10), call, chr(10), response)) AS digest FROM w WHERE role = 'assistant' AND call IS NOT NULL AND response IS NOT NULL")
+def allowed_input(spark, sf_dir):
+    """What a model may see of a target: the task and the two values before it, and nothing else."""
+    o = Window.partitionBy("conv_id").orderBy("turn")
+    task = F.first(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1))
+    w = table(spark, sf_dir, "conversations").withColumns({"task": F.coalesce(task, F.lit("")), "call": F.lag("text", 2).over(o), "response": F.lag("text").over(o)})
+    seen = contracts.only(w.where("role = 'assistant' and call is not null and response is not null").select("conv_id", "turn", "task", "call", "response"), ["conv_id", "turn", "task", "call", "response"])
+    return seen.select("conv_id", "turn", F.sha2(F.concat_ws("\n", "task", "call", "response"), 256).alias("digest"))
+
+
 @query("""
 WITH r AS (SELECT conv_id, turn, role, lag(role) OVER w AS r1, lag(role, 2) OVER w AS r2, lag(length(text)) OVER w AS n1 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn FROM r WHERE role = 'assistant' AND r1 = 'user' AND r2 = 'assistant' AND n1 >= 40
