@@ -11,7 +11,7 @@ from tracemill import schemas as S
 from tracemill.functions import hashing, text
 from tracemill.operators import classify, records, render, tagged, token_state
 from tracemill.plans.registry import query, table
-from tracemill.plans.traces import bounded_sql, template_sql
+from tracemill.plans.traces import bounded_sql, bucket_sql, normal_sql, template_sql
 
 _TOOL_NAMES = ["read", "Read-File", "read_notes", "ls", "deep_search", "find_all", "apply-patch", "rewrite", "bash", "my_shell", "terminal", "browser", " Execute_Code ", ""]
 
@@ -111,9 +111,18 @@ def first_call_v2(spark, sf_dir):
     return classify.first_call(cumulative(spark, sf_dir), 2).groupBy(F.coalesce("reason", F.lit("retained")).alias("outcome"), "label").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+WITH {_TRACE},
+r AS (SELECT *, CASE WHEN k % 23 = 0 THEN 'invalid_cumulative_target_boundary' WHEN len(names) = 0 THEN 'no_call_without_positive_completion' WHEN len(cats) <> 1 THEN 'mixed_target_categories'
+  WHEN coalesce(task, '') = '' THEN 'missing_initial_user_task' WHEN coalesce(open_before, false) THEN 'unresolved_prefix_tool_call' END AS reason FROM kinds),
+z AS (SELECT *, {bucket_sql(S.SPLIT_SEED_3WAY, "sha256(" + normal_sql("task") + ")")} AS b FROM r),
+l AS (SELECT conv_id, string_agg(concat('"', label, '":', n), ',' ORDER BY label) AS j FROM (SELECT conv_id, cats[1] AS label, count(*) AS n FROM r WHERE reason IS NULL GROUP BY ALL) GROUP BY 1),
+rs AS (SELECT conv_id, string_agg(concat('"', reason, '":', n), ',' ORDER BY reason) AS j FROM (SELECT conv_id, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY 1)
+SELECT sha256(CAST(z.conv_id AS VARCHAR)) AS source_trajectory_sha256, count(*) FILTER (reason IS NULL) AS retained, count(*) FILTER (reason IS NOT NULL) AS excluded, concat('{{', coalesce(any_value(l.j), ''), '}}') AS by_label, concat('{{', coalesce(any_value(rs.j), ''), '}}') AS by_reason,
+  arg_min(CASE WHEN coalesce(task, '') = '' THEN 'unknown' WHEN b < 8000 THEN 'train' WHEN b < 9000 THEN 'dev' ELSE 'test' END, turn) AS split FROM z LEFT JOIN l USING (conv_id) LEFT JOIN rs USING (conv_id) GROUP BY z.conv_id
+""")
 def trajectory_audit(spark, sf_dir):
-    """Per trajectory: kept and excluded rows with their counts by label and reason (maps, so rows only)."""
+    """Per trajectory: kept and excluded rows with their counts by label and reason."""
     a = classify.trajectory_audit(classify.whole_turn(cumulative(spark, sf_dir)))
     return a.withColumns({"by_label": F.to_json("by_label"), "by_reason": F.to_json("by_reason")})
 
@@ -206,10 +215,11 @@ def record_cases(spark, sf_dir):
     return rows.select("name", F.array_join(records.record_reasons("record"), ",").alias("reasons"))
 
 
-@query()
+@query("""SELECT event_id, sha256(concat('{"k":', json_extract_string(props, '$.k'), ',"t":"', event_type, '","\\u00e9":[1.5,null]}')) AS digest FROM events""")
 def canonical_digests(spark, sf_dir):
-    """The digest of each event's properties as canonical JSON; exact number texts need Python's writer, so rows only."""
-    return table(spark, sf_dir, "events").select("event_id", hashing.canonical_digest("props").alias("digest"))
+    """The digest of each event's properties, with its type and a key that isn't ASCII, as canonical JSON."""
+    text_of = F.concat(F.lit('{"t": "'), "event_type", F.lit('", "\u00e9" : [1.5, null], "k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", text_of.alias("j")).select("event_id", hashing.canonical_digest("j").alias("digest"))
 
 
 def _rendered_sql(policy: int) -> str:

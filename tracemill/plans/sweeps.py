@@ -85,6 +85,6 @@ def dataset_checks(spark, sf_dir):
     return gates.checks(found)
 
 
-@query(f"SELECT doc_id, concat('t2d-i3-', substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(10), source)), 1, 32)) AS id, {traces._bucket(S.SPLIT_SEED_3WAY, 'sha256(text)')} AS bucket FROM documents")
+@query(f"SELECT doc_id, concat('t2d-i3-', substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(10), source)), 1, 32)) AS id, {traces.bucket_sql(S.SPLIT_SEED_3WAY, 'sha256(text)')} AS bucket FROM documents")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hashing.stable_id("t2d-i3-", F.col("doc_id").cast("string"), F.col("source")).alias("id"), hashing.bucket(S.SPLIT_SEED_3WAY, F.sha2("text", 256)).alias("bucket"))

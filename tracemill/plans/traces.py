@@ -15,13 +15,18 @@ _FIRST_USER = "SELECT conv_id, min_by(text, turn) AS task FROM conversations WHE
 _SPLIT = "CASE WHEN b < 8000 THEN 'train' WHEN b < 9000 THEN 'dev' ELSE 'test' END"
 
 
-def _bucket(seed: str, key: str) -> str:
+def normal_sql(c: str) -> str:
+    """The normalised text of a column."""
+    return _NORMAL.replace("text", c)
+
+
+def bucket_sql(seed: str, key: str) -> str:
     return f"CAST(CAST(concat('0x', substr(sha256(concat('{seed}', chr(10), {key})), 1, 16)) AS UBIGINT) % 10000 AS INTEGER)"
 
 
 _GROUPS = f"""
-t AS ({_FIRST_USER}), g AS (SELECT conv_id, sha256({_NORMAL.replace("text", "task")}) AS task_group FROM t),
-s AS (SELECT conv_id, task_group, {_bucket(S.SPLIT_SEED_3WAY, "task_group")} AS b FROM g)"""
+t AS ({_FIRST_USER}), g AS (SELECT conv_id, sha256({normal_sql("task")}) AS task_group FROM t),
+s AS (SELECT conv_id, task_group, {bucket_sql(S.SPLIT_SEED_3WAY, "task_group")} AS b FROM g)"""
 
 
 def first_user(conversations):
@@ -83,12 +88,12 @@ def first_user_group_split(spark, sf_dir):
 
 def template_sql(c: str) -> str:
     """The normalised template of a task column."""
-    return rf"""regexp_replace(regexp_replace({_NORMAL.replace("text", c)}, '\b\d+(?:\.\d+)*\b', '<num>', 'g'), '`[^`]+`|''[^'']+''|"[^"]+"', '<quoted>', 'g')"""
+    return rf"""regexp_replace(regexp_replace({normal_sql(c)}, '\b\d+(?:\.\d+)*\b', '<num>', 'g'), '`[^`]+`|''[^'']+''|"[^"]+"', '<quoted>', 'g')"""
 
 
 @query(f"""
 WITH g AS (SELECT doc_id, {template_sql("text")} AS g FROM documents),
-s AS (SELECT doc_id, {_bucket(S.SPLIT_SEED_4WAY, "g")} AS b FROM g)
+s AS (SELECT doc_id, {bucket_sql(S.SPLIT_SEED_4WAY, "g")} AS b FROM g)
 SELECT CASE WHEN b < 7000 THEN 'train' WHEN b < 8000 THEN 'development' WHEN b < 9000 THEN 'calibration' ELSE 'test' END AS split, count(*) AS n, CAST(sum(b) AS BIGINT) AS bucket_sum FROM s GROUP BY 1
 """)
 def group_split_4way(spark, sf_dir):
@@ -98,7 +103,7 @@ def group_split_4way(spark, sf_dir):
 
 
 @query(f"""
-WITH {_GROUPS}, k AS (SELECT task_group, {_SPLIT.replace("b <", "b2 <")} AS split FROM (SELECT task_group, {_bucket("rows", "CAST(conv_id AS VARCHAR)")} AS b2 FROM s)),
+WITH {_GROUPS}, k AS (SELECT task_group, {_SPLIT.replace("b <", "b2 <")} AS split FROM (SELECT task_group, {bucket_sql("rows", "CAST(conv_id AS VARCHAR)")} AS b2 FROM s)),
 c AS (SELECT task_group, count(*) AS n, count(DISTINCT split) AS splits FROM k GROUP BY 1)
 SELECT count(*) AS groups, count(*) FILTER (splits > 1) AS crossing, CAST(max(n) AS BIGINT) AS largest FROM c
 """)
