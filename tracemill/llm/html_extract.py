@@ -341,7 +341,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size("blocks") - 1), numbers), lambda i: F.col("blocks")[i])
     text = F.array_join(F.when(F.size("hit") == 0, F.col("blocks")).otherwise(rest), "\n")
     names = [c for c in pages.columns if c not in (html, out)]
-    return joined.select(*[F.col("row")[c].alias(c) for c in names], text.alias(out))
+    # In two steps, since a column of the input may have the name of one used here.
+    return joined.select("row", text.alias("main")).select(*[F.col("row")[c].alias(c) for c in names], F.col("main").alias(out))
 
 
 def op4_html_extract(spark, sf_dir) -> DataFrame:
