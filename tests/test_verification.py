@@ -53,8 +53,8 @@ def test_linear_models_are_saved_and_scored(spark):
     back = models.read_saved(spark, models.saved(model))
     assert sorted(back.collect()) == sorted(model.collect())
     vectors = spark.createDataFrame([(1, "f", 0.5), (1, "g", 2.0), (2, "other", 1.0)], "id int, feature string, value double")
-    got = {(r["id"], r["label"]): r["p"] for r in models.linear_scores(back, vectors, "id").collect()}
-    assert got[1, "x"] == pytest.approx(1 / (1 + math.exp(-3.5))) and got[2, "x"] == pytest.approx(1 / (1 + math.exp(-0.5))) and len(got) == 4
+    got = {(r["id"], r["label"]): r["p"] for r in models.linear_scores(back, vectors, spark.range(1, 4), "id").collect()}
+    assert got[1, "x"] == pytest.approx(1 / (1 + math.exp(-3.5))) and got[2, "x"] == pytest.approx(1 / (1 + math.exp(-0.5))) and got[3, "y"] == pytest.approx(1 / (1 + math.exp(0.5))) and len(got) == 6
     with pytest.raises(ValueError):
         models.read_saved(spark, json.dumps({"format": "other", "rows": []}))
 

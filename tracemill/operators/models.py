@@ -6,9 +6,11 @@ import json
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def naive_bayes(train: DataFrame, docs: DataFrame, key: str, label: str, features: str, min_df: int = 2) -> DataFrame:
@@ -39,43 +41,56 @@ def naive_bayes(train: DataFrame, docs: DataFrame, key: str, label: str, feature
     return out.select(key, label, (F.col("prior") + F.col("m") * F.col("unseen") + F.col("gain")).alias("score"))
 
 
-def sgd_logistic(vectors: DataFrame, candidates: list[tuple[str, float, int, int]]) -> DataFrame:
+def vocabulary(counts: DataFrame, documents: int, min_df: int, most: int) -> DataFrame:
+    """(feature, idf) of the ``most`` features that stand in most documents, of at least ``min_df``; ties by name. ``counts`` has id, feature, n."""
+    df = counts.groupBy("feature").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).orderBy(F.desc("df"), "feature").limit(most)
+    return df.select("feature", (F.ln(F.lit(1.0 + documents) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def tfidf_vectors(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, feature, value): (1 + ln n) idf of known features over the row's L2 norm; ``known`` is bounded and broadcast."""
+    v = counts.join(F.broadcast(known), "feature").select("id", "feature", ((F.ln("n") + 1) * F.col("idf")).alias("v"))
+    norm = v.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return v.join(norm, "id").select("id", "feature", (F.col("v") / F.col("norm")).alias("value"))
+
+
+def sgd_logistic(vectors: DataFrame, labels: DataFrame, candidates: list[tuple[str, float, int, float, int]]) -> DataFrame:
     """(candidate, label, feature, weight) of multinomial logistic models fitted by stochastic gradient steps.
 
-    ``vectors`` has id, label and features (map of term to weight) and is one training sample of bounded size: the
-    updates are sequential, so each candidate (name, l2, epochs, seed) is one task and the candidates run beside
-    each other. Rows are shuffled anew in each epoch, the step is 0.5 / sqrt(epoch + 1), weights shrink once before each epoch
-    and the bias, kept as feature '', does not.
+    ``vectors`` has id, feature and value, ``labels`` id and label: one training sample of bounded size, since the updates are
+    sequential. Each candidate (name, l2, epochs, rate, seed) is one task and the candidates run beside each other. The order of the
+    rows is shuffled on from epoch to epoch, the step is rate / sqrt(epoch + 1), weights shrink once before each epoch and
+    the bias, kept as feature '', does not.
     """
     spark = vectors.sparkSession
-    plan = spark.createDataFrame(candidates, "candidate string, l2 double, epochs int, seed int")
-    rows = vectors.select("id", "label", F.map_entries("features").alias("fs")).withColumn("candidate", F.explode(F.array(*[F.lit(c[0]) for c in candidates]))).join(F.broadcast(plan), "candidate")
+    plan = spark.createDataFrame(candidates, "candidate string, l2 double, epochs int, rate double, seed int")
+    own = vectors.groupBy("id").agg(F.collect_list(F.struct("feature", "value")).alias("fs"))
+    rows = labels.join(own, "id", "left").withColumn("candidate", F.explode(F.array(*[F.lit(c[0]) for c in candidates]))).join(F.broadcast(plan), "candidate")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        labels = sorted(set(pdf["label"]))
-        data = [(labels.index(y), [(f["key"], f["value"]) for f in fs]) for y, fs in zip(pdf["label"], pdf["fs"], strict=True)]
-        weights: list[dict[str, float]] = [{} for _ in labels]
-        bias = [0.0] * len(labels)
-        l2, rng = float(pdf["l2"].iloc[0]), random.Random(int(pdf["seed"].iloc[0]))
-        for epoch in range(int(pdf["epochs"].iloc[0])):
-            order = list(range(len(data)))
+        how, names = pdf.iloc[0], sorted(set(pdf["label"]))
+        pairs = [sorted((f["feature"], f["value"]) for f in fs) if fs is not None else [] for fs in pdf["fs"]]
+        terms = sorted({f for p in pairs for f, _ in p})
+        place = {f: i for i, f in enumerate(terms)}
+        xs = [(np.array([place[f] for f, _ in p], int), np.array([v for _, v in p], float)) for p in pairs]
+        ys = [names.index(y) for y in pdf["label"]]
+        w, bias = np.zeros((len(names), len(terms))), np.zeros(len(names))
+        order, rng = list(range(len(xs))), random.Random(int(how["seed"]))
+        for epoch in range(int(how["epochs"])):
             rng.shuffle(order)
-            rate = 0.5 / math.sqrt(epoch + 1)
-            for w in weights:
-                for f in w:
-                    w[f] *= max(0.0, 1 - rate * l2)
+            rate = how["rate"] / math.sqrt(epoch + 1)
+            w *= max(0.0, 1 - rate * how["l2"])
             for i in order:
-                y, fs = data[i]
-                z = [b + sum(w.get(k, 0.0) * v for k, v in fs) for b, w in zip(bias, weights, strict=True)]
-                e = [math.exp(x - max(z)) for x in z]
-                for k, (p, w) in enumerate(zip(e, weights, strict=True)):
-                    g = rate * ((k == y) - p / sum(e))
-                    bias[k] += g
-                    for f, v in fs:
-                        w[f] = w.get(f, 0.0) + g * v
-        found = [(labels[k], f, x) for k, w in enumerate(weights) for f, x in [("", bias[k]), *sorted(w.items())]]
-        return pd.DataFrame(found, columns=["label", "feature", "weight"]).assign(candidate=pdf["candidate"].iloc[0])[["candidate", "label", "feature", "weight"]]
+                at, v = xs[i]
+                z = bias + w[:, at] @ v
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                p[ys[i]] -= 1
+                bias -= rate * p
+                w[:, at] -= rate * np.outer(p, v)
+        found = [(how["candidate"], y, f, float(x)) for k, y in enumerate(names) for f, x in [("", bias[k]), *zip(terms, w[k], strict=True)]]
+        return pd.DataFrame(found, columns=["candidate", "label", "feature", "weight"])
 
     return rows.groupBy("candidate").applyInPandas(fit, "candidate string, label string, feature string, weight double")
 
@@ -86,8 +101,8 @@ FORMAT = "tracemill-linear-1"
 
 def saved(model: DataFrame) -> str:
     """A fitted model as one JSON text: its tag and its rows in order. Models are small: a row per class and feature of a bounded sample."""
-    rows = [list(r) for r in model.select("candidate", "label", "feature", "weight").orderBy("candidate", "label", "feature").collect()]
-    return json.dumps({"format": FORMAT, "rows": rows}, sort_keys=True)
+    rows = [list(r) for r in model.orderBy(*model.columns).collect()]
+    return json.dumps({"format": FORMAT, "schema": json.loads(model.schema.json()), "rows": rows}, sort_keys=True)
 
 
 def read_saved(spark, text: str) -> DataFrame:
@@ -95,17 +110,17 @@ def read_saved(spark, text: str) -> DataFrame:
     found = json.loads(text)
     if found.get("format") != FORMAT:
         raise ValueError("not a saved linear model")
-    return spark.createDataFrame([tuple(r) for r in found["rows"]], "candidate string, label string, feature string, weight double")
+    return spark.createDataFrame([tuple(r) for r in found["rows"]], T.StructType.fromJson(found["schema"]))
 
 
-def linear_scores(model: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """(key, candidate, label, p): softmax over a candidate's labels of bias plus weights; ``vectors`` has key, feature, value.
+def linear_scores(model: DataFrame, vectors: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, candidate, label, p) of each key of ``rows``: softmax over a candidate's labels of bias plus weights.
 
-    A row without known features gets the softmax of the biases.
+    ``vectors`` has key, feature, value; a row without known features gets the softmax of the biases.
     """
     bias = model.where("feature = ''").select("candidate", "label", F.col("weight").alias("bias"))
     sums = vectors.join(model.where("feature <> ''"), "feature").groupBy(key, "candidate", "label").agg(F.sum(F.col("weight") * F.col("value")).alias("z"))
-    every = vectors.select(key).distinct().crossJoin(F.broadcast(bias))  # few classes
+    every = rows.select(key).distinct().crossJoin(F.broadcast(bias))  # few classes
     z = every.join(sums, [key, "candidate", "label"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)) + F.col("bias"))
     w = Window.partitionBy(key, "candidate")
     e = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))

@@ -134,16 +134,30 @@ def majority_model(spark, sf_dir):
     return counts.withColumn("p", F.round((F.col("n") + 1) / (total + 2), 6))
 
 
+#: Candidates of the logistic model: name, l2, epochs, rate, seed; and the bounded sample and vocabulary that they are fitted on.
+CANDIDATES = [("c1", 1.0 / 1000, 20, 0.15, 42), ("c2", 1.0 / 100, 20, 0.15, 42)]
+SAMPLE, MIN_DF, FEATURES = 1000, 2, 4000
+
+
+def _word_counts(docs):
+    """(id, feature, n) of single words and pairs of whole texts."""
+    t = docs.select("id", text.word_tokens(F.col("text")).alias("t"))
+    return t.select("id", F.explode_outer(F.concat("t", text.ngrams(F.col("t"), 2))).alias("feature")).where("feature is not null").groupBy("id", "feature").agg(F.count("*").alias("n"))
+
+
+def _fitted(spark, sf_dir):
+    """The models and their vocabulary."""
+    some = table(spark, sf_dir, "labels").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    d = table(spark, sf_dir, "documents").join(F.broadcast(some), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), "text").persist()
+    counts = _word_counts(d).persist()
+    known = models.vocabulary(counts, d.count(), MIN_DF, FEATURES).persist()
+    return models.sgd_logistic(models.tfidf_vectors(counts, known), d.select("id", "label"), CANDIDATES), known
+
+
 @query()
 def sgd_logistic(spark, sf_dir):
     """Two candidate models on one bounded sample of labelled documents; sequential updates, so rows only."""
-    some = table(spark, sf_dir, "labels").orderBy(F.xxhash64("doc_id"), "doc_id").limit(1000)
-    d = table(spark, sf_dir, "documents").join(F.broadcast(some), "doc_id")
-    w = d.select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), F.explode(text.word_tokens(F.col("text"))).alias("t"))
-    c = w.groupBy("id", "label", "t").agg((1 + F.ln(F.count("*"))).alias("v"))
-    n = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
-    v = c.withColumn("v", F.col("v") / n).groupBy("id", "label").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("features"))
-    return models.sgd_logistic(v, [("l2-0", 0.0, 2, 42), ("l2-1", 0.01, 2, 42)])
+    return _fitted(spark, sf_dir)[0]
 
 
 @query("""
@@ -208,12 +222,10 @@ def replay_majority(spark, sf_dir):
 @query()
 def sgd_scores(spark, sf_dir):
     """Class probabilities of documents under the fitted models, which are saved and read again; rows only, as the fit is."""
-    fitted = models.read_saved(spark, models.saved(sgd_logistic(spark, sf_dir)))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(text.word_tokens(F.col("text"))).alias("t")).where("t is not null")
-    c = d.groupBy("doc_id", "t").agg((1 + F.ln(F.count("*"))).alias("v"))
-    norm = c.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    vectors = c.join(norm, "doc_id").select("doc_id", F.col("t").alias("feature"), (F.col("v") / F.col("norm")).alias("value"))
-    return models.linear_scores(fitted, vectors, "doc_id")
+    fitted, known = _fitted(spark, sf_dir)
+    fitted, known = (models.read_saved(spark, models.saved(x)) for x in (fitted, known))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return models.linear_scores(fitted, models.tfidf_vectors(_word_counts(d), known), d, "id").withColumnRenamed("id", "doc_id")
 
 
 @query()
