@@ -83,17 +83,16 @@ def _brought(rows: DataFrame, history: int) -> tuple[DataFrame, DataFrame]:
     long = long.withColumns({"i": F.row_number().over(inside) + F.col("i0"), "at": F.col("at0") + F.sum("cost").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cost")})
     later = F.sum((F.col("role") == "system").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, -1))
     tails = long.withColumns({"k": F.row_number().over(back), "last_system": (F.col("role") == "system") & (F.coalesce(later, F.lit(0)) == 0)}).where((F.col("k") <= history) | F.col("last_system"))
-    tails = tails.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "role", "framed", "i", "at", "last_system")
+    tails = tails.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "role", "text", "i", "at", "last_system")
     wanted = blocks.where("i0 > 0").select("conv_id", "block", "i0", F.posexplode("from").alias("k", "f")).where("f is not null")
     brought = wanted.join(tails, wanted["conv_id"].eqNullSafe(F.col("c")) & wanted["f.block"].eqNullSafe(F.col("b"))).where(F.when(F.col("k") == history, F.col("last_system")).otherwise(F.col("i") > F.col("i0") - history))
-    return blocks.where("i0 > 0").drop("from"), brought.select("conv_id", "block", "role", "framed", "i", "at").distinct()
+    return blocks.where("i0 > 0").drop("from"), brought.select("conv_id", "block", "role", "text", "i", "at").distinct()
 
 
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", cell: int = CELL, spill: int = SPILL, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS, block: int = BLOCK) -> DataFrame:
     """One row per window: conv_id, window (the number of its first new turn, from 1), formatted, n_context (turns repeated) and loss, an array of (start, len) in code points."""
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({"cost": tokens(F.col("text")), "block": F.shiftright("turn", block.bit_length() - 1)})
-    rows = rows.withColumn("body", escape(F.col("text"))).withColumn("framed", framed(F.col("role"), F.col("body")))
     before, brought = _brought(rows, history)
     before = small_side(cut(before.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "i0", "at0")))
     rows = rows.join(before, rows["conv_id"].eqNullSafe(F.col("c")) & rows["block"].eqNullSafe(F.col("b")), "left").drop("c", "b").fillna(0, ["i0", "at0"])
@@ -104,6 +103,8 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     # Brought turns have their numbers; the others count on from what stands before the block.
     rows = rows.withColumns({"n_before": F.coalesce(F.sum(own(1)).over(prior), F.lit(0)), "cost_before": F.coalesce(F.sum(own(F.col("cost"))).over(prior), F.lit(0))})
     rows = rows.withColumns({"i": F.coalesce("i", F.col("i0") + F.col("n_before") + 1).cast("long"), "at": F.coalesce("at", F.col("at0") + F.col("cost_before")).cast("long")}).drop("n_before", "cost_before", "i0", "at0")
+    # Marked here and not before, so that texts are shuffled once and not thrice.
+    rows = rows.withColumn("body", escape(F.col("text"))).withColumn("framed", framed(F.col("role"), F.col("body"))).drop("text")
     order = Window.partitionBy("conv_id", "block").orderBy("i")
     prior = order.rowsBetween(Window.unboundedPreceding, -1)
     part = F.expr(f"at div {cell}")
@@ -166,13 +167,16 @@ def op3_chat_format(spark, sf_dir) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = read_back(windows(turns)).select(
-        "conv_id", "window", F.size("turns").alias("n"), F.char_length("formatted").alias("chars"),
-        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
-        F.array_join("targets", "").alias("target"),
-    )
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("window", c))), lambda x: x[c]), "")
-    whole = back.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), joined("said").alias("said"), joined("target").alias("target"), F.sum("chars").cast("long").alias("formatted_chars"), F.count("*").alias("n_windows"))
+    # What is under the mask is sent along only if it isn't the assistants' texts, as it should be.
+    spoken = lambda turns: F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    target = F.array_join("targets", "")
+    back = read_back(windows(turns)).select("conv_id", "window", F.char_length("formatted").alias("chars"), "turns", F.when(target != spoken(F.col("turns")), target).alias("other"))
+    parts = F.sort_array(F.collect_list(F.struct("window", "turns", "other")))
+    whole = back.groupBy("conv_id").agg(parts.alias("parts"), F.sum("chars").cast("long").alias("formatted_chars"), F.count("*").alias("n_windows"))
+    every = F.flatten(F.transform("parts", lambda x: x["turns"]))
+    said = F.array_join(F.transform(every, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    masked = F.array_join(F.transform("parts", lambda x: F.coalesce(x["other"], spoken(x["turns"]))), "")
+    whole = whole.select("conv_id", F.size(every).cast("long").alias("n_turns"), said.alias("said"), masked.alias("target"), "formatted_chars", "n_windows")
     return whole.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.char_length("target").cast("long").alias("loss_chars"), F.sha2("target", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
 
 
