@@ -9,9 +9,9 @@ sample of texts come last in the order: the sample bears on the work and not on
 One pass over the texts finds each one's set's digest (its node), size, counts in cells, prefix and fingerprint; all that
 follows works on that table, and only the sets of likely pairs are found again, from one text each.
 
-Equal sets are one node. Only components are asked for, so each node is first tried against the one least node of a hash
-that it shares most hashes with, then against the least nodes of its other hashes if their components differ: a large group
-of near copies costs its size, not all pairs. Nodes of one hash that stay apart after that are paired.
+Equal sets are one node. Only components are asked for, so all nodes of a shared hash are first tried against the
+least one and then pairs only across the components found: a large group of near copies costs its size, not all pairs.
+Nodes of one hash that stay apart after that are paired.
 
 Defined cases: null and empty texts have the empty set and are copies of one another; a null doc_id takes part.
 """
@@ -84,7 +84,7 @@ def _prefix(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
 def prints(docs: DataFrame, common: np.ndarray, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, f, node, n, cells, prefix) of every row, in one pass: f is its SimHash."""
     rows = docs.select(F.col(doc).alias("doc_id"), text_key(F.col(text)), F.col(text).alias("t"))
-    schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL("f long, node long, n int, cells binary, prefix array<long>").fields])
+    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("f long, node long, n int, cells binary, prefix array<long>").fields])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +132,15 @@ def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = S
     if bits:
         near = stored(_by_bits(rows))
     each = nodes.select("node", "n", F.posexplode_outer("prefix").alias("at", "h")).where("h is not null")
-    sizes = each.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("h", "least")
+    # Of each hash that several nodes have, the least node, with its size and the hash's place in it as one long.
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    sizes = each.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min_by(place, "node").alias("place")).where("least < most").select("h", "least", "place")
     shared = stored(each.join(small_side(stored(sizes)), "h"))
 
+    def room(n, at, other_n, other_at):
+        """Whether a hash can be the first that two similar sets share: enough must stand behind it in both."""
+        return F.least(n - at, other_n - other_at) * (100 + percent) >= (n + other_n) * percent
+
     def enough(both, n):
         return both * 100 >= (n - both) * percent
 
@@ -154,28 +160,16 @@ def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = S
         both = likely.join(one, "a").join(two, "b").select("a", "b", "n", F.size(F.array_intersect("sa", "sb")).alias("i"))
         return stored(both.where(enough(F.col("i"), F.col("n"))).select("a", "b").distinct())
 
-    def rooted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Roots of nodes that have edges, and ``shared`` with the root of each node."""
-        found = simhash.components(edges).withColumnRenamed("node", "__node")
-        return found, stored(shared.join(found, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"))
-
-    # Each node is tried first against the least node that it shares most hashes with, since most of a group meet in that one;
-    # then against the least nodes of its other hashes, if they are still in other components.
-    met = shared.where("node <> least").groupBy("node", "least").agg(F.count("*").alias("c"))
-    stars = stored(met.groupBy("node").agg(F.max_by("least", F.struct("c", F.bitwise_not("least"))).alias("a")).select("a", F.col("node").alias("b")))
+    fits = room(F.col("n"), F.col("at"), F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)))
+    stars = stored(shared.where("node <> least").where(fits).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     near = verified(stars) if near is None else near.union(verified(stars))
-    found, placed = rooted(near)
-    least = placed.where("node = least").select("h", F.col("root").alias("least_root"))
-    more = stored(placed.join(least, "h").where("root <> least_root").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        near, stars = near.union(verified(more)), stars.union(more)
-        found, placed = rooted(near)
+    found = simhash.components(near).withColumnRenamed("node", "__node")
+    placed = stored(shared.drop("least", "place").join(found, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
     open_ = stored(placed.join(mixed, "h", "left_semi").select("h", "node", "n", "at", "root"))
     a, b = (open_.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "root")]) for x in "ab")
-    # A hash can be the first that two similar sets share only where enough stands behind it in both.
-    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
-    across = a.join(b, "h").where("a_node < b_node and a_root <> b_root").where(room)
+    across_fits = room(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at"))
+    across = a.join(b, "h").where("a_node < b_node and a_root <> b_root").where(across_fits)
     rest = stored(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         found = simhash.components(near.union(verified(rest))).withColumnRenamed("node", "__node")
