@@ -1,4 +1,4 @@
-"""The ten queries on the smallest tables: against their SQL, or against plain Python."""
+"""The queries on the smallest tables: against their SQL, or against plain Python."""
 
 import hashlib
 import math
@@ -36,7 +36,7 @@ def plain(v):
 @pytest.mark.parametrize("name", [n for n in SQL if n.startswith("op")])
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = c.sql(SQL[name]).df(), run(spark, name)
     assert sorted(want.columns) == sorted(got.columns)

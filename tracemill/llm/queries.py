@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import chat_format, decontaminate, html_extract, line_dedup, quality, simhash, source_mix, token_counts, url_filter, winnow
+from tracemill.llm import chat_format, decontaminate, fill_middle, html_extract, line_dedup, lloyd, quality, simhash, source_mix, token_counts, url_filter, winnow
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         source_mix.op8_source_mix,
         decontaminate.op9_decontaminate,
         token_counts.op10_token_counts,
+        fill_middle.op12_fill_middle,
+        lloyd.op13_lloyd,
     ]
     return {f.__name__: f for f in found}
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_source_mix": source_mix.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
+        "op12_fill_middle": fill_middle.OP12_SQL,
+        "op13_lloyd": lloyd.OP13_SQL,
     }
