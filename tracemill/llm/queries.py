@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import chat_format, decontaminate, fill_middle, html_extract, line_dedup, lloyd, quality, simhash, source_mix, token_counts, url_filter, winnow
+from tracemill.llm import chat_format, decontaminate, fill_middle, html_extract, line_dedup, lloyd, quality, simhash, source_mix, token_counts, toxicity, url_filter, winnow
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         source_mix.op8_source_mix,
         decontaminate.op9_decontaminate,
         token_counts.op10_token_counts,
+        toxicity.op11_toxicity,
         fill_middle.op12_fill_middle,
         lloyd.op13_lloyd,
     ]
