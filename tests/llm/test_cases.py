@@ -189,13 +189,43 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     for i in range(len(texts)):
         want.setdefault(root(i), set()).add(i)
     assert 20 < len(want) < len(texts) - 20
-    for common in (5, 10_000):  # the order bears on the work only
+    for common, hot in ((5, 64), (10_000, 64), (10_000, 3)):  # the order bears on the work only
         monkeypatch.setattr(near_copies, "COMMON", common)
         got = {}
-        for r in near_copies.grouped(rows).collect():
+        for r in near_copies.grouped(rows, hot=hot).collect():
             got.setdefault(r["root"], set()).add(r["doc_id"])
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert near_copies.grouped(rows.limit(0)).count() == 0
+    # With fingerprints: what either links.
+    bits = [simhash.fingerprint(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bits[i] ^ bits[j]).bit_count() <= simhash.RADIUS:
+                part[root(i)] = root(j)
+    want, got = {}, {}
+    for i in range(len(texts)):
+        want.setdefault(root(i), set()).add(i)
+    for r in near_copies.grouped(rows, hot=5, bits=True).collect():
+        got.setdefault(r["root"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_copies_of_passages_grow_with_the_texts(spark, monkeypatch):
+    """Texts that a passage fills to 70 to 88 per cent, which link to none: candidates don't grow with the square of the texts."""
+    monkeypatch.setattr(near_copies, "COMMON", 10_000)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passages, made = [[word() for _ in range(60)] for _ in range(3)], []
+    for n in (150, 600):
+        pairs = []
+        texts = [" ".join([word() for _ in range(rng.randrange(9, 20))] + passages[i % 3]) for i in range(n)]
+        keep = near_copies.stored
+        monkeypatch.setattr(near_copies, "stored", lambda df, seen=pairs: (out := keep(df), seen.append(out.count()) if out.columns == ["a", "b"] else 0)[0])
+        got = near_copies.grouped(docs(spark, *[(i, t, "s") for i, t in enumerate(texts)]), hot=8).collect()
+        monkeypatch.setattr(near_copies, "stored", keep)
+        assert len({r["root"] for r in got}) == n
+        made.append(sum(pairs))
+    assert made[1] <= 5 * max(made[0], 20)
 
 
 def test_near_dedup_stage_finds_edited_copies(spark):

@@ -4,14 +4,17 @@ A text's set holds the hashes of its shingles of ``SHINGLE`` lower-cased words (
 link where the index of their sets is ``PERCENT``/100 or more. Whatever order all hashes are put in, two sets that
 similar share one of their first n - ceil(t n) + 1 hashes, and the first that they share leaves room for the overlap
 they need; so only prefixes are joined, and candidates are verified on the whole sets. Hashes that are common in a
-sample of texts come last in the order: the sample bears on the work and not on the result.
+sample of texts come last in the order from the start. Then prefixes are counted over all texts: a hash on more than ``HOT`` of
+them goes behind all others, by its count, in every set that has it, and prefixes are cut and counted again until no hash is hot
+that could still go back. So a passage of many texts, known to the sample or not, is joined only for texts that have little else.
 
 One pass over the texts finds each one's set's digest (its node), size, counts in cells, prefix and fingerprint; all that
 follows works on that table, and only the sets of likely pairs are found again, from one text each.
 
 Equal sets are one node. Only components are asked for, so all nodes of a shared hash are first tried against the
-least one and then pairs only across the components found: a large group of near copies costs its size, not all pairs.
-Nodes of one hash that stay apart after that are paired.
+one in which it stands first and then pairs only across the components found: a large group of near copies costs its size, not all pairs.
+Of two similar sets the smaller has the first shared hash within its first tenth or so (where it has room for a set like
+itself), so nodes of one hash that stay apart are paired only from there: texts that a passage fills to less than that meet none.
 
 Defined cases: null and empty texts have the empty set and are copies of one another; a null doc_id takes part.
 """
@@ -34,6 +37,8 @@ from tracemill.llm.decontaminate import text_key
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: Texts of the sample that orders the hashes, least count there of a common one, and most that are kept.
 SAMPLE, COMMON, COMMON_MOST = 5_000, 5, 50_000
+#: A hash on more prefixes than this goes behind all that are on fewer.
+HOT = 64
 #: Cells in which a set's hashes are counted, and rows that a worker turns into one batch.
 CELLS, ROWS = 512, 1_000
 
@@ -63,22 +68,54 @@ def _counts(s: np.ndarray) -> bytes | None:
     return c.astype(np.uint8).tobytes() if c.max() < 256 else None
 
 
-def _sets(k: int):
+def _sets(k: int, common: np.ndarray):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shingles(t, k) for t in texts], dtype=object)
+            yield pd.Series([_in_order(shingles(t, k), common) for t in texts], dtype=object)
 
     return sets
 
 
+def _in_order(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """An ascending set with the hashes common in the sample last."""
+    if not len(s) or not len(common):
+        return s
+    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+    return np.concatenate([s[~last], s[last]])
+
+
 def _prefix(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    """The hashes of which two similar sets share one: the first few, those common in the sample last."""
-    n = len(s)
-    if n and len(common):
-        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-        s = np.concatenate([s[~last], s[last]])
-    return s[: n - (n * percent + 99) // 100 + 1]
+    """The hashes of which two similar sets share one: the first few."""
+    return _in_order(s, common)[: len(s) - (len(s) * percent + 99) // 100 + 1]
+
+
+def _settled(nodes: DataFrame, sets, percent: int, hot: int) -> DataFrame:
+    """``nodes`` with prefixes in which no hash of more than ``hot`` of them stands before one of fewer.
+
+    ``sets`` finds (node, s) of a table of nodes. A hash gets its count when it is found hot and keeps it, and each set with a new
+    hot hash in its prefix is put in order again, so all prefixes are of one order at the end of every round.
+    """
+    known = None
+    while True:
+        each = nodes.select("node", F.explode("prefix").alias("h"))
+        each = each if known is None else each.join(small_side(known.select("h")), "h", "left_anti")
+        found = stored(each.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot))
+        if not found.limit(1).count():
+            return nodes
+        held = stored(each.join(small_side(found.select("h")), "h", "left_semi").select("node").distinct())
+        whole = stored(sets(held))
+        # What is hot in the rest of these sets would be found in the next rounds.
+        seen = whole.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot)
+        new = found.union(seen if known is None else seen.join(small_side(known.select("h")), "h", "left_anti")).groupBy("h").agg(F.max("c").alias("c"))
+        new = stored(new)
+        more = stored(each.join(small_side(new.select("h")), "h", "left_semi").select("node").distinct().join(held, "node", "left_anti"))
+        known = new if known is None else stored(known.union(new))
+        sorted_ = whole.union(sets(more)).select("node", F.posexplode("s").alias("at", "h")).join(small_side(known), "h", "left")
+        sorted_ = sorted_.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "at", "h"))).alias("s"))
+        long = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
+        fresh = sorted_.select("node", F.slice("s", F.lit(1), long)["h"].alias("again"))
+        nodes = stored(nodes.join(fresh, "node", "left").withColumn("prefix", F.coalesce("again", "prefix")).drop("again"))
 
 
 def prints(docs: DataFrame, common: np.ndarray, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -117,25 +154,36 @@ def _common(docs: DataFrame, text: str, k: int, sample: int) -> np.ndarray:
     """Hashes that many texts of a sample have, ascending."""
     rows, grain = docs.count(), 1 << 20
     some = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(grain)) < int(grain * min(1, sample / max(rows, 1))) + 1).distinct()
-    seen = some.select(F.explode_outer(_sets(k)("t")).alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
+    seen = some.select(F.explode_outer(_sets(k, np.zeros(0, np.int64))("t")).alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
     return np.sort(np.array([r[0] for r in seen.where("h is not null").orderBy(F.col("c").desc(), "h").limit(COMMON_MOST).select("h").collect()], np.int64))
 
 
-def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, sample: int = SAMPLE, bits: bool = False) -> DataFrame:
+def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, sample: int = SAMPLE, bits: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, text_key, root) of every row: root is the same for the texts of one component.
 
     With ``bits``, texts whose fingerprints SimHash links are in one component, too.
     """
-    rows = stored(prints(docs, _common(docs, text, k, sample), doc, text, k, percent))
+    common = _common(docs, text, k, sample)
+    rows = stored(prints(docs, common, doc, text, k, percent))
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix")))
+
+    def sets(some: DataFrame) -> DataFrame:
+        """(node, s): the set of each of ``some`` nodes, from the text of one row."""
+        wanted = some.join(nodes, "node").select("node", F.col("row.doc_id").alias("__doc"), F.col("row.text_key").alias("__key"))
+        texts = docs.select(F.col(doc).alias("i"), F.col(text).alias("t"), text_key(F.col(text)).alias("key"))
+        found = stored(texts.join(small_side(stored(wanted)), F.col("i").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("node", _sets(k, common)("t").alias("s")))
+        if found.count() > found.select("node").distinct().count():  # rows equal in id and text
+            found = stored(found.dropDuplicates(["node"]))
+        return found
+
+    settled = _settled(nodes, sets, percent, hot)
     near = None
     if bits:
         near = stored(_by_bits(rows))
-    each = nodes.select("node", "n", F.posexplode_outer("prefix").alias("at", "h")).where("h is not null")
-    # Of each hash that several nodes have, the least node, with its size and the hash's place in it as one long.
-    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    sizes = each.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min_by(place, "node").alias("place")).where("least < most").select("h", "least", "place")
-    shared = stored(each.join(small_side(stored(sizes)), "h"))
+    each = settled.select("node", "n", F.posexplode_outer("prefix").alias("at", "h")).where("h is not null")
+    # Of each hash that several nodes have, the node in which it stands first.
+    lead = each.groupBy("h").agg(F.min(F.struct("at", "n", "node")).alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    shared = stored(each.join(small_side(stored(lead)), "h"))
 
     def room(n, at, other_n, other_at):
         """Whether a hash can be the first that two similar sets share: enough must stand behind it in both."""
@@ -150,27 +198,27 @@ def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = S
         sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         likely = sized.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), _bound("ca", "cb").alias("most"))
         likely = stored(likely.where(F.col("most").isNull() | enough(F.col("most"), F.col("n"))).select("a", "b", "n"))
-        # The set of each node, from the text of one row.
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes, "node").select("node", F.col("row.doc_id").alias("__doc"), F.col("row.text_key").alias("__key"))
-        texts = docs.select(F.col(doc).alias("i"), F.col(text).alias("t"), text_key(F.col(text)).alias("key"))
-        sets = stored(texts.join(small_side(stored(wanted)), F.col("i").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("node", _sets(k)("t").alias("s")))
-        if sets.count() > sets.select("node").distinct().count():  # rows equal in id and text
-            sets = stored(sets.dropDuplicates(["node"]))
-        one, two = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        found = sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        one, two = (found.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
         both = likely.join(one, "a").join(two, "b").select("a", "b", "n", F.size(F.array_intersect("sa", "sb")).alias("i"))
         return stored(both.where(enough(F.col("i"), F.col("n"))).select("a", "b").distinct())
 
-    fits = room(F.col("n"), F.col("at"), F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)))
-    stars = stored(shared.where("node <> least").where(fits).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    def pair(one, two):
+        return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
+
+    stars = shared.where("node <> lead.node").where(room(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+    stars = stored(stars.select(*pair(F.col("node"), F.col("lead.node"))).distinct())
     near = verified(stars) if near is None else near.union(verified(stars))
     found = simhash.components(near).withColumnRenamed("node", "__node")
-    placed = stored(shared.drop("least", "place").join(found, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"))
+    placed = stored(shared.drop("lead").join(found, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
     open_ = stored(placed.join(mixed, "h", "left_semi").select("h", "node", "n", "at", "root"))
     a, b = (open_.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "root")]) for x in "ab")
-    across_fits = room(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at"))
-    across = a.join(b, "h").where("a_node < b_node and a_root <> b_root").where(across_fits)
-    rest = stored(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    # The smaller of two similar sets has room behind the hash for a set of its own size.
+    a = a.where(room(F.col("a_n"), F.col("a_at"), F.col("a_n"), F.col("a_at")))
+    smaller = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node"))
+    across = a.join(b, "h").where(smaller & (F.col("a_root") != F.col("b_root")) & room(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at")))
+    rest = stored(across.select(*pair(F.col("a_node"), F.col("b_node"))).distinct().join(stars, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         found = simhash.components(near.union(verified(rest))).withColumnRenamed("node", "__node")
     return rows.select("doc_id", "text_key", "node").join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
