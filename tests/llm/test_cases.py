@@ -189,10 +189,10 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     for i in range(len(texts)):
         want.setdefault(root(i), set()).add(i)
     assert 20 < len(want) < len(texts) - 20
-    for common, hot in ((5, 64), (10_000, 64), (10_000, 3)):  # the order bears on the work only
+    for common, hot, most in ((5, 64, 9), (10_000, 5, 10_000), (10_000, 5, 0)):  # the order bears on the work only
         monkeypatch.setattr(near_copies, "COMMON", common)
         got = {}
-        for r in near_copies.grouped(rows, hot=hot).collect():
+        for r in near_copies.grouped(rows, hot=hot, most=most).collect():
             got.setdefault(r["root"], set()).add(r["doc_id"])
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert near_copies.grouped(rows.limit(0)).count() == 0
@@ -205,7 +205,7 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     want, got = {}, {}
     for i in range(len(texts)):
         want.setdefault(root(i), set()).add(i)
-    for r in near_copies.grouped(rows, hot=5, bits=True).collect():
+    for r in near_copies.grouped(rows, bits=True).collect():
         got.setdefault(r["root"], set()).add(r["doc_id"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 

@@ -4,9 +4,9 @@ A text's set holds the hashes of its shingles of ``SHINGLE`` lower-cased words (
 link where the index of their sets is ``PERCENT``/100 or more. Whatever order all hashes are put in, two sets that
 similar share one of their first n - ceil(t n) + 1 hashes, and the first that they share leaves room for the overlap
 they need; so only prefixes are joined, and candidates are verified on the whole sets. Hashes that are common in a
-sample of texts come last in the order from the start. Then prefixes are counted over all texts: a hash on more than ``HOT`` of
-them goes behind all others, by its count, in every set that has it, and prefixes are cut and counted again until no hash is hot
-that could still go back. So a passage of many texts, known to the sample or not, is joined only for texts that have little else.
+sample of texts come last in the order from the start. A hash whose nodes, counted over all, fall apart, more than ``HOT`` of them
+outside its largest component, goes behind all others in every set that has it; prefixes are cut and joined again until
+there is no such hash that could still go back. So a passage of many texts, known to the sample or not, is joined only for texts that have little else.
 
 One pass over the texts finds each one's set's digest (its node), size, counts in cells, prefix and fingerprint; all that
 follows works on that table, and only the sets of likely pairs are found again, from one text each.
@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm import simhash
-from tracemill.llm.common import small_side, stored
+from tracemill.llm.common import at_most, small_side, stored
 from tracemill.llm.decontaminate import text_key
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: Texts of the sample that orders the hashes, least count there of a common one, and most that are kept.
 SAMPLE, COMMON, COMMON_MOST = 5_000, 5, 50_000
-#: A hash on more prefixes than this goes behind all that are on fewer.
-HOT = 64
+#: Nodes of one hash that it may leave outside its largest component, and hashes put back that tasks may hold.
+HOT, KNOWN = 512, 1_000_000
 #: Cells in which a set's hashes are counted, and rows that a worker turns into one batch.
 CELLS, ROWS = 512, 1_000
 
@@ -90,32 +90,37 @@ def _prefix(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     return _in_order(s, common)[: len(s) - (len(s) * percent + 99) // 100 + 1]
 
 
-def _settled(nodes: DataFrame, sets, percent: int, hot: int) -> DataFrame:
-    """``nodes`` with prefixes in which no hash of more than ``hot`` of them stands before one of fewer.
+def _last(k: int, common: np.ndarray, known: np.ndarray, percent: int):
+    """A UDF giving a text's prefix with the hashes ``known`` behind all others, in their own order."""
+    order = np.argsort(known, kind="stable")
+    ascending = known[order]
 
-    ``sets`` finds (node, s) of a table of nodes. A hash gets its count when it is found hot and keeps it, and each set with a new
-    hot hash in its prefix is put in order again, so all prefixes are of one order at the end of every round.
-    """
-    known = None
-    while True:
-        each = nodes.select("node", F.explode("prefix").alias("h"))
-        each = each if known is None else each.join(small_side(known.select("h")), "h", "left_anti")
-        found = stored(each.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot))
-        if not found.limit(1).count():
-            return nodes
-        held = stored(each.join(small_side(found.select("h")), "h", "left_semi").select("node").distinct())
-        whole = stored(sets(held))
-        # What is hot in the rest of these sets would be found in the next rounds.
-        seen = whole.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot)
-        new = found.union(seen if known is None else seen.join(small_side(known.select("h")), "h", "left_anti")).groupBy("h").agg(F.max("c").alias("c"))
-        new = stored(new)
-        more = stored(each.join(small_side(new.select("h")), "h", "left_semi").select("node").distinct().join(held, "node", "left_anti"))
-        known = new if known is None else stored(known.union(new))
-        sorted_ = whole.union(sets(more)).select("node", F.posexplode("s").alias("at", "h")).join(small_side(known), "h", "left")
-        sorted_ = sorted_.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "at", "h"))).alias("s"))
-        long = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
-        fresh = sorted_.select("node", F.slice("s", F.lit(1), long)["h"].alias("again"))
-        nodes = stored(nodes.join(fresh, "node", "left").withColumn("prefix", F.coalesce("again", "prefix")).drop("again"))
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def prefix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                s = _in_order(shingles(t, k), common)
+                at = np.minimum(np.searchsorted(ascending, s), len(ascending) - 1)
+                hot = ascending[at] == s
+                late = s[hot][np.argsort(order[at[hot]], kind="stable")]
+                out.append(np.concatenate([s[~hot], late])[: len(s) - (len(s) * percent + 99) // 100 + 1])
+            yield pd.Series(out, dtype=object)
+
+    return prefix
+
+
+def _put_back(some: DataFrame, texts_of, sets_of, known: DataFrame, k: int, common: np.ndarray, percent: int, most: int) -> DataFrame:
+    """(node, prefix) of ``some`` nodes with the hashes of ``known`` (h, round, c) behind all others: in the texts' tasks, or beyond ``most`` hashes by a join."""
+    last = known.orderBy("round", "c", "h")
+    if at_most(known, most):
+        order = np.array([r[0] for r in last.select("h").collect()], np.int64)
+        return stored(texts_of(some).select("node", _last(k, common, order, percent)("t").alias("prefix")))
+    each = sets_of(some).select("node", F.posexplode("s").alias("at", "h")).join(known, "h", "left")
+    rank = F.struct(F.coalesce("round", F.lit(-1)).alias("round"), F.coalesce("c", F.lit(0)).alias("c"), F.when(F.col("c").isNull(), F.col("at")).otherwise(F.lit(0)).alias("at"), "h")
+    whole = each.groupBy("node").agg(F.sort_array(F.collect_list(rank)).alias("s"))
+    long = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
+    return stored(whole.select("node", F.slice("s", F.lit(1), long)["h"].alias("prefix")))
 
 
 def prints(docs: DataFrame, common: np.ndarray, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -158,7 +163,7 @@ def _common(docs: DataFrame, text: str, k: int, sample: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in seen.where("h is not null").orderBy(F.col("c").desc(), "h").limit(COMMON_MOST).select("h").collect()], np.int64))
 
 
-def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, sample: int = SAMPLE, bits: bool = False, hot: int = HOT) -> DataFrame:
+def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, sample: int = SAMPLE, bits: bool = False, hot: int = HOT, most: int = KNOWN) -> DataFrame:
     """(doc_id, text_key, root) of every row: root is the same for the texts of one component.
 
     With ``bits``, texts whose fingerprints SimHash links are in one component, too.
@@ -167,23 +172,17 @@ def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = S
     rows = stored(prints(docs, common, doc, text, k, percent))
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix")))
 
-    def sets(some: DataFrame) -> DataFrame:
-        """(node, s): the set of each of ``some`` nodes, from the text of one row."""
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(node, t): the text of one row of each of ``some`` nodes."""
         wanted = some.join(nodes, "node").select("node", F.col("row.doc_id").alias("__doc"), F.col("row.text_key").alias("__key"))
+        wanted = stored(wanted)
         texts = docs.select(F.col(doc).alias("i"), F.col(text).alias("t"), text_key(F.col(text)).alias("key"))
-        found = stored(texts.join(small_side(stored(wanted)), F.col("i").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("node", _sets(k, common)("t").alias("s")))
-        if found.count() > found.select("node").distinct().count():  # rows equal in id and text
-            found = stored(found.dropDuplicates(["node"]))
-        return found
-
-    settled = _settled(nodes, sets, percent, hot)
-    near = None
-    if bits:
-        near = stored(_by_bits(rows))
-    each = settled.select("node", "n", F.posexplode_outer("prefix").alias("at", "h")).where("h is not null")
-    # Of each hash that several nodes have, the node in which it stands first.
-    lead = each.groupBy("h").agg(F.min(F.struct("at", "n", "node")).alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = stored(each.join(small_side(stored(lead)), "h"))
+        found = texts.join(small_side(wanted), F.col("i").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("node", "t")
+        # Rows equal in id and text give a node more than once.
+        return found.dropDuplicates(["node"]) if found.select("node").count() > wanted.count() else found
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        return stored(texts_of(some).select("node", _sets(k, common)("t").alias("s")))
 
     def room(n, at, other_n, other_at):
         """Whether a hash can be the first that two similar sets share: enough must stand behind it in both."""
@@ -198,7 +197,7 @@ def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = S
         sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         likely = sized.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), _bound("ca", "cb").alias("most"))
         likely = stored(likely.where(F.col("most").isNull() | enough(F.col("most"), F.col("n"))).select("a", "b", "n"))
-        found = sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        found = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
         one, two = (found.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
         both = likely.join(one, "a").join(two, "b").select("a", "b", "n", F.size(F.array_intersect("sa", "sb")).alias("i"))
         return stored(both.where(enough(F.col("i"), F.col("n"))).select("a", "b").distinct())
@@ -206,22 +205,43 @@ def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = S
     def pair(one, two):
         return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
-    stars = shared.where("node <> lead.node").where(room(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
-    stars = stored(stars.select(*pair(F.col("node"), F.col("lead.node"))).distinct())
-    near = verified(stars) if near is None else near.union(verified(stars))
-    found = simhash.components(near).withColumnRenamed("node", "__node")
-    placed = stored(shared.drop("lead").join(found, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    open_ = stored(placed.join(mixed, "h", "left_semi").select("h", "node", "n", "at", "root"))
+    near = stored(_by_bits(rows)) if bits else None
+    tried = known = None
+    prefixes, turn = nodes.select("node", "n", "prefix"), 0
+    while True:
+        each = prefixes.select("node", "n", F.posexplode_outer("prefix").alias("at", "h")).where("h is not null")
+        # Of each hash that several nodes have, the node in which it stands first.
+        lead = each.groupBy("h").agg(F.min(F.struct("at", "n", "node")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+        shared = stored(each.join(small_side(stored(lead)), "h"))
+        stars = shared.where("node <> lead.node").where(room(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+        stars = stars.select(*pair(F.col("node"), F.col("lead.node"))).distinct()
+        stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
+        tried = stars if tried is None else stored(tried.union(stars))
+        found = verified(stars)
+        near = found if near is None else near.union(found)
+        roots = simhash.components(near).withColumnRenamed("node", "__node")
+        placed = shared.join(roots, F.col("node") == F.col("__node"), "left").select("h", "c", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+        # Of each hash the nodes outside its largest component: pairs across are at most so many for each of its nodes.
+        mixed = stored(placed.groupBy("h", "c", "root").agg(F.count("*").alias("own")).groupBy("h", "c").agg((F.col("c") - F.max("own")).alias("out")).where("out > 0"))
+        open_ = stored(placed.join(small_side(mixed.select("h")), "h", "left_semi"))
+        heavy = mixed.where(F.col("out") > hot).select("h", "c")
+        heavy = stored(heavy if known is None else heavy.join(known.select("h"), "h", "left_anti"))
+        if not heavy.limit(1).count():
+            break
+        heavy = heavy.withColumn("round", F.lit(turn))
+        known, turn = (heavy if known is None else stored(known.unionByName(heavy))), turn + 1
+        held = stored(each.join(small_side(heavy.select("h")), "h", "left_semi").select("node").distinct())
+        again = _put_back(held, texts_of, sets_of, known, k, common, percent, most).withColumnRenamed("prefix", "again")
+        prefixes = stored(prefixes.join(again, "node", "left").select("node", "n", F.coalesce("again", "prefix").alias("prefix")))
     a, b = (open_.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "root")]) for x in "ab")
     # The smaller of two similar sets has room behind the hash for a set of its own size.
     a = a.where(room(F.col("a_n"), F.col("a_at"), F.col("a_n"), F.col("a_at")))
     smaller = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node"))
     across = a.join(b, "h").where(smaller & (F.col("a_root") != F.col("b_root")) & room(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at")))
-    rest = stored(across.select(*pair(F.col("a_node"), F.col("b_node"))).distinct().join(stars, ["a", "b"], "left_anti"))
+    rest = stored(across.select(*pair(F.col("a_node"), F.col("b_node"))).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        found = simhash.components(near.union(verified(rest))).withColumnRenamed("node", "__node")
-    return rows.select("doc_id", "text_key", "node").join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+        roots = simhash.components(near.union(verified(rest))).withColumnRenamed("node", "__node")
+    return rows.select("doc_id", "text_key", "node").join(roots, F.col("node") == F.col("__node"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def _by_bits(rows: DataFrame) -> DataFrame:
