@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
+import plain_budget
 from tracemill import schemas as S
 from tracemill.functions import text
-from tracemill.operators import classify, metrics, neardup, profile, records, render, sequence, tagged, token_state
+from tracemill.operators import classify, metrics, neardup, profile, records, render, sequence, tagged
 from tracemill.sources import jsonl, sinks
 
 
@@ -21,7 +22,7 @@ def test_bounded_keeps_both_ends_and_length(spark):
     rng = random.Random(1)
     values = ["", "abc", "é🙂" * 300] + ["".join(rng.choice("ab é🙂\n") for _ in range(rng.randint(0, 900))) for _ in range(50)]
     for v, got in zip(values, column(spark, values, lambda c: text.bounded(c, 200)), strict=True):
-        assert got == token_state.shorten(v, 200)
+        assert got == plain_budget.shorten(v, 200)
         assert len(got) == min(len(v), 200)
 
 
@@ -62,60 +63,12 @@ def msg(role, content, **more):
     return {"role": role, "content": content, "reasoning_content": None, "tool_calls": None, "tool_call_id": None, "name": None} | more
 
 
-def test_token_state_fits_and_orders():
-    messages = [msg("system", "constraints"), msg("user", "task")] + [msg("user", f"message {i} " * 5) for i in range(20)] + [msg("system", "later rules"), msg("tool", "seen", tool_call_id="c1", name="grep")]
-    state, kept, seen = token_state.fill(messages, 200)
-    assert token_state.count_words(state) <= 200 and 0 < len(kept) < 20 and seen == len(messages) - 1
-    order = [int(x) for x in re.findall(r"message (\d+) message", state)]
-    assert order == sorted(order) and order[-1] == 19 and "later rules" not in state
-    assert "LATEST RELEVANT OBSERVATION\n[TOOL]\nTOOL_RESULT id=c1\nname=grep\nseen\n\nRECENT HISTORY" in state
-    assert token_state.fill([msg("user", "t " * 5000)], 20) is None
-    assert token_state.fill([msg("user", "only")])[2] == -1 and "[NO OBSERVATION]" in token_state.fill([msg("user", "only")])[0]
-    assert token_state.ROOM == 415
-
-
-def brute_fill(messages, room):
-    """All counts of newest history tried one after another, and all shrinkings in turn."""
-    task = next((i for i, m in enumerate(messages) if m["role"] == "user"), None)
-    system = next((m["content"] or "" for m in messages if m["role"] == "system"), "")
-    seen = None
-    for i, m in enumerate(messages):
-        if m["role"] == "tool" or (m["role"] != "system" and i != task and not any(x["role"] == "tool" for x in messages)):
-            seen = i
-    pool = [i for i, m in enumerate(messages) if i not in (task, seen) and m["role"] != "system"]
-
-    def text(limits, order):
-        part = lambda t, n: token_state.shorten(t, limits[n])
-        observation = token_state.shown(messages[seen]) if seen is not None else "[NO OBSERVATION]"
-        body = [part(messages[task]["content"] or "" if task is not None else "", 2), part(system, 0), ", ".join(S.ONTOLOGY), part(observation, 1), "\n\n".join(token_state.shown(messages[i]) for i in order) or "[NO ADDITIONAL HISTORY]"]
-        return "\n\n".join(h + "\n" + b for h, b in zip(S.SECTIONS, body, strict=True))
-
-    steps = [(max(100, 3000 - 400 * a), max(300, 7000 - 400 * b), max(300, 6000 - 400 * c)) for a, b, c in [(a, 0, 0) for a in range(9)] + [(8, b, 0) for b in range(1, 18)] + [(8, 17, c) for c in range(1, 16)]]
-    limits = next((x for x in steps if token_state.count_words(text(x, [])) <= room), None)
-    if limits is None:
-        return None
-    n = 0
-    while n < len(pool) and token_state.count_words(text(limits, pool[::-1][: n + 1])) <= room:
-        n += 1
-    kept = sorted(pool[::-1][:n])
-    return text(limits, kept), kept, -1 if seen is None else seen
-
-
-def test_token_state_against_brute_force():
-    rng = random.Random(31)
-    for _ in range(60):
-        roles = [rng.choice(["system", "user", "assistant", "tool"]) for _ in range(rng.randint(0, 9))]
-        messages = [msg(r, rng.choice([None, "", "word " * rng.choice([1, 5, 40, 900])]), name=rng.choice([None, "n"]), tool_call_id="c" if r == "tool" else None) for r in roles]
-        for room in (60, 150, 415):
-            assert token_state.fill(messages, room) == brute_fill(messages, room)
-
-
 def test_rendering_in_both_orders_equals_python(spark):
     calls = [{"id": "c1", "type": "function", "function": {"name": "gr\u00e9p", "arguments": '{"a": "\u00e9\U0001f642\\\\n\n\x1f"}'}}, {"id": None, "type": "function", "function": {"name": None, "arguments": "x"}}]
     ms = [msg("assistant", "hi", tool_calls=calls), msg("tool", "r" * 5000, tool_call_id="c1", name="n"), msg(None, None), msg("user", ""), msg("tool", "x", tool_call_id="", name="")]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(ms)], f"i int, m {S.MESSAGE}")
     got = [(r[0], r[1]) for r in df.orderBy("i").select(render.message(F.col("m"), 1), render.message(F.col("m"), 2)).collect()]
-    assert [g for _, g in got] == [token_state.shown(m) for m in ms]
+    assert [g for _, g in got] == [plain_budget.shown(m) for m in ms]
     assert got[1][0].startswith("[TOOL]\nname=n\nTOOL_RESULT id=c1\nr") and len(got[1][0]) > len(got[1][1])
 
 

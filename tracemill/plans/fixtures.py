@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill import schemas as S
 from tracemill.functions import hashing, text
-from tracemill.operators import classify, records, render, tagged, token_state
+from tracemill.operators import classify, records, render, tagged, token_budget
 from tracemill.plans.registry import query, table
 from tracemill.plans.traces import bounded_sql, bucket_sql, normal_sql, template_sql
 
@@ -222,14 +222,18 @@ def canonical_digests(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text_of.alias("j")).select("event_id", hashing.canonical_digest("j").alias("digest"))
 
 
-def _rendered_sql(policy: int) -> str:
-    """The messages of a turn, rendered and joined, from conversations with k and names as in ``_TRACE``."""
+def _messages_sql(policy: int) -> tuple[str, str, str]:
+    """The two results before a turn's text, and its own message, rendered, from conversations with k and names as in ``_TRACE``."""
     limit = S.MAX_MESSAGE_CHARS if policy == 1 else S.MAX_RENDERED_CHARS
     call = "concat('TOOL_CALL {\"arguments\":\"{}\",\"id\":\"c', turn, i, '\",\"name\":\"', n, '\"}')"
     calls = f"list_transform(list_zip(names, ['a', 'b'][1:len(names)]), lambda p: {call.replace(', i,', ', p[2],').replace(', n,', ', p[1],')})"
     own = f"concat('[', upper(role), ']', chr(10), coalesce(nullif(array_to_string(list_concat(CASE WHEN coalesce(text, '') = '' THEN [] ELSE [{bounded_sql('text', limit)}] END, {calls}), chr(10)), ''), '[EMPTY]'))"
     first = "concat('[TOOL]', chr(10), 'name=grep', chr(10), 'TOOL_RESULT id=c', turn - 1, 'a', chr(10), 'ok')" if policy == 1 else "concat('[TOOL]', chr(10), 'TOOL_RESULT id=c', turn - 1, 'a', chr(10), 'name=grep', chr(10), 'ok')"
-    second = "concat('[TOOL]', chr(10), 'TOOL_RESULT id=c', turn - 1, 'b', chr(10), 'ok')"
+    return first, "concat('[TOOL]', chr(10), 'TOOL_RESULT id=c', turn - 1, 'b', chr(10), 'ok')", own
+
+
+def _rendered_sql(policy: int) -> str:
+    first, second, own = _messages_sql(policy)
     return f"concat(CASE WHEN answers THEN concat({first}, chr(10), chr(10), {second}, chr(10), chr(10)) ELSE '' END, {own})"
 
 
@@ -240,12 +244,45 @@ def render_full(spark, sf_dir):
     return exchanges(spark, sf_dir).select("conv_id", "turn", joined(1).alias("first_policy"), joined(2).alias("second_policy"))
 
 
-@query()
+def messages(spark, sf_dir):
+    """The messages of ``exchanges`` one by one: conv, i (place in the conversation, from 0), m."""
+    one = exchanges(spark, sf_dir).select(F.col("conv_id").alias("conv"), "turn", F.posexplode("ms").alias("at", "m"))
+    return one.withColumn("i", F.row_number().over(Window.partitionBy("conv").orderBy("turn", "at")) - 1).select("conv", "i", "m")
+
+
+def _budget_sql(room: int) -> str:
+    first, second, own = _messages_sql(2)
+    words = lambda c: f"len(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))"
+    head = lambda task, system, seen: "concat('TASK', chr(10), " + task + ", chr(10), chr(10), 'SYSTEM CONSTRAINTS', chr(10), " + system + f", chr(10), chr(10), 'AVAILABLE ACTIONS', chr(10), '{', '.join(S.ONTOLOGY)}', chr(10), chr(10), 'LATEST RELEVANT OBSERVATION', chr(10), " + seen + ", chr(10), chr(10), 'RECENT HISTORY', chr(10))"
+    cut = head(*[bounded_sql(c, limit) for c, limit in (("task_text", "l_task"), ("system_text", "l_system"), ("seen_text", "l_seen"))])
+    # Limits fall by 400 in turn: 8 times to 100, 17 times to 300, 15 times to 300.
+    return f"""
+WITH {_TRACE.split("y AS")[0].rstrip().rstrip(",")},
+p AS (SELECT conv_id, role, content, shown, row_number() OVER (PARTITION BY conv_id ORDER BY turn, o) - 1 AS i FROM (
+  SELECT conv_id, turn, 0 AS o, 'tool' AS role, 'ok' AS content, {first} AS shown FROM x WHERE answers UNION ALL SELECT conv_id, turn, 1, 'tool', 'ok', {second} FROM x WHERE answers
+  UNION ALL SELECT conv_id, turn, 2, role, coalesce(text, ''), {own} FROM x)),
+g AS (SELECT t.conv_id, t.i, min(p.i) FILTER (p.role = 'user') AS task, min(p.i) FILTER (p.role = 'system') AS system, max(p.i) FILTER (p.role = 'tool') AS tool
+  FROM p t LEFT JOIN p ON p.conv_id = t.conv_id AND p.i < t.i WHERE t.role = 'assistant' GROUP BY ALL),
+s AS (SELECT g.conv_id, g.i, g.task, coalesce(g.tool, (SELECT max(p.i) FROM p WHERE p.conv_id = g.conv_id AND p.i < g.i AND p.role <> 'system' AND p.i IS DISTINCT FROM g.task)) AS seen,
+  coalesce(a.content, '') AS task_text, coalesce(b.content, '') AS system_text FROM g LEFT JOIN p a ON a.conv_id = g.conv_id AND a.i = g.task LEFT JOIN p b ON b.conv_id = g.conv_id AND b.i = g.system),
+z AS (SELECT s.*, coalesce(p.shown, '[NO OBSERVATION]') AS seen_text FROM s LEFT JOIN p ON p.conv_id = s.conv_id AND p.i = s.seen),
+l AS (SELECT *, greatest(100, 3000 - 400 * least(k, 8)) AS l_system, greatest(300, 7000 - 400 * greatest(0, least(k - 8, 17))) AS l_seen, greatest(300, 6000 - 400 * greatest(0, k - 25)) AS l_task FROM z, (SELECT unnest(range(41)) AS k)),
+h AS (SELECT *, {cut} AS head FROM l),
+f AS (SELECT conv_id, i, task, seen, min(k) FILTER ({words("head")} + 5 <= {room}) AS k, arg_min(head, k) AS whole FROM h GROUP BY ALL),
+b AS (SELECT f.*, h.head, {words("h.head")} AS base FROM f LEFT JOIN h ON h.conv_id = f.conv_id AND h.i = f.i AND h.k = f.k),
+cand AS (SELECT b.conv_id, b.i, p.i AS j, p.shown, b.base + sum({words("p.shown")}) OVER (PARTITION BY b.conv_id, b.i ORDER BY p.i DESC) AS tokens
+  FROM b JOIN p ON p.conv_id = b.conv_id AND p.i < b.i AND p.role <> 'system' AND p.i IS DISTINCT FROM b.task AND p.i IS DISTINCT FROM b.seen),
+d AS (SELECT conv_id, i, count(*) AS candidates, count(*) FILTER (tokens <= {room}) AS kept, string_agg(shown, chr(10) || chr(10) ORDER BY j) FILTER (tokens <= {room}) AS history, CAST(sum({words("shown")}) AS BIGINT) AS total FROM cand GROUP BY ALL)
+SELECT b.conv_id, CAST(b.i AS BIGINT) AS i, CAST(b.seen AS BIGINT) AS observation, CASE WHEN b.k IS NOT NULL THEN CAST(coalesce(d.kept, 0) AS BIGINT) END AS kept, CASE WHEN b.k IS NOT NULL THEN CAST(coalesce(d.candidates - d.kept, 0) AS BIGINT) END AS omitted,
+  CAST({S.ENVELOPE_TOKENS} + {words("b.whole")} + coalesce(d.total, 5) AS BIGINT) AS pre_policy_tokens, sha256(concat(b.head, coalesce(d.history, '[NO ADDITIONAL HISTORY]'))) AS digest
+FROM b LEFT JOIN d ON d.conv_id = b.conv_id AND d.i = b.i"""
+
+
+@query(_budget_sql(token_budget.ROOM))
 def token_budget_states(spark, sf_dir):
-    """The state of each conversation's last target under the smallest budget; the fill retokenizes whole texts, so rows only."""
-    last = cumulative(spark, sf_dir).where("assistant_step = assistant_steps").select("conv_id", F.slice("messages", F.lit(1), F.size("messages") - 1).alias("prefix"))
-    s = last.select("conv_id", token_state.token_budget_state()("prefix").alias("s"))
-    return s.select("conv_id", F.size("s.kept").alias("kept"), "s.observation", F.sha2("s.state", 256).alias("digest"), (F.size(text.sections(F.col("s.state"))) == 5).alias("parses"))
+    """The state of every target under the smallest budget, with what it kept and left out; each message is tokenized once."""
+    s = token_budget.states(messages(spark, sf_dir))
+    return s.select(F.col("conv").alias("conv_id"), "i", "observation", F.size("kept").cast("long").alias("kept"), "omitted", "pre_policy_tokens", F.sha2("state", 256).alias("digest"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS reservations, round(sum(greatest(o_totalprice / 1000, CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 1000 ELSE o_totalprice / 900 END)), 6) AS charged FROM orders")
