@@ -2,58 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the contracts: runs of anything but ASCII white space.
-NOT_SPACE = r"[^\x20\x09-\x0D]+"
-#: A side of a join is broadcast only when a count has shown it to have at most so many rows.
-BROADCAST_ROWS = 200_000
+from tracemill.operators.shared import BROADCAST_ROWS, at_most, cut, shared_folder, small_side, stored
 
+__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "at_most", "cut", "fresh", "shared_folder", "small_side", "stored", "table", "word_count"]
 
+#: Words of the contracts: runs of anything but ASCII white space.
+NOT_SPACE = r"[^\x20\x09-\x0D]+"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: that of ``spark.checkpoint.dir``, or the one set on the context.
-
-    Where neither is set, a local session gets a temporary one; on a cluster, whose executors would each write to a
-    disk of their own, that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        wanted = spark.conf.get("spark.checkpoint.dir", None)
-        if not wanted and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="tracemill-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, so that it is computed once and survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as a Parquet table: compressed, and later reads take only the columns that they need."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if its counted size allows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores more as it takes that ``df`` has no such column."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def word_count(text: Column) -> Column:

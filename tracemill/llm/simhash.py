@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import cut, small_side, table
+from tracemill.llm.common import cut, fresh, small_side, table
 from tracemill.llm.decontaminate import text_key
 
 RADIUS, SHINGLE, SEED, BUCKET = 2, 3, 42, 64
@@ -155,27 +155,25 @@ def keep_least(docs: DataFrame, groups: DataFrame, doc: str = "doc_id", text: st
 
     Rows are told apart by id and text, so none goes for another of its id. Only narrow keys are joined.
     """
+    own, key = fresh(docs, "__doc", "__key")
+    same = lambda df: df[doc].eqNullSafe(F.col(own)) & (text_key(df[text]) == F.col(key))
     rows = cut(groups.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")))
     least = rows.where("doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
     firsts = cut(rows.join(least, "root").where("doc_id = low").groupBy("root", "low").agg(F.min("text_key").alias("first"), F.count("*").alias("k")))
     # Texts are read only where a component's least id comes with several.
-    tied = cut(firsts.where("k > 1").join(rows, "root").where("doc_id = low").select("root", F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")))
+    tied = cut(firsts.where("k > 1").join(rows, "root").where("doc_id = low").select("root", F.col("doc_id").alias(own), F.col("text_key").alias(key)))
     if tied.limit(1).count():
-        texts = docs.join(small_side(tied), _same_row(docs, doc, text)).groupBy("root").agg(F.min(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.col("__key").alias("k")))["k"].alias("named"))
+        texts = docs.join(small_side(tied), same(docs)).groupBy("root").agg(F.min(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.col(key).alias("k")))["k"].alias("named"))
         firsts = firsts.join(texts, "root", "left").withColumn("first", F.coalesce("named", "first"))
     firsts = firsts.select("root", "low", "first")
-    judged = cut(rows.join(firsts, "root").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "n", F.expr("doc_id <=> low and text_key = first").alias("kept")).where("not kept or n > 1"))
-    out = docs.join(small_side(judged.where("not kept").select("__doc", "__key")), _same_row(docs, doc, text), "left_anti")
-    equal = judged.where("kept").select("__doc", "__key")
+    judged = cut(rows.join(firsts, "root").select(F.col("doc_id").alias(own), F.col("text_key").alias(key), "n", F.expr("doc_id <=> low and text_key = first").alias("kept")).where("not kept or n > 1"))
+    out = docs.join(small_side(judged.where("not kept").select(own, key)), same(docs), "left_anti")
+    equal = judged.where("kept").select(own, key)
     if not equal.limit(1).count():
         return out
     equal = small_side(equal)
-    once = out.join(equal, _same_row(out, doc, text), "left_semi").withColumn("__key", text_key(F.col(text))).dropDuplicates([doc, "__key"]).drop("__key")
-    return out.join(equal, _same_row(out, doc, text), "left_anti").unionByName(once)
-
-
-def _same_row(docs: DataFrame, doc: str, text: str) -> Column:
-    return docs[doc].eqNullSafe(F.col("__doc")) & (text_key(docs[text]) == F.col("__key"))
+    once = out.join(equal, same(out), "left_semi").withColumn(key, text_key(F.col(text))).dropDuplicates([doc, key]).drop(key)
+    return out.join(equal, same(out), "left_anti").unionByName(once)
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, cut, small_side, table
+from tracemill.llm.common import BROADCAST_ROWS, cut, fresh, small_side, table
 
 BUCKET_DAYS = 30
 
@@ -61,9 +61,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
     keyed = probes.withColumn("bucket", bucket("t")).withColumn("k", F.explode(url_keys(F.col("u")))).select("u", "t", "bucket", "k.kind", "k.key")
     hits = keyed.join(small_side(active, broadcast_rows), ["kind", "key", "bucket"]).where("valid_from <= t and (valid_to is null or t < valid_to)")
     rule = F.concat_ws(":", "list", "effect", "kind", "key")
-    verdict = hits.groupBy(F.col("u").alias("__u"), F.col("t").alias("__t")).agg(F.array_join(F.array_sort(F.collect_set(rule)), "\n").alias("rules"), F.count_distinct(rule).alias("n_rules"), (F.max(F.col("effect") == "block") & ~F.max(F.col("effect") == "allow")).alias("blocked"))
+    u, t = fresh(captures, "__u", "__t")
+    verdict = hits.groupBy(F.col("u").alias(u), F.col("t").alias(t)).agg(F.array_join(F.array_sort(F.collect_set(rule)), "\n").alias("rules"), F.count_distinct(rule).alias("n_rules"), (F.max(F.col("effect") == "block") & ~F.max(F.col("effect") == "allow")).alias("blocked"))
     captures = captures.drop("rules", "n_rules", "blocked")
-    out = captures.join(verdict, (captures[url] == F.col("__u")) & (captures[at] == F.col("__t")), "left").drop("__u", "__t")
+    out = captures.join(verdict, (captures[url] == F.col(u)) & (captures[at] == F.col(t)), "left").drop(u, t)
     return out.withColumns({"rules": F.coalesce("rules", F.lit("")), "n_rules": F.coalesce("n_rules", F.lit(0)).cast("long"), "blocked": F.coalesce("blocked", F.lit(False))})
 
 
