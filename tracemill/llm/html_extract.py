@@ -2,7 +2,8 @@
 
 By the meaning that HTML gives them, some elements never hold main text (nav, footer, aside, form, script, hidden ones,
 an article inside an article, which is a reader's comment ...), and where a page has an article (else a main element)
-only that is looked at. Names of classes and ids decide nothing.
+only that is looked at. Of what is left, elements whose class or id names them as comments, adverts, notices or side matter go, if they
+hold less than half of the text and no heading of the first level, article or main element. Such text is another on each page, so its entropy can't tell.
 
 The rest of the DOMs of one host are merged: elements with the same chain of signatures (tag, class, id; digits count
 as 0) are one node of the host's style tree. A node's m is the number of pages that have it; pages whose main text is the same count
@@ -42,8 +43,8 @@ from pyspark.sql import types as T
 from tracemill.llm.common import BROADCAST_ROWS, at_most, cut, stored, table
 
 LEAST, SUPPORT, DAMPING = 0.2, 5, 0.9
-#: Levels of the tree, levels of open elements, quoted values looked at in one tag, and pages in a worker's batch.
-LEVELS, DEPTH, QUOTED, ROWS = 32, 512, 1_000, 500
+#: Levels of the tree, levels of open elements, and pages in a worker's batch.
+LEVELS, DEPTH, ROWS = 32, 512, 500
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _END = re.compile(r">|=\s*([\"'])")
@@ -63,6 +64,9 @@ _CLOSES = {
 _DROP_TAGS = set("head title script style noscript template nav header footer aside form button select option textarea iframe frame svg canvas audio video object menu dialog xmp noframes".split())
 _DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOP = {"#page", "html", "body"}
+#: Words in a class or id by which sites name reader comments, adverts, notices and side matter.
+_NAMED = set("ad ads advert adverts advertisement advertisements sponsored promo comment comments replies respond cookie cookies consent notice notices banner newsletter sidebar related social breadcrumb breadcrumbs".split())
+_WORD = re.compile(r"[A-Za-z]+")
 
 
 class Page:
@@ -76,7 +80,7 @@ class Page:
 
         self.hash = xxh64_intdigest
         self.tag, self.up, self.path, self.own, self.level = [], [], [], [], []
-        self.children, self.drop, self.core = [], [], []
+        self.children, self.drop, self.core, self.named, self.holds = [], [], [], [], set()
         self.blocks, self.links, self.buffer = [], [], []
         self.stack: list[int] = []
         self._open("#page", {})
@@ -86,7 +90,7 @@ class Page:
     def _read(self, html: str) -> None:
         at = scan = 0
         last = html.rfind(">")
-        dead: dict[str, int] = {}  # places from which a quote does not come again
+        lost: set[int] = set()  # places outside of quotes from which no tag's end is found
         while (lt := html.find("<", scan)) >= 0:
             if html.startswith("<!--", lt):
                 self.buffer.append(html[at:lt])
@@ -106,7 +110,7 @@ class Page:
                     at = scan = html.find(">", m.end()) + 1
                     self._end(tag)
                     continue
-                end = self._tag_end(html, m.end(), dead)
+                end = self._tag_end(html, m.end(), lost)
                 rest = html[m.end() : end]
                 at = scan = end + 1
                 self._start(tag, rest)
@@ -118,23 +122,26 @@ class Page:
         self.buffer.append(html[at:])
 
     @staticmethod
-    def _tag_end(html: str, at: int, dead: dict[str, int]) -> int:
-        """Where a start tag's '>' is: outside of quoted values, or the next one where a quote stays open."""
-        scan = at
-        for _ in range(QUOTED):
+    def _tag_end(html: str, at: int, lost: set[int]) -> int:
+        """Where a start tag's '>' is: outside of quoted values, or the next one where a quote stays open.
+
+        A search that finds none remembers its places; a later one that comes to any of them ends there, so all searches of a page are linear.
+        """
+        scan, seen = at, []
+        while scan not in lost:
             m = _END.search(html, scan)
-            if m is None or m[1] is None:
-                break
-            if m.end() >= dead.get(m[1], len(html)):
-                m = None
+            if m is None:
                 break
+            if m[1] is None:
+                return m.start()
+            seen.append(scan)
             close = html.find(m[1], m.end())
             if close < 0:
-                dead[m[1]] = m.end()
-                m = None
                 break
             scan = close + 1
-        return m.start() if m is not None and m[1] is None else html.find(">", at)
+        lost.update(seen)
+        lost.add(scan)
+        return html.find(">", at)
 
     def _flush(self) -> None:
         if self.buffer:
@@ -175,6 +182,12 @@ class Page:
         if core != "article" and (tag in ("article", "main") or found.get("role", "").lower() == "main"):
             core = "article" if tag == "article" else "main"
         at, level = len(self.tag), self.level[up] + 1 if up >= 0 else 0
+        named = self.named[up] if up >= 0 else ()
+        if tag in ("h1", "article", "main"):
+            self.holds.update(named)
+        elif label and tag not in _TOP and not drop and not _NAMED.isdisjoint(_WORD.findall(label.lower())):
+            named = (*named, at)
+        self.named.append(named)
         self.tag.append(tag)
         self.up.append(up)
         self.level.append(level)
@@ -215,7 +228,15 @@ class Page:
         blocks = [(at, t) for at, t in self.blocks if not self.drop[at]]
         cores = {self.core[at] for at, _ in blocks}
         core = "article" if "article" in cores else "main" if "main" in cores else ""
-        return [(at, t) for at, t in blocks if not core or self.core[at] == core]
+        blocks = [(at, t) for at, t in blocks if not core or self.core[at] == core]
+        # What is named as side matter goes, unless it holds the page's heading or half of its text: then the name says something else.
+        chars: dict[int, int] = {}
+        for at, t in blocks:
+            for k in self.named[at]:
+                chars[k] = chars.get(k, 0) + len(t)
+        half = sum(len(t) for _, t in blocks) / 2
+        gone = {k for k, n in chars.items() if n < half and k not in self.holds}
+        return [(at, t) for at, t in blocks if gone.isdisjoint(self.named[at])] if gone else blocks
 
     def branches(self, kept: list[tuple[int, str]]) -> tuple[list, list, list]:
         """Of the elements that hold kept blocks: (path, style, chars, chain of paths) by path; (number of its path, from, to) of each element, a range
