@@ -77,9 +77,13 @@ def following(keys: DataFrame) -> DataFrame:
 
 
 def _width(docs: DataFrame) -> int:
-    """Bits of the ids in a run, so that runs of sparse ids hold as many rows as runs of dense ones."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    return min(52, ID_BITS + max(0, ((high - low) // n).bit_length() - 1)) if n else ID_BITS
+    """Bits of the ids in a run: the least with which runs that have rows have half of ``ID_BITS`` worth of them on average.
+
+    Runs are counted by their ids, so that single ids far away from all others are runs of their own and widen no other.
+    """
+    widths = [*range(ID_BITS, 52, 2), 52]
+    n, *runs = docs.where("doc_id is not null").agg(F.count("doc_id"), *[F.approx_count_distinct(F.shiftright("doc_id", b)) for b in widths]).first()
+    return next((b for b, k in zip(widths, runs, strict=True) if k << (ID_BITS - 1) <= n), 52) if n else ID_BITS
 
 
 def with_next(docs: DataFrame) -> DataFrame:
