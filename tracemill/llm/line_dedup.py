@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, at_most, cut, table
+from tracemill.llm.common import BROADCAST_ROWS, at_most, cut, fresh, table
 
 #: Share of a host's distinct pages above which a line is boilerplate, and the least number of such pages.
 RATIO, MIN_PAGES = 0.05, 5
@@ -45,23 +45,29 @@ def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", r
     """``pages`` with boilerplate lines taken out of ``text``; adds ``n_lines`` and ``n_dropped``.
 
     A host has at most (lines per page / ratio) boilerplate lines, so its set fits in one row. The sets are
-    broadcast when a count shows they are few, else they are joined by host, where adaptive execution may
-    split a hot host.
+    broadcast when a count shows that all lines are few; else each text's lines are joined to them one by one, by host and
+    line, and a page's row gets the lines that it has.
     """
-    found = boilerplate(pages, host, text, ratio, min_pages)
-    sets = cut(found.groupBy("host").agg(F.collect_set("line_key").alias("__drop"), F.count("*").alias("__n")))
-    few = at_most(sets, broadcast_rows) and (sets.agg(F.sum("__n")).first()[0] or 0) <= broadcast_rows
-    sets = sets.select(F.col("host").alias("__host"), "__drop")
-    joined = pages.join(F.broadcast(sets) if few else sets, pages[host].eqNullSafe(F.col("__host")), "left").withColumn("__lines", F.split(F.col(text), "\n", -1))
-    # The page's own lines among the host's, found by a hash set; few, so that each line is held against few.
-    joined = joined.withColumn("__hit", F.array_intersect(F.transform("__lines", lambda line: F.xxhash64(F.trim(line))), F.col("__drop")))
-    kept = F.filter("__lines", lambda line: (F.trim(line) == "") | ~F.array_contains("__hit", F.xxhash64(F.trim(line))))
-    joined = joined.withColumn("__kept", F.when(F.coalesce(F.size("__hit"), F.lit(0)) == 0, F.col("__lines")).otherwise(kept))
+    own, drop, lines, hit, kept, key = fresh(pages, "__host", "__drop", "__lines", "__hit", "__kept", "__key")
+    found = cut(boilerplate(pages, host, text, ratio, min_pages).select("host", "line_key"))
+    trimmed = lambda line: F.xxhash64(F.trim(line))
+    if at_most(found, broadcast_rows):
+        sets = found.groupBy(F.col("host").alias(own)).agg(F.collect_set("line_key").alias(drop))
+        joined = pages.join(F.broadcast(sets), pages[host].eqNullSafe(F.col(own)), "left").withColumn(lines, F.split(F.col(text), "\n", -1))
+        # The page's own lines among the host's, found by a hash set; few, so that each line is held against few.
+        joined = joined.withColumn(hit, F.array_intersect(F.transform(lines, trimmed), F.col(drop))).drop(drop)
+    else:
+        # The lines of each text meet the host's, and only those that both have come back to the pages.
+        each = pages.select(F.col(host).alias("h"), F.xxhash64(text).alias("k"), F.explode_outer(F.array_distinct(F.transform(F.split(F.col(text), "\n", -1), trimmed))).alias("l")).where("l is not null").distinct()
+        hits = each.join(found, F.col("h").eqNullSafe(F.col("host")) & (F.col("l") == F.col("line_key"))).groupBy(F.col("h").alias(own), F.col("k").alias(key)).agg(F.collect_set("l").alias(hit))
+        joined = pages.join(hits, pages[host].eqNullSafe(F.col(own)) & (F.xxhash64(pages[text]) == F.col(key)), "left").drop(key).withColumn(lines, F.split(F.col(text), "\n", -1))
+    rest = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col(hit), trimmed(line)))
+    joined = joined.withColumn(kept, F.when(F.coalesce(F.size(hit), F.lit(0)) == 0, F.col(lines)).otherwise(rest))
     return (
-        joined.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long"))
-        .withColumn(text, F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join("__kept", "\n")))
-        .drop("__host", "__drop", "__lines", "__hit", "__kept")
+        joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long"))
+        .withColumn(text, F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join(kept, "\n")))
+        .drop(own, lines, hit, kept)
     )
 
 
