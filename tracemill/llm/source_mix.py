@@ -59,8 +59,9 @@ def offset(source, seed: str = SEED):
 
 
 def copies(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """Adds source_size, target and ``copies`` to a checkpointed table with doc_id, source and size."""
-    rows = sized.withColumns({"__step": F.expr(f"size div {STEP}"), "__md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
+    """Adds source_size, target and ``copies`` to a checkpointed table with doc_id, source, size and __key, a hash that deals out rows without an id."""
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\n"), F.col("__key").cast("string")), F.lit(""))
+    rows = sized.withColumns({"__step": F.expr(f"size div {STEP}"), "__md5": F.md5(drawn.cast("binary"))})
     rows = rows.withColumn("__cell", F.substring("__md5", 1, PREFIX))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_percent, most)
     goal = goal.withColumn("__u", offset(F.col("source"), seed)).withColumnRenamed("source", "__src")
@@ -84,7 +85,7 @@ def copies(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target and copies of every document."""
-    return copies(cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))), **how)
+    return copies(cut(docs.select("doc_id", "source", F.xxhash64("text").alias("__key"), word_count(F.col("text")).alias("size"))), **how).drop("__key")
 
 
 def op8_source_mix(spark, sf_dir) -> DataFrame:
