@@ -25,7 +25,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, at_most, cut, small_side, table
+from tracemill.llm.common import BROADCAST_ROWS, at_most, cut, fresh, small_side, table
 
 WINDOW, SHINGLE = 10, 3
 #: Shingles of the items that may be broadcast, eight bytes each.
@@ -44,11 +44,11 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(win, ws, len, items): each distinct window, its words and the ids that have it."""
+    """(win, ws, len, items, w): each distinct window, its words, the ids that have it, and its number."""
     w = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words(F.col(text)).alias("ws")).where("size(ws) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
     w = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("ws", i, window))).alias("ws"))
-    return w.groupBy(F.array_join("ws", " ").alias("win"), "ws").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("len", F.size("ws"))
+    return w.groupBy(F.array_join("ws", " ").alias("win"), "ws").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumns({"len": F.size("ws"), "w": F.monotonically_increasing_id()})
 
 
 def _positions(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
@@ -66,18 +66,18 @@ def _positions(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
 
 
 def _prefixes(wins: DataFrame, rows: DataFrame, lengths: list[int], broadcast_keys: int) -> DataFrame:
-    """(h, at, win, len, items): of each window that ``rows`` can hold, the rarest shingle and its place."""
-    parts = [_positions(wins.where(F.least(F.lit(SHINGLE), F.col("len")) == n), ["win", "len", "items"], [n]) for n in lengths]
-    own = cut(reduce(DataFrame.union, parts).where(F.col("h") != MARK).select("h", F.col("pos").alias("at"), "win", "len", "items"))
+    """(h, at, win, len, w): of each window that ``rows`` can hold, the rarest shingle and its place."""
+    parts = [_positions(wins.where(F.least(F.lit(SHINGLE), F.col("len")) == n), ["win", "len", "w"], [n]) for n in lengths]
+    own = cut(reduce(DataFrame.union, parts).where(F.col("h") != MARK).select("h", F.col("pos").alias("at"), "win", "len", "w"))
     keys = small_side(own.select("h").distinct(), broadcast_keys)
     rarity = cut(_positions(rows, [], lengths).select("h").join(keys, "h").groupBy("h").agg(F.count("*").alias("seen")))
     # A window with a shingle that occurs nowhere has the left join's null first, and goes.
     first = Window.partitionBy("win").orderBy(F.col("seen").asc_nulls_first(), "h", "at")
-    return cut(own.join(rarity, "h", "left").withColumn("r", F.row_number().over(first)).where("r = 1 and seen is not null").select("h", "at", "win", "len", "items"))
+    return cut(own.join(rarity, "h", "left").withColumn("r", F.row_number().over(first)).where("r = 1 and seen is not null").select("h", "at", "win", "len", "w"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS, every: bool = False) -> DataFrame:
-    """(doc, text_key, n_words, start, len, items) of each place where a window stands, n_words null.
+def occurrences(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc, text_key, n_words, start, len, w) of each place where a window stands, n_words null; and the windows by number.
 
     With ``every``, there is also a row of doc, text_key and n_words for each row of ``docs``.
     """
@@ -94,27 +94,29 @@ def occurrences(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: st
             prefix = prefix.union(docs.sparkSession.range(1).select(*[c.alias(n) for n, c in blank.items()]))
         met = _positions(rows, ["doc", "text_key"], lengths).join(F.broadcast(prefix), "h")
         ends = F.col("at").isNull() & (F.col("pos") == F.size("ws"))
-        return met.where(ends | fits & exact(F.greatest(start, F.lit(0)))).select("doc", "text_key", F.when(ends, F.size("ws")).cast("long").alias("n_words"), start.alias("start"), "len", "items")
+        return met.where(ends | fits & exact(F.greatest(start, F.lit(0)))).select("doc", "text_key", F.when(ends, F.size("ws")).cast("long").alias("n_words"), start.alias("start"), "len", "w"), wins
     # Hashes and places are shuffled; what meets a prefix goes back to its text for the words.
     met = _positions(rows, ["doc", "text_key"], lengths).select("doc", "text_key", "pos", "h", F.size("ws").alias("n")).join(prefix, "h")
-    met = met.where((start >= 0) & (start + F.col("len") <= F.col("n"))).groupBy(F.col("doc").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct(start.alias("start"), "len", "win", "items")).alias("met"))
+    met = met.where((start >= 0) & (start + F.col("len") <= F.col("n"))).groupBy(F.col("doc").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct(start.alias("start"), "len", "win", "w")).alias("met"))
     held = docs.select(F.col(doc).alias("doc"), text_key(F.col(text)), F.col(text).alias("t")).join(small_side(cut(met)), F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     true = held.select("doc", "text_key", words(F.col("t")).alias("ws"), "met").select("doc", "text_key", "ws", F.explode_outer("met").alias("m")).select("doc", "text_key", "ws", "m.*").where(exact(F.col("start")))
-    found = true.select("doc", "text_key", F.lit(None).cast("long").alias("n_words"), "start", "len", "items")
-    return found.unionByName(rows.select("doc", "text_key", F.size("ws").cast("long").alias("n_words")), allowMissingColumns=True) if every else found
+    found = true.select("doc", "text_key", F.lit(None).cast("long").alias("n_words"), "start", "len", "w")
+    return (found.unionByName(rows.select("doc", "text_key", F.size("ws").cast("long").alias("n_words")), allowMissingColumns=True) if every else found), wins
 
 
-def _per_document(found: DataFrame) -> DataFrame:
-    """(doc, text_key, n_hit, hit_items) from occurrences."""
+def _per_document(found: DataFrame, wins: DataFrame) -> DataFrame:
+    """(doc, text_key, n_hit, hit_items) from occurrences; ids come in once for each window of a document."""
     spans = F.transform(F.collect_set(F.struct("start", "len")), lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))
     # Rows of equal id and text are found once each; sets make them one.
-    per_doc = found.where("start is not null").groupBy("doc", "text_key").agg(spans.alias("spans"), F.flatten(F.collect_set("items")).alias("ids"))
-    return per_doc.select("doc", "text_key", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("ids")).alias("hit_items"))
+    per_doc = cut(found.where("start is not null").groupBy("doc", "text_key").agg(F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("n_hit"), F.collect_set("w").alias("ws")))
+    named = per_doc.select("doc", "text_key", F.explode("ws").alias("w")).join(wins.select("w", "items"), "w")
+    named = named.groupBy(F.col("doc").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("hit_items"))
+    return per_doc.join(named, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).select("doc", "text_key", "n_hit", "hit_items")
 
 
 def hits(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc, text_key, n_hit, hit_items) of the documents that hold a window; text_key tells rows of equal id apart."""
-    return _per_document(occurrences(docs, items, doc, text, window, broadcast_keys))
+    return _per_document(*occurrences(docs, items, doc, text, window, broadcast_keys))
 
 
 def text_key(text: Column) -> Column:
@@ -123,15 +125,17 @@ def text_key(text: Column) -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
-    held = cut(occurrences(docs, items, doc, text, window).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key")).distinct())
-    return docs.join(small_side(held, broadcast_rows), docs[doc].eqNullSafe(F.col("__doc")) & (text_key(docs[text]) == F.col("__key")), "left_anti")
+    own, key = fresh(docs, "__doc", "__key")
+    held = cut(occurrences(docs, items, doc, text, window)[0].select(F.col("doc").alias(own), F.col("text_key").alias(key)).distinct())
+    return docs.join(small_side(held, broadcast_rows), docs[doc].eqNullSafe(F.col(own)) & (text_key(docs[text]) == F.col(key)), "left_anti")
 
 
 def report(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc, n_words, n_hit, hit_items) of every row of ``docs``; texts are not shuffled."""
-    found = cut(occurrences(docs, items, doc, text, window, broadcast_keys, every=True))
+    found, wins = occurrences(docs, items, doc, text, window, broadcast_keys, every=True)
+    found = cut(found)
     narrow = found.where("n_words is not null").select("doc", "text_key", "n_words")
-    held = cut(_per_document(found)).withColumnsRenamed({"doc": "d", "text_key": "k"})
+    held = cut(_per_document(found, wins)).withColumnsRenamed({"doc": "d", "text_key": "k"})
     out = narrow.join(small_side(held), narrow["doc"].eqNullSafe(F.col("d")) & (narrow["text_key"] == F.col("k")), "left")
     return out.select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"))
 
