@@ -5,37 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators import graph
+from tracemill.operators.shared import stored
+
 #: Word pairs that may be broadcast, and short items that are looked for in one pass.
 KEYS, NEEDLES = 200_000, 500
 
 
-def cross_split_pairs(df: DataFrame, key: str, split: str, tokens: str, percent: int) -> DataFrame:
-    """(left_id, right_id, jaccard) of rows in different splits whose token sets have a Jaccard index of ``percent``/100 or more.
+def _linked(df: DataFrame, key: str, split: str, tokens: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, split, node) of the rows with tokens, (node, n) of their distinct sets, and (x, y, i, u) of the similar ones, x before y.
 
-    Equal sets are one node, so copies meet in pairs only in the result. With tokens ordered by rarity, two sets
-    that similar share one of their first n - ceil(t n) + 1 tokens, and their sizes are within the ratio.
+    With tokens ordered by rarity, two sets that similar share one of their first n - ceil(t n) + 1 tokens, their sizes are within the
+    ratio, and the first token that they share leaves room for the overlap; what is left is verified on the whole sets.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(tokens).alias("s")).where("size(s) > 0").withColumn("node", F.sha2(F.array_join("s", " "), 256))
-    nodes = rows.groupBy("node").agg(F.first("s").alias("s")).persist()
+    rows = stored(df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(tokens).alias("s")).where("size(s) > 0").withColumn("node", F.sha2(F.array_join("s", " "), 256)))
+    nodes = stored(rows.groupBy("node").agg(F.first("s").alias("s")))
     each = nodes.select("node", F.size("s").alias("n"), F.explode("s").alias("t"))
     rank = each.groupBy("t").agg(F.count("*").alias("df"))
     order = Window.partitionBy("node").orderBy("df", "t")
-    prefix = each.join(rank, "t").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("node", "n", "t", "r").persist()
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.node") < F.col("b.node")) & (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    # The first token that two sets share leaves room for the overlap that they need: what stands from it on in the shorter rest.
+    prefix = stored(each.join(rank, "t").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("node", "n", "t", "r"))
+    # The smaller of the two has room from the token on for a set of its own size, so only such rows stand on the left.
+    a, b = prefix.where((F.col("n") - F.col("r") + 1) * (100 + percent) >= F.col("n") * 2 * percent).alias("a"), prefix.alias("b")
+    smaller = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))
     room = F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + 1
-    near = near & (room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & near).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    near = smaller & (F.col("a.n") * 100 >= F.col("b.n") * percent) & (room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & near).select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
     full = pairs.join(nodes.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(nodes.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
     both, every = F.size(F.array_intersect("sx", "sy")), F.size(F.array_union("sx", "sy"))
-    links = full.select("x", "y", both.alias("i"), every.alias("u")).where(F.col("i") * 100 >= F.col("u") * percent)
-    links = links.union(links.select("y", "x", "i", "u")).union(nodes.select("node", F.col("node").alias("n2"), F.size("s"), F.size("s")))
+    links = stored(full.select("x", "y", both.alias("i"), every.alias("u")).where(F.col("i") * 100 >= F.col("u") * percent))
+    return rows.select("id", "split", "node"), nodes.select("node", F.size("s").alias("n")), links
+
+
+def cross_split_pairs(df: DataFrame, key: str, split: str, tokens: str, percent: int) -> DataFrame:
+    """(left_id, right_id, jaccard) of rows in different splits whose token sets have a Jaccard index of ``percent``/100 or more.
+
+    Equal sets are one node, so copies meet in pairs only in the result; where copies are many, ``classes`` says the same without pairs.
+    """
+    rows, nodes, links = _linked(df, key, split, tokens, percent)
+    links = links.union(links.select("y", "x", "i", "u")).union(nodes.select("node", F.col("node").alias("n2"), "n", F.col("n").alias("m")))
     left = rows.select(F.col("id").alias("left_id"), F.col("split").alias("ls"), F.col("node").alias("x"))
     right = rows.select(F.col("id").alias("right_id"), F.col("split").alias("rs"), F.col("node").alias("y"))
     return links.join(left, "x").join(right, "y").where("ls <> rs and left_id < right_id").select("left_id", "right_id", F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
 
 
+def classes(df: DataFrame, key: str, split: str, tokens: str, percent: int) -> DataFrame:
+    """(id, class_id, n_links) of every row with tokens: the least id that similar sets connect it to, and how many rows of other splits have a similar set.
+
+    Link counts come from how many rows of each split a set has, so a set of 10^5 rows gives 10^5 rows here and no pair. Ids are not null;
+    rows of one id count each.
+    """
+    rows, nodes, links = _linked(df, key, split, tokens, percent)
+    each_way = links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).union(nodes.select("node", F.col("node").alias("y")))
+    counts = stored(rows.groupBy("node", "split").agg(F.count("*").alias("c")))
+    near = stored(each_way.join(counts.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node"), "split").agg(F.sum("c").alias("c")))
+    every = near.groupBy("node").agg(F.sum("c").alias("every"))
+    own = near.withColumnsRenamed({"node": "own_node", "split": "own_split"})
+    found = counts.join(every, "node").join(own.withColumnRenamed("c", "own"), (F.col("node") == F.col("own_node")) & F.col("split").eqNullSafe(F.col("own_split")))
+    found = found.select("node", F.col("split").alias("of_split"), (F.col("every") - F.col("own")).alias("n_links"))
+    roots = graph.components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "r_node")
+    placed = rows.join(roots, F.col("node") == F.col("r_node"), "left").select("id", "split", "node", F.coalesce("root", "node").alias("root"))
+    named = placed.groupBy("root").agg(F.min("id").alias("class_id"))
+    out = placed.join(named, "root").join(found.withColumnRenamed("node", "f_node"), (F.col("node") == F.col("f_node")) & F.col("split").eqNullSafe(F.col("of_split")))
+    return out.select("id", "class_id", F.col("n_links").cast("long").alias("n_links"))
+
+
 def comparisons(df: DataFrame, split: str) -> DataFrame:
     """How many pairs of rows stand in different splits: half of the square of all less the squares of each."""
     n = df.groupBy(split).agg(F.count("*").cast("decimal(38,0)").alias("n"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,13 @@ def overlap_matrix(df: DataFrame, split: str, key: str) -> DataFrame:
     return sets.select(F.explode(pair).alias("p")).groupBy("p.left_split", "p.right_split").agg(F.count("*").alias("shared"))
 
 
-def keep_first(df: DataFrame, key: Column, order: list[Column], label: str) -> DataFrame:
-    """Rows with ``kept`` (first of its key in the order) and ``conflict`` (another label than the first's)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumns({"kept": F.row_number().over(w) == 1, "conflict": ~F.col(label).eqNullSafe(F.first(label).over(w))})
+def keep_first(df: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
+    """Rows with ``kept`` (first of its key in the order) and ``conflict`` (another label than the first's); nulls come first, a null key is a key.
+
+    The first of a key is summed, not sorted, and joined to its rows, so a key of many rows is no task of its own. Rows of one key that are equal in the
+    order are all kept; an id in the order tells them apart.
+    """
+    first = df.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(label).alias("label"))).alias("__first"))
+    joined = df.join(first, F.col(key).eqNullSafe(F.col("__key")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__first.o{i}")) for i, c in enumerate(order)])
+    return joined.withColumns({"kept": same, "conflict": ~F.col(label).eqNullSafe(F.col("__first.label"))}).drop("__key", "__first")

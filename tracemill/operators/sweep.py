@@ -13,8 +13,8 @@ def sweep(candidates: DataFrame, key: str, order: str, tokens: str, group: str,
     all budgets at once, first per group and then over the groups. Of rows with one key the first in the order counts
     as distinct.
     """
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
-    flagged = candidates.select(F.col(group).alias("g"), F.col(tokens).alias("t"), first.alias("first"))
+    firsts = candidates.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
+    flagged = candidates.join(firsts, F.col(key).eqNullSafe(F.col("__key"))).select(F.col(group).alias("g"), F.col(tokens).alias("t"), F.col(order).eqNullSafe(F.col("__first")).alias("first"))
     fits = {b: F.col("t") <= b - envelope for b in budgets}
     per = flagged.groupBy("g").agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"r{b}") for b, c in fits.items()], *[F.count_if(c & F.col("first")).alias(f"u{b}") for b, c in fits.items()])
     one = [F.struct(F.lit(b).alias("budget"), F.col(f"r{b}").alias("r"), F.col(f"u{b}").alias("u")) for b in budgets]

@@ -113,7 +113,7 @@ SELECT count(*) FILTER (i = 1) AS kept, count(*) FILTER (i > 1) AS dropped, coun
 """)
 def keep_first_dedup(spark, sf_dir):
     j = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("k")).join(table(spark, sf_dir, "labels"), "doc_id")
-    r = profile.keep_first(j, F.col("k"), [F.col("doc_id")], "quality")
+    r = profile.keep_first(j, "k", ["doc_id"], "quality")
     return r.agg(F.count_if(F.col("kept")).alias("kept"), F.count_if(~F.col("kept")).alias("dropped"), F.count_if(F.col("conflict")).alias("conflicts"))
 
 
@@ -240,6 +240,21 @@ def near_duplicate_cross_split(spark, sf_dir):
     return neardup.cross_split_pairs(d, "doc_id", "split", "tokens", 85)
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, doc_id % 10 AS b, list_sort(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))) AS s FROM documents),
+k AS (SELECT doc_id, CASE WHEN b < 8 THEN 'train' WHEN b < 9 THEN 'dev' ELSE 'test' END AS split, s FROM d WHERE s <> ['']),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, a.split <> b.split AS across FROM k a JOIN k b ON a.doc_id <> b.doc_id AND len(a.s) * 100 >= 85 * len(b.s) AND len(b.s) * 100 >= 85 * len(a.s)
+  WHERE len(list_intersect(a.s, b.s)) * 100 >= 85 * len(list_distinct(list_concat(a.s, b.s)))),
+r AS (SELECT doc_id, doc_id AS other FROM k UNION SELECT r.doc_id, p.y FROM r JOIN p ON p.x = r.other)
+SELECT r.doc_id, min(other) AS class_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links FROM r LEFT JOIN (SELECT x, count(*) FILTER (across) AS n FROM p GROUP BY x) c ON c.x = r.doc_id GROUP BY r.doc_id
+""")
+def near_duplicate_classes(spark, sf_dir):
+    """Of every document its class of similar word sets and the number of documents of other splits that it is similar to, without pairs of copies."""
+    b = F.col("doc_id") % 10
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(b < 8, "train").when(b < 9, "dev").otherwise("test").alias("split"), F.array_remove(F.array_distinct(F.split(text.task_family(F.col("text")), " ")), "").alias("tokens"))
+    return neardup.classes(d, "doc_id", "split", "tokens", 85).withColumnRenamed("id", "doc_id")
+
+
 @query("SELECT d.doc_id, b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 24")
 def target_string_leak(spark, sf_dir):
     return neardup.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 24)

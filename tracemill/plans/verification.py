@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tracemill import schemas as S
 from tracemill.functions import hashing, text
-from tracemill.operators import classify, contracts, gates, neardup, sequence
+from tracemill.operators import classify, contracts, gates, neardup, prefixes, sequence, token_budget
+from tracemill.operators.shared import stored
 from tracemill.plans import profiles, traces
 from tracemill.plans.evaluation import _P, predictions
-from tracemill.plans.fixtures import _TRACE, cumulative
+from tracemill.plans.fixtures import _TRACE, cumulative, messages
 from tracemill.plans.registry import SQL, query, table
 from tracemill.sources import shards
 
@@ -112,14 +113,62 @@ def viability_gates(spark, sf_dir):
     return own.union(own.agg(F.lit("all").alias("name"), F.bool_and("passed").alias("passed")))
 
 
-@query(f"WITH {_TRACE} SELECT count(*) AS targets, 0 AS noticed, 0 AS holding FROM y WHERE role = 'assistant'")
+_TURNS = """
+m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+h AS (SELECT *, sha256(concat(i, ':', role, chr(10), coalesce(text, ''))) AS h FROM m),
+p AS (SELECT conv_id, i, role, text, count(*) OVER w AS n, coalesce(sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)) OVER w, 0) AS one, coalesce(sum(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT)) OVER w, 0) AS two
+  FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT conv_id, i, role, text, n AS n_before, sha256(concat(n, ':', one, ':', two)) AS prefix FROM p)"""
+
+
+def _turns(spark, sf_dir):
+    """conv_id, i (place from 0), role, text."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return table(spark, sf_dir, "conversations").select("conv_id", place.alias("i"), "role", "text")
+
+
+def _prefixes(spark, sf_dir):
+    return prefixes.digests(_turns(spark, sf_dir), F.concat("role", F.lit("\n"), F.coalesce("text", F.lit(""))), conv="conv_id", block=64)
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, CAST(i AS INTEGER) AS i, n_before, prefix FROM d WHERE role = 'assistant'")
+def prefix_digests(spark, sf_dir):
+    """The digest of all that stands before each target, from sums."""
+    return _prefixes(spark, sf_dir).where("role = 'assistant'").select("conv_id", "i", "n_before", "prefix")
+
+
+@query(f"""
+WITH {_TURNS}, t AS (SELECT prefix, sha256(coalesce(text, '')) AS label FROM d WHERE role = 'assistant'), g AS (SELECT prefix, count(*) AS n, count(DISTINCT label) AS labels FROM t GROUP BY prefix)
+SELECT count(*) AS states, count(*) FILTER (n > 1) AS repeated, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus, count(*) FILTER (labels > 1) AS conflicts FROM g
+""")
+def duplicate_states(spark, sf_dir):
+    """Targets that come after equal prefixes, of any conversation, and those of them that differ."""
+    t = _prefixes(spark, sf_dir).where("role = 'assistant'").select("prefix", F.sha2(F.coalesce("text", F.lit("")), 256).alias("label"))
+    g = t.groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
+    return g.agg(F.count("*").alias("states"), F.count_if(F.col("n") > 1).alias("repeated"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"), F.count_if(F.col("labels") > 1).alias("conflicts"))
+
+
+@query("""
+WITH n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations WHERE role = 'assistant')
+SELECT maker, n AS targets, CASE WHEN maker = 'peeking' THEN n ELSE 0 END AS noticed, CASE WHEN maker = 'peeking' THEN n ELSE 0 END AS holding FROM n, (SELECT unnest(['token_budget', 'prefix_digest', 'peeking']) AS maker)
+""")
 def target_canary(spark, sf_dir):
-    """Prefix renderings after each target's text is swapped for a canary: none may be another, none may hold it."""
-    d = cumulative(spark, sf_dir).withColumn("key", F.concat_ws(":", "conv_id", "turn"))
-    shown = F.array_join(F.transform(F.slice("messages", F.lit(1), F.size("messages") - 1), lambda m: F.concat_ws("\n", m["role"], m["content"])), "\n\n")
-    swapped = F.concat(F.slice("messages", F.lit(1), F.size("messages") - 1), F.array(F.element_at("messages", -1).withField("content", F.lit("CANARY-7f3a"))))
-    noticed = gates.changed_by(d, "key", "messages", swapped, F.sha2(shown, 256)).agg(F.count("*").cast("int").alias("noticed"))
-    return d.agg(F.count("*").alias("targets"), F.count_if(F.contains(shown, F.lit("CANARY-7f3a"))).cast("int").alias("holding")).crossJoin(noticed)  # one row each
+    """A target of each conversation swapped for a canary: neither the state nor the prefix digest may notice or hold it; one that peeks must be caught."""
+    canary = "CANARY-7f3a"
+    before = prefixes.cut_at_one_target(messages(spark, sf_dir).withColumn("role", F.col("m.role")))
+    before = stored(before.drop("role"))
+    after = before.withColumn("m", F.when(F.col("i") == F.col("target"), F.col("m").withField("content", F.lit(canary))).otherwise(F.col("m")))
+
+    def made(rows):
+        at = rows.where("i = target").select(F.col("conv").alias("c"), F.col("target").alias("t"))
+        own = lambda df: df.join(at, (F.col("conv") == F.col("c")) & (F.col("i") == F.col("t")))
+        state = own(token_budget.states(rows)).select("conv", F.lit("token_budget").alias("maker"), F.coalesce("state", F.lit("")).alias("made"))
+        digest = own(prefixes.digests(rows.drop("target"), F.to_json("m"))).select("conv", F.lit("prefix_digest").alias("maker"), F.col("prefix").alias("made"))
+        peek = rows.groupBy("conv").agg(F.lit("peeking").alias("maker"), F.array_join(F.array_sort(F.collect_set("m.content")), "\n").alias("made"))
+        return state.union(digest).union(peek)
+
+    both = made(before).join(made(after).withColumnRenamed("made", "again"), ["conv", "maker"])
+    return both.groupBy("maker").agg(F.count("*").alias("targets"), F.count_if(F.col("made") != F.col("again")).alias("noticed"), F.count_if(F.contains("again", F.lit(canary))).alias("holding"))
 
 
 @query("SELECT true AS same_digest, (SELECT count(*) FROM documents) AS n")
