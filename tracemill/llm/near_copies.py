@@ -206,33 +206,46 @@ def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = S
         return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
     near = stored(_by_bits(rows)) if bits else None
-    tried = known = None
-    prefixes, turn = nodes.select("node", "n", "prefix"), 0
+    tried = known = changed = None
+    prefixes, opened = nodes.select("node", "n", "prefix"), []
     while True:
         each = prefixes.select("node", "n", F.posexplode_outer("prefix").alias("at", "h")).where("h is not null")
-        # Of each hash that several nodes have, the node in which it stands first.
-        lead = each.groupBy("h").agg(F.min(F.struct("at", "n", "node")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+        if changed is not None:  # all other hashes stand where they stood
+            each = each.join(small_side(changed), "h", "left_semi")
+        # Of each hash that several nodes have, the node in which it stands first; its place and that node's size in one long.
+        place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+        lead = each.groupBy("h").agg(F.min_by("node", place).alias("lead"), F.min(place).alias("place"), F.count("*").alias("c")).where("c > 1")
         shared = stored(each.join(small_side(stored(lead)), "h"))
-        stars = shared.where("node <> lead.node").where(room(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
-        stars = stars.select(*pair(F.col("node"), F.col("lead.node"))).distinct()
+        lead_n, lead_at = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("place", 32)
+        stars = shared.where("node <> lead").where(room(F.col("n"), F.col("at"), lead_n, lead_at)).select(*pair(F.col("node"), F.col("lead"))).distinct()
         stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
-        tried = stars if tried is None else stored(tried.union(stars))
+        tried = stars if tried is None else tried.union(stars)
         found = verified(stars)
         near = found if near is None else near.union(found)
         roots = simhash.components(near).withColumnRenamed("node", "__node")
         placed = shared.join(roots, F.col("node") == F.col("__node"), "left").select("h", "c", "node", "n", "at", F.coalesce("root", "node").alias("root"))
         # Of each hash the nodes outside its largest component: pairs across are at most so many for each of its nodes.
         mixed = stored(placed.groupBy("h", "c", "root").agg(F.count("*").alias("own")).groupBy("h", "c").agg((F.col("c") - F.max("own")).alias("out")).where("out > 0"))
-        open_ = stored(placed.join(small_side(mixed.select("h")), "h", "left_semi"))
+        open_ = stored(shared.join(small_side(mixed.select("h")), "h", "left_semi").select("h", "node", "n", "at"))
+        opened.append((open_, changed))
         heavy = mixed.where(F.col("out") > hot).select("h", "c")
         heavy = stored(heavy if known is None else heavy.join(known.select("h"), "h", "left_anti"))
         if not heavy.limit(1).count():
             break
-        heavy = heavy.withColumn("round", F.lit(turn))
-        known, turn = (heavy if known is None else stored(known.unionByName(heavy))), turn + 1
-        held = stored(each.join(small_side(heavy.select("h")), "h", "left_semi").select("node").distinct())
-        again = _put_back(held, texts_of, sets_of, known, k, common, percent, most).withColumnRenamed("prefix", "again")
-        prefixes = stored(prefixes.join(again, "node", "left").select("node", "n", F.coalesce("again", "prefix").alias("prefix")))
+        heavy = heavy.withColumn("round", F.lit(len(opened)))
+        known = heavy if known is None else stored(known.unionByName(heavy))
+        held = stored(open_.join(small_side(heavy.select("h")), "h", "left_semi").select("node").distinct())
+        again = _put_back(held, texts_of, sets_of, known, k, common, percent, most)
+        changed = stored(again.select(F.explode("prefix").alias("h")).distinct())
+        prefixes = stored(prefixes.join(small_side(again.withColumnRenamed("prefix", "again")), "node", "left").select("node", "n", F.coalesce("again", "prefix").alias("prefix")))
+    # A hash counts as the last round that had it found it; one put back since, and in no prefix any more, does not.
+    open_, later = opened.pop()
+    while opened:
+        gone = known.select("h").union(later).distinct()
+        earlier, before = opened.pop()
+        open_ = open_.union(earlier.join(small_side(stored(gone)), "h", "left_anti"))
+        later = later if before is None else later.union(before)
+    open_ = open_.join(roots, F.col("node") == F.col("__node"), "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     a, b = (open_.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "root")]) for x in "ab")
     # The smaller of two similar sets has room behind the hash for a set of its own size.
     a = a.where(room(F.col("a_n"), F.col("a_at"), F.col("a_n"), F.col("a_at")))
