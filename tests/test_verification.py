@@ -1,4 +1,4 @@
-"""Gates, contracts, manifests, shards, sinks and the evaluation that is no SQL."""
+"""Gates, contracts, shards, sinks and the evaluation that is no SQL."""
 
 import json
 import math
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill import schemas as S
 from tracemill.functions import hashing
-from tracemill.operators import contracts, gates, manifests, metrics, models, records, sequence
+from tracemill.operators import contracts, gates, metrics, models, records, sequence
 from tracemill.sources import jsonl, shards, sinks
 
 GOOD = {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}}
@@ -84,29 +84,6 @@ def test_canary_and_digest_notice_changes(spark):
     assert [tuple(r) for r in bad.collect()] == [("a", True, 0), ("b", False, 2), ("all", False, 1)]
 
 
-def test_manifests(tmp_path):
-    good = {"labels": sorted(S.ONTOLOGY), "data": {"train": "a.jsonl", "dev": "b.jsonl"}, "output_dir": "out/x", "candidates": [{"id": "c"}]}
-    assert manifests.baseline_reasons(good, str(tmp_path), "out") == []
-    bad = {"labels": S.ONTOLOGY, "data": {"train": "test.jsonl", "dev": "test.jsonl"}, "output_dir": "out/../etc", "candidates": [{"id": 1}, {}]}
-    assert manifests.baseline_reasons(bad, str(tmp_path), "out") == ["labels", "data_repeat", "held_out", "output", "candidate_ids"]
-    run = {"id": "r-1", "config_sha256": "0" * 64, "data_sha256": "f" * 64, "seed": 0, "rows": 1, "labels": sorted(S.ONTOLOGY)}
-    assert manifests.run_reasons(run) == [] and manifests.run_reasons(run | {"seed": True, "x": 1, "id": "R"}) == ["unknown:x", "id", "seed"]
-    assert manifests.run_reasons({}) == [f"missing:{k}" for k in run]
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d/f").write_text("1")
-    first = manifests.tree_digest(str(tmp_path), {"d/f"})
-    (tmp_path / "d/f").write_text("2")
-    assert manifests.tree_digest(str(tmp_path)) != first
-    with pytest.raises(ValueError):
-        manifests.tree_digest(str(tmp_path), {"d/f", "e"})
-    (tmp_path / "l").symlink_to(tmp_path / "d")
-    with pytest.raises(ValueError):
-        manifests.tree_digest(str(tmp_path))
-    a = [{"token": "t", "reserved_seconds": 5, "state": "held", "actual_seconds": None}]
-    b = [a[0] | {"state": "finished", "actual_seconds": 4}, {"token": "u", "reserved_seconds": 1, "state": "held", "actual_seconds": None}]
-    assert manifests.extends(a, b) and not manifests.extends(b, a) and not manifests.extends(b, [b[0] | {"actual_seconds": 3}, b[1]]) and not manifests.extends(a, [a[0] | {"reserved_seconds": 6}])
-
-
 def test_shards(spark, tmp_path):
     for k in range(3):
         spark.range(k + 1).write.parquet(f"{tmp_path}/s{k}")
@@ -163,3 +140,18 @@ def test_envelope_takes_no_nan():
     assert len(records.envelope({"p": 0.5}, "x")) == 64
     with pytest.raises(ValueError):
         records.envelope({"p": float("nan")}, "x")
+
+
+RECORDS = {
+    "good": {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}, "gold": {"q": {"type": "choice", "label": "a", "probabilities": {"a": 0.25, "b": 0.75}}}},
+    "order": {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}, "gold": {"q": {"type": "choice", "label": "a", "probabilities": {"b": 0.75, "a": 0.25}}}},
+    "sum": {"state": {}, "questions": {"q": {"type": "noul", "instructions": "i", "criteria": None}}, "gold": {"q": {"type": "noul", "label": None, "probabilities": {"false": 0.5, "true": 0.4}}}},
+    "one level": {"state": [], "questions": {"q": {"type": "score", "instructions": "i", "criteria": ["only"]}}},
+    "no state": {"questions": {"q": {"type": "score", "instructions": " ", "criteria": ["a", "b"]}}},
+}
+
+
+def test_records_of_each_kind(spark):
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in RECORDS.items()], "name string, record string")
+    got = {r["name"]: r["reasons"] for r in rows.select("name", records.record_reasons("record").alias("reasons")).collect()}
+    assert got == {"good": [], "order": ["q:probability_keys"], "sum": ["q:probability_sum"], "one level": ["q:criteria"], "no state": ["state", "q:instructions"]}

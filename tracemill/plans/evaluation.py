@@ -212,13 +212,6 @@ def proper_scores(spark, sf_dir):
     return p.select("vec_id", F.round(metrics.log_score(q), 6).alias("log_score"), F.round(metrics.spherical_score(q, F.col("p")), 6).alias("spherical"), F.round(metrics.ranked_score(F.col("p"), F.col("label")), 6).alias("ranked"))
 
 
-@query("SELECT label, n, round(n / sum(n) OVER (), 6) AS p FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in S.REPLAY_COUNTS.items()) + ") t(label, n)")
-def replay_majority(spark, sf_dir):
-    """The rule that a replay compares with: shares of fixed counts."""
-    total = sum(S.REPLAY_COUNTS.values())
-    return spark.createDataFrame([(k, v, round(v / total, 6)) for k, v in S.REPLAY_COUNTS.items()], "label string, n int, p double")
-
-
 @query()
 def sgd_scores(spark, sf_dir):
     """Class probabilities of documents under the fitted models, which are saved and read again; rows only, as the fit is."""

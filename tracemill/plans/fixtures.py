@@ -185,15 +185,6 @@ def call_shapes(spark, sf_dir):
     return rows.select("name", "argument", text.tool_family(F.col("name")).alias("family"), text.empty_argument(F.col("argument")).alias("empty"))
 
 
-_RECORDS = {
-    "good": {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}, "gold": {"q": {"type": "choice", "label": "a", "probabilities": {"a": 0.25, "b": 0.75}}}},
-    "order": {"state": "s", "questions": {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "x", "b": "y"}}}, "gold": {"q": {"type": "choice", "label": "a", "probabilities": {"b": 0.75, "a": 0.25}}}},
-    "sum": {"state": {}, "questions": {"q": {"type": "noul", "instructions": "i", "criteria": None}}, "gold": {"q": {"type": "noul", "label": None, "probabilities": {"false": 0.5, "true": 0.4}}}},
-    "one level": {"state": [], "questions": {"q": {"type": "score", "instructions": "i", "criteria": ["only"]}}},
-    "no state": {"questions": {"q": {"type": "score", "instructions": " ", "criteria": ["a", "b"]}}},
-}
-
-
 @query("""
 SELECT doc_id, array_to_string(CASE WHEN doc_id % 11 = 0 THEN ['q:instructions'] ELSE list_filter([CASE WHEN doc_id % 5 = 0 THEN 'q:probability_keys' WHEN doc_id % 7 = 0 THEN 'q:probability_sum' END, CASE WHEN doc_id % 13 = 0 THEN 'q:label' END], lambda x: x IS NOT NULL) END, ',') AS reasons FROM documents
 """)
@@ -208,13 +199,6 @@ def record_validation(spark, sf_dir):
     return d.select("doc_id", F.array_join(records.record_reasons("record"), ",").alias("reasons"))
 
 
-@query("SELECT name, reasons FROM (VALUES ('good', ''), ('order', 'q:probability_keys'), ('sum', 'q:probability_sum'), ('one level', 'q:criteria'), ('no state', 'state,q:instructions')) t(name, reasons)")
-def record_cases(spark, sf_dir):
-    """Records of each kind and the rules that they break."""
-    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in _RECORDS.items()], "name string, record string")
-    return rows.select("name", F.array_join(records.record_reasons("record"), ",").alias("reasons"))
-
-
 @query("""SELECT event_id, sha256(concat('{"k":', json_extract_string(props, '$.k'), ',"t":"', event_type, '","\\u00e9":[1.5,null]}')) AS digest FROM events""")
 def canonical_digests(spark, sf_dir):
     """The digest of each event's properties, with its type and a key that isn't ASCII, as canonical JSON."""

@@ -18,7 +18,6 @@ FAILURE_LIKE = ['"success": false', "error", "failed", "not available"]
 SUCCESS_LIKE = ['"success": true', '"status": "success"', 'exit_code": 0']
 OBSERVATION_KEY = r"(?i)(?:^|_)(?:observation|result|output|response|stdout|stderr|exit_code|return_code)(?:$|_)"
 RESPONSE_ID = r"^functions\.[^:]+:\d+$"
-REPLAY_COUNTS = {"edit": 178, "execute": 540, "other_tool": 0, "read": 241, "respond_or_finish": 133, "search": 143}
 SECTIONS = ["TASK", "SYSTEM CONSTRAINTS", "AVAILABLE ACTIONS", "LATEST RELEVANT OBSERVATION", "RECENT HISTORY"]
 TAGS = {"call": r"(?is)<tool_call\b[^>]*>(.*?)</tool_call\s*>", "response": r"(?is)<tool_response\b[^>]*>(.*?)</tool_response\s*>"}
 THINK_TAG = r"(?i)<think\b[^>]*>|</think\s*>"
