@@ -48,3 +48,15 @@ def test_sgd_equals_updates_one_by_one(spark):
         for k, own in w.items():
             for f, x in own.items():
                 assert got[name, k, f] == pytest.approx(x, abs=1e-12)
+
+
+def test_score_gradient_of_odd_rows(spark):
+    from tracemill.operators import metrics
+
+    nan = float("nan")
+    rows = [([0.0, 0.0], 0, [[1.0, -1.0], [-1.0, 1.0]]), ([0.0, 0.0], 0, [[1.0, -1.0]]), ([0.0, nan], 0, [[1.0, 0.0], [0.0, 1.0]]), ([0.0, 0.0], 2, [[1.0, 0.0], [0.0, 1.0]]), (None, 0, [[1.0, 0.0], [0.0, 1.0]]), ([0.0, 0.0], 1, [[1.0], [0.0, 1.0]]), ([3.0, 3.0], 1, [[7.0, 7.0], [-7.0, -7.0]])]
+    got = metrics.score_gradient(spark.createDataFrame(rows, "z array<double>, gold int, e array<array<double>>"), "z", "gold", "e", 1.0).collect()
+    assert [r["loss"] is None for r in got] == [False, True, True, True, True, True, False]
+    # Two opposite perturbations: advantages are 1 and -1 over the root of two; what moves both logits alike counts for nothing.
+    assert abs(got[0]["gradient"][0] - (-0.5 - 1 / 2**0.5)) < 1e-4 and abs(got[0]["gradient"][1] - (0.5 + 1 / 2**0.5)) < 1e-4
+    assert got[6]["gradient"] == [0.5, -0.5] and got[6]["loss_score"] == 0

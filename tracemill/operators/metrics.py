@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions import text
+
 from tracemill.operators.sequence import numbered
 
 
@@ -160,3 +162,29 @@ def fold_table(sizes: DataFrame, group: str, n: str, k: int, most: int = 1_000_0
 def same(a: Column, b: Column, tolerance: float = 1e-10) -> Column:
     """Whether two reported numbers are the same within an absolute tolerance."""
     return F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+
+
+def score_gradient(df: DataFrame, logits: str, gold: str, noise: str, sigma: float, floor: float = -9.21, spherical: float = 0.75) -> DataFrame:
+    """Adds ``rewards``, ``loss_score``, ``loss_gold``, ``loss`` and ``gradient`` of the score-function estimator, by arrays within each row.
+
+    ``noise`` holds two or more perturbations, each as long as ``logits``; what moves all logits alike is projected out. A perturbation's reward is
+    the floored log score of the gold class (its place from 0) and a share of the spherical score; advantages are rewards less their mean over their standard deviation.
+    The gradient by class is that of the perturbations' Gaussian log density, weighed by advantage, and that of cross-entropy.
+    A row with fewer than two perturbations, one of another length, or anything that is null or not finite gets nulls.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    plain = lambda c: F.coalesce(F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    good = (F.size(noise) > 1) & plain(F.col(logits)) & F.coalesce(F.forall(noise, lambda e: (F.size(e) == F.size(logits)) & plain(e)), F.lit(False)) & F.col(gold).between(0, F.size(logits) - 1)
+    steps = df.withColumn("__noise", F.when(good, F.transform(noise, lambda e: F.transform(e, lambda x: x - total(e) / F.size(e)))))
+    steps = steps.withColumns({"__p": text.softmax(F.col(logits)), "__each": F.transform("__noise", lambda e: text.softmax(F.zip_with(F.col(logits), e, lambda a, b: a + b)))})
+    own = lambda p: F.get(p, F.col(gold))
+    steps = steps.withColumn("rewards", F.transform("__each", lambda p: log_score(own(p), floor) + spherical * spherical_score(own(p), p)))
+    steps = steps.withColumn("__raw", F.transform("rewards", lambda r: r - total(F.col("rewards")) / F.size("rewards")))
+    scale = F.sqrt(total(F.transform("__raw", lambda r: r * r)) / (F.size("__raw") - 1)) + 1e-6
+    steps = steps.withColumn("__scale", scale).withColumn("__advantages", F.transform("__raw", lambda r: r / F.col("__scale")))
+    energy = F.zip_with("__advantages", "__noise", lambda a, e: a * total(F.transform(e, lambda x: x * x)))
+    steps = steps.withColumns({"loss_score": total(energy) / (2 * sigma * sigma) / F.size("__noise"), "loss_gold": F.when(F.col("__noise").isNotNull(), -F.ln(F.greatest(own(F.col("__p")), F.lit(1e-12))))})
+    pull = lambda i: total(F.zip_with("__advantages", "__noise", lambda a, e: a * F.get(e, i))) / (sigma * sigma) / F.size("__noise")
+    gradient = F.transform("__p", lambda p, i: p - F.when(i == F.col(gold), 1.0).otherwise(0.0) - pull(i))
+    steps = steps.withColumns({"loss": F.col("loss_score") + F.col("loss_gold"), "gradient": F.when(F.col("__noise").isNotNull(), gradient)})
+    return steps.drop("__noise", "__p", "__each", "__raw", "__scale", "__advantages")

@@ -212,6 +212,28 @@ def proper_scores(spark, sf_dir):
     return p.select("vec_id", F.round(metrics.log_score(q), 6).alias("log_score"), F.round(metrics.spherical_score(q, F.col("p")), 6).alias("spherical"), F.round(metrics.ranked_score(F.col("p"), F.col("label")), 6).alias("ranked"))
 
 
+@query("""
+WITH v AS (SELECT vec_id, label % 6 AS gold, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS z, list_transform([0, 1, 2, 3], lambda k: list_transform(embedding[7 + 6 * k:12 + 6 * k], lambda x: CAST(x AS DOUBLE))) AS e FROM embeddings),
+c AS (SELECT vec_id, gold, z, unnest(e) AS e, generate_subscripts(e, 1) AS k FROM v),
+n AS (SELECT vec_id, gold, z, k, list_transform(e, lambda x: x - list_sum(e) / 6) AS e FROM c),
+w AS (SELECT *, list_transform([1, 2, 3, 4, 5, 6], lambda i: exp(z[i] + e[i])) AS x FROM n),
+p AS (SELECT *, list_transform(x, lambda y: y / list_sum(x)) AS p FROM w),
+r AS (SELECT *, greatest(ln(greatest(p[gold + 1], 1e-12)), -9.21) + 0.75 * p[gold + 1] / greatest(sqrt(list_sum(list_transform(p, lambda y: y * y))), 1e-9) AS reward FROM p),
+a AS (SELECT *, (reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-6) AS advantage FROM r WINDOW g AS (PARTITION BY vec_id)),
+s AS (SELECT vec_id, any_value(gold) AS gold, any_value(z) AS z, sum(advantage * list_sum(list_transform(e, lambda y: y * y))) / 0.5 / 4 AS loss_score,
+  [sum(advantage * e[1]), sum(advantage * e[2]), sum(advantage * e[3]), sum(advantage * e[4]), sum(advantage * e[5]), sum(advantage * e[6])] AS pull FROM a GROUP BY vec_id),
+q AS (SELECT *, list_transform(z, lambda y: exp(y) / list_sum(list_transform(z, lambda u: exp(u)))) AS p FROM s),
+t AS (SELECT *, list_transform([1, 2, 3, 4, 5, 6], lambda i: p[i] - CASE WHEN i = gold + 1 THEN 1 ELSE 0 END - pull[i] / 0.25 / 4) AS g FROM q)
+SELECT vec_id, round(loss_score - ln(greatest(p[gold + 1], 1e-12)), 4) AS loss, round(g[1], 4) AS g0, round(g[2], 4) AS g1, round(g[3], 4) AS g2, round(g[4], 4) AS g3, round(g[5], 4) AS g4, round(g[6], 4) AS g5 FROM t
+""")
+def score_gradients(spark, sf_dir):
+    """Loss and gradient of the score-function estimator: six logits of each vector, perturbed by its next four sixes of components."""
+    part = lambda at: F.transform(F.slice("embedding", at, 6), lambda x: x.cast("double"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 6).alias("gold"), part(1).alias("z"), F.array(*[part(7 + 6 * k) for k in range(4)]).alias("e"))
+    g = metrics.score_gradient(v, "z", "gold", "e", 0.5)
+    return g.select("vec_id", F.round("loss", 4).alias("loss"), *[F.round(F.get("gradient", F.lit(i)), 4).alias(f"g{i}") for i in range(6)])
+
+
 @query()
 def sgd_scores(spark, sf_dir):
     """Class probabilities of documents under the fitted models, which are saved and read again; rows only, as the fit is."""
