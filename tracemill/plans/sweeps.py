@@ -27,11 +27,11 @@ def budget_sweep(spark, sf_dir):
     return sweep.with_choice(sweep.sweep(d, "k", "doc_id", "t", "lang", S.BUDGETS, 97), 0.7, 0.2)
 
 
-@query(r"""
-SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)(?:<redacted>|\[redacted\]|\*{3,}|REDACTED|sk-[A-Za-z0-9_*.-]+)')) AS redacted,
-  count(*) FILTER (regexp_matches(text, '(?i)(?:^|\n)(?:[\w./~-]+[$#>] |(?:stdout|stderr|exit code|output|result):|(?:error|warning|failed|passed|collected)\b)')) AS output_like,
-  count(*) FILTER (regexp_matches(text, '(?i)</?think\b|<\|(?:begin|end)_of_thought\|>|(?:^|\n)\s*(?:reasoning|analysis)\s*:')) AS reasoning,
-  CAST(sum(len(regexp_extract_all(text, '[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'))) AS BIGINT) AS words
+@query(rf"""
+SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '{S.REDACTED}')) AS redacted,
+  count(*) FILTER (regexp_matches(text, '{S.OUTPUT_LIKE}')) AS output_like,
+  count(*) FILTER (regexp_matches(text, '{S.REASONING_MARKER}')) AS reasoning,
+  CAST(sum(len(regexp_extract_all(text, '[^\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+'))) AS BIGINT) AS words
 FROM documents GROUP BY source
 """)
 def text_detectors(spark, sf_dir):
