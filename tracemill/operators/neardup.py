@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import graph
+from tracemill.operators import graph, parts
 from tracemill.operators.shared import stored
 
 #: Word pairs that may be broadcast, and short items that are looked for in one pass.
@@ -13,27 +13,12 @@ KEYS, NEEDLES = 200_000, 500
 
 
 def _linked(df: DataFrame, key: str, split: str, tokens: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, split, node) of the rows with tokens, (node, n) of their distinct sets, and (x, y, i, u) of the similar ones, x before y.
-
-    With tokens ordered by rarity, two sets that similar share one of their first n - ceil(t n) + 1 tokens, their sizes are within the
-    ratio, and the first token that they share leaves room for the overlap; what is left is verified on the whole sets.
-    """
-    rows = stored(df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(tokens).alias("s")).where("size(s) > 0").withColumn("node", F.sha2(F.array_join("s", " "), 256)))
-    nodes = stored(rows.groupBy("node").agg(F.first("s").alias("s")))
-    each = nodes.select("node", F.size("s").alias("n"), F.explode("s").alias("t"))
-    rank = each.groupBy("t").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("node").orderBy("df", "t")
-    prefix = stored(each.join(rank, "t").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("node", "n", "t", "r"))
-    # The smaller of the two has room from the token on for a set of its own size, so only such rows stand on the left.
-    a, b = prefix.where((F.col("n") - F.col("r") + 1) * (100 + percent) >= F.col("n") * 2 * percent).alias("a"), prefix.alias("b")
-    smaller = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))
-    room = F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + 1
-    near = smaller & (F.col("a.n") * 100 >= F.col("b.n") * percent) & (room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & near).select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
-    full = pairs.join(nodes.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(nodes.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
-    both, every = F.size(F.array_intersect("sx", "sy")), F.size(F.array_union("sx", "sy"))
-    links = stored(full.select("x", "y", both.alias("i"), every.alias("u")).where(F.col("i") * 100 >= F.col("u") * percent))
-    return rows.select("id", "split", "node"), nodes.select("node", F.size("s").alias("n")), links
+    """(id, split, node) of the rows with tokens, (node, n) of their distinct sets, and (x, y, i, u) of the similar ones, x before y."""
+    rows = stored(df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(tokens).alias("s")).where("size(s) > 0").withColumn("key", F.unhex(F.sha2(F.array_join("s", " "), 256))))
+    # Numbers are given where the sets are written, once; from there on a node is 8 bytes.
+    nodes = stored(rows.groupBy("key").agg(F.first("s").alias("s")).withColumn("node", F.monotonically_increasing_id()))
+    placed = stored(rows.select("id", "split", "key").join(nodes.select("key", "node"), "key").select("id", "split", "node"))
+    return placed, nodes.select("node", F.size("s").alias("n")), parts.similar(nodes.select("node", "s"), percent)
 
 
 def cross_split_pairs(df: DataFrame, key: str, split: str, tokens: str, percent: int) -> DataFrame:
@@ -48,6 +33,23 @@ def cross_split_pairs(df: DataFrame, key: str, split: str, tokens: str, percent:
     return links.join(left, "x").join(right, "y").where("ls <> rs and left_id < right_id").select("left_id", "right_id", F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
 
 
+def first_pairs(df: DataFrame, key: str, split: str, tokens: str, percent: int, most: int) -> DataFrame:
+    """(left_id, right_id): the first ``most`` of ``cross_split_pairs`` in order, without the others.
+
+    A row stands on the left of a pair if a similar set has a greater id of another split, so greatest ids of sets and splits tell
+    the rows that do; the first ``most`` of these have as many pairs, and only they are joined with rows.
+    """
+    rows, nodes, links = _linked(df, key, split, tokens, percent)
+    each_way = stored(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).union(nodes.select("node", F.col("node").alias("y"))))
+    top = rows.groupBy(F.col("node").alias("y"), F.col("split").alias("rs")).agg(F.max("id").alias("top"))
+    beyond = each_way.join(top, "y").groupBy(F.col("x").alias("at"), "rs").agg(F.max("top").alias("top"))
+    left = stored(rows.join(beyond, (F.col("node") == F.col("at")) & (F.col("split") != F.col("rs")) & (F.col("id") < F.col("top")), "left_semi"))
+    last = left.select("id").orderBy("id").limit(most).agg(F.max("id")).first()[0]
+    left = left.where(F.col("id") <= F.lit(last)).select(F.col("id").alias("left_id"), F.col("split").alias("ls"), F.col("node").alias("x"))
+    right = rows.select(F.col("id").alias("right_id"), F.col("split").alias("rs"), F.col("node").alias("y"))
+    return left.join(each_way, "x").join(right, "y").where("ls <> rs and left_id < right_id").select("left_id", "right_id").orderBy("left_id", "right_id").limit(most)
+
+
 def classes(df: DataFrame, key: str, split: str, tokens: str, percent: int) -> DataFrame:
     """(id, class_id, n_links) of every row with tokens: the least id that similar sets connect it to, and how many rows of other splits have a similar set.
 

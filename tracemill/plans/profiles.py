@@ -227,6 +227,12 @@ def tfidf_l2(spark, sf_dir):
     return x.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(norm, 6).alias("norm"), F.round(F.max("w") / norm, 6).alias("top"))
 
 
+def word_sets(spark, sf_dir):
+    """(doc_id, split, tokens) of the documents: their distinct words."""
+    b = F.col("doc_id") % 10
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(b < 8, "train").when(b < 9, "dev").otherwise("test").alias("split"), F.array_remove(F.array_distinct(F.split(text.task_family(F.col("text")), " ")), "").alias("tokens"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, doc_id % 10 AS b, list_sort(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))) AS s FROM documents),
 k AS (SELECT doc_id, CASE WHEN b < 8 THEN 'train' WHEN b < 9 THEN 'dev' ELSE 'test' END AS split, s FROM d WHERE s <> [''])
@@ -235,9 +241,7 @@ FROM k a JOIN k b ON a.split <> b.split AND a.doc_id < b.doc_id AND len(a.s) * 1
 WHERE len(list_intersect(a.s, b.s)) * 100 >= 85 * len(list_distinct(list_concat(a.s, b.s)))
 """)
 def near_duplicate_cross_split(spark, sf_dir):
-    b = F.col("doc_id") % 10
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(b < 8, "train").when(b < 9, "dev").otherwise("test").alias("split"), F.array_remove(F.array_distinct(F.split(text.task_family(F.col("text")), " ")), "").alias("tokens"))
-    return neardup.cross_split_pairs(d, "doc_id", "split", "tokens", 85)
+    return neardup.cross_split_pairs(word_sets(spark, sf_dir), "doc_id", "split", "tokens", 85)
 
 
 @query("""
@@ -250,9 +254,7 @@ SELECT r.doc_id, min(other) AS class_id, CAST(coalesce(any_value(n), 0) AS BIGIN
 """)
 def near_duplicate_classes(spark, sf_dir):
     """Of every document its class of similar word sets and the number of documents of other splits that it is similar to, without pairs of copies."""
-    b = F.col("doc_id") % 10
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(b < 8, "train").when(b < 9, "dev").otherwise("test").alias("split"), F.array_remove(F.array_distinct(F.split(text.task_family(F.col("text")), " ")), "").alias("tokens"))
-    return neardup.classes(d, "doc_id", "split", "tokens", 85).withColumnRenamed("id", "doc_id")
+    return neardup.classes(word_sets(spark, sf_dir), "doc_id", "split", "tokens", 85).withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT d.doc_id, b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 24")
