@@ -213,7 +213,7 @@ def comparison_count(spark, sf_dir):
 @query(f"SELECT left_id, right_id FROM ({SQL['near_duplicate_cross_split']}) ORDER BY left_id, right_id LIMIT 100")
 def first_near_duplicates(spark, sf_dir):
     """The first hundred pairs, as a report shows them."""
-    return profiles.near_duplicate_cross_split(spark, sf_dir).select("left_id", "right_id").orderBy("left_id", "right_id").limit(100)
+    return neardup.first_pairs(profiles.word_sets(spark, sf_dir), "doc_id", "split", "tokens", 85, 100)
 
 
 _SPAN = "string_split(coalesce(text, ''), ' ')"
