@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import neardup, profile
+from tracemill.operators import models, neardup, profile
 from tracemill.plans.registry import query, table
 
 
@@ -219,12 +219,9 @@ SELECT doc_id, count(*) AS terms, round(sqrt(sum(w * w)), 6) AS norm, round(max(
 """)
 def tfidf_l2(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    c = d.select("doc_id", F.explode_outer(text.word_tokens(F.col("text"))).alias("token")).where("token is not null").groupBy("doc_id", "token").agg(F.count("*").alias("c"))
-    n = d.count()
-    idf = c.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2").select("token", (F.ln(F.lit(1 + n) / (F.col("df") + 1)) + 1).alias("idf"))
-    x = c.join(idf, "token").select("doc_id", ((F.ln("c") + 1) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    return x.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(norm, 6).alias("norm"), F.round(F.max("w") / norm, 6).alias("top"))
+    c = models.term_counts(d.select("doc_id", text.word_tokens(F.col("text")).alias("t")), "doc_id", "t")
+    norm = F.sqrt("squares")
+    return models.tfidf_norms(c, "doc_id", d.count(), 2).select("doc_id", "terms", F.round(norm, 6).alias("norm"), F.round(F.col("top") / norm, 6).alias("top"))
 
 
 def word_sets(spark, sf_dir):
