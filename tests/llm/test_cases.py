@@ -246,6 +246,30 @@ def test_components_of_a_long_chain(spark):
     assert all(got.get(i, i) == 0 for i in range(61)) and got[101] == 100
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Rounds over a small table don't cost a task, with its files and log, for each partition of each shuffle."""
+    sc, wide = spark.sparkContext, {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    edges = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 130)]
+    want = {i: 0 for i in range(1, 61)} | {j: 100 for j in range(101, 130)}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "components")
+        got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        seen = sc.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup("few-tasks") for s in seen.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := seen.getStageInfo(s)))
+    finally:
+        sc.setJobGroup("other", "")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {k: v for k, v in got.items() if k != v} == want
+    assert tasks < 600  # several rounds of a handful of shuffles; each shuffle at full width takes 50
+    # Several tasks, as for a large table, give the same.
+    assert {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), each=10).collect()} == got
+
+
 def test_quality_cases(spark, odd):
     model = quality.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["s"] for r in quality.add_score(odd, model, out="s").collect()} == {0.5}

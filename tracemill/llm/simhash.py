@@ -32,6 +32,8 @@ from tracemill.llm.decontaminate import text_key
 RADIUS, SHINGLE, SEED, BUCKET = 2, 3, 42, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 14
+#: Edges of a task in a round of components: a small table would else cost a task and some files for each partition of each shuffle.
+EDGES = 20_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -107,24 +109,30 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return cut(groups.select(F.explode(_forest("fs")).alias("e")).select("e.a", "e.b").distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each connected component, for nodes that have edges; no node is its own row twice."""
+def components(edges: DataFrame, each: int = EDGES) -> DataFrame:
+    """(node, root): the least node of each connected component, for nodes that have edges; no node is its own row twice.
+
+    A round never has more edges than the one before, so their first count tells how many tasks all rounds need.
+    """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while not _stars(edges):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tasks = edges.count() // each + 1
+    edges = edges.coalesce(tasks)
+    while not _stars(edges, tasks):
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         # Large star: each neighbour above a node is tied to the least of the node and its neighbours.
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        big = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).coalesce(tasks)
+        big = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
         # Small star: a node and its lower neighbours are tied to the least of them.
-        low = big.groupBy("a").agg(F.min("b").alias("m"))
-        edges = cut(big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct())
+        low = big.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+        small = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).coalesce(tasks)
+        edges = cut(small.distinct().coalesce(tasks))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _stars(edges: DataFrame) -> bool:
+def _stars(edges: DataFrame, tasks: int) -> bool:
     """Whether each node has one edge and no edge leads on from where another ends; then nothing is left to do."""
-    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
-    return not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").limit(1).count()
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1))).coalesce(tasks)
+    return not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").coalesce(tasks).limit(1).count()
 
 
 def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = BUCKET, extra: tuple[Column, ...] = ()) -> DataFrame:
